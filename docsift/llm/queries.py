@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from docsift.llm import mixing, urls
+from docsift.llm import decontam, dedup, mixing, quality, urls
 
-QUERIES = {"op3_mixing": mixing.op3_mixing, "op5_url_reputation": urls.op5_url_reputation}
-ORACLES = {"op3_mixing": mixing.ORACLE, "op5_url_reputation": urls.ORACLE}
+QUERIES = {
+    "op3_mixing": mixing.op3_mixing,
+    "op4_fm_decontamination": decontam.op4_fm_decontamination,
+    "op5_url_reputation": urls.op5_url_reputation,
+    "op7_ngram_jaccard": dedup.op7_ngram_jaccard,
+    "op9_quality_forest": quality.op9_quality_forest,
+}
+ORACLES = {"op3_mixing": mixing.ORACLE, "op4_fm_decontamination": decontam.ORACLE, "op5_url_reputation": urls.ORACLE}
