@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from docsift.llm import decontam, dedup, mixing, quality, urls
+from docsift.llm import decontam, dedup, langid, mixing, quality, tokens, urls
 
 QUERIES = {
+    "op2_language_id": langid.op2_language_id,
     "op3_mixing": mixing.op3_mixing,
     "op4_fm_decontamination": decontam.op4_fm_decontamination,
     "op5_url_reputation": urls.op5_url_reputation,
+    "op6_token_counts": tokens.op6_token_counts,
     "op7_ngram_jaccard": dedup.op7_ngram_jaccard,
     "op9_quality_forest": quality.op9_quality_forest,
 }
