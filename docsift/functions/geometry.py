@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -42,6 +44,11 @@ def det_resize(height: Column, width: Column, limit: int = DET_LIMIT, max_side:
     return F.struct(side[0].alias("h"), side[1].alias("w"))
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value) with value evaluated once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def point(x: Column, y: Column) -> Column:
     return F.struct(_d(x).alias("x"), _d(y).alias("y"))
 
@@ -49,14 +56,14 @@ def point(x: Column, y: Column) -> Column:
 def order_quad(quad: Column) -> Column:
     """Corners as top left, top right, bottom right, bottom left. Equal x keep their order."""
     numbered = F.transform(quad, lambda p, i: F.struct(p["x"].alias("x"), i.alias("i"), p["y"].alias("y")))
-    by_x = F.array_sort(numbered)
 
-    def at(i: Column | int) -> Column:
-        return F.get(by_x, i if isinstance(i, Column) else F.lit(i))
+    def corners(by_x: Column) -> Column:
+        at = [F.get(by_x, F.lit(i)) for i in range(4)]
+        left, right = at[1]["y"] > at[0]["y"], at[3]["y"] > at[2]["y"]
+        order = [F.when(left, at[0]).otherwise(at[1]), F.when(right, at[2]).otherwise(at[3]), F.when(right, at[3]).otherwise(at[2]), F.when(left, at[1]).otherwise(at[0])]
+        return F.transform(F.array(*order), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
 
-    left, right = at(1)["y"] > at(0)["y"], at(3)["y"] > at(2)["y"]
-    order = [F.when(left, at(0)).otherwise(at(1)), F.when(right, at(2)).otherwise(at(3)), F.when(right, at(3)).otherwise(at(2)), F.when(left, at(1)).otherwise(at(0))]
-    return F.transform(F.array(*order), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    return bind(F.array_sort(numbered), corners)
 
 
 def side_length(quad: Column, a: int, b: int) -> Column:
@@ -66,14 +73,24 @@ def side_length(quad: Column, a: int, b: int) -> Column:
 
 def unclip(quad: Column, ratio: float) -> Column:
     """A rectangle grown by area * ratio / perimeter on every side; as it is if a side is nothing."""
-    x, y = ([F.get(quad, F.lit(i))[axis] for i in range(4)] for axis in ("x", "y"))
-    w, h = side_length(quad, 1, 0), side_length(quad, 3, 0)
-    d = w * h * ratio / (2 * (w + h))
-    ax, ay = (w / 2 + d) * (x[1] - x[0]) / w, (w / 2 + d) * (y[1] - y[0]) / w
-    bx, by = (h / 2 + d) * (x[3] - x[0]) / h, (h / 2 + d) * (y[3] - y[0]) / h
-    cx, cy = (x[0] + x[1] + x[2] + x[3]) / 4, (y[0] + y[1] + y[2] + y[3]) / 4
-    grown = F.array(point(cx - ax - bx, cy - ay - by), point(cx + ax - bx, cy + ay - by), point(cx + ax + bx, cy + ay + by), point(cx - ax + bx, cy - ay + by))
-    return F.when((w < 1e-6) | (h < 1e-6), quad).otherwise(grown)
+
+    def measured(q: Column) -> Column:
+        return F.struct(q.alias("q"), side_length(q, 1, 0).alias("w"), side_length(q, 3, 0).alias("h"))
+
+    def axes(m: Column) -> Column:
+        q, w, h = m["q"], m["w"], m["h"]
+        d = w * h * ratio / (2 * (w + h))
+        at = [F.get(q, F.lit(i)) for i in range(4)]
+        parts = {"ax": (w / 2 + d) * (at[1]["x"] - at[0]["x"]) / w, "ay": (w / 2 + d) * (at[1]["y"] - at[0]["y"]) / w, "bx": (h / 2 + d) * (at[3]["x"] - at[0]["x"]) / h, "by": (h / 2 + d) * (at[3]["y"] - at[0]["y"]) / h}
+        centre = {"cx": (at[0]["x"] + at[1]["x"] + at[2]["x"] + at[3]["x"]) / 4, "cy": (at[0]["y"] + at[1]["y"] + at[2]["y"] + at[3]["y"]) / 4}
+        flat = (w < 1e-6) | (h < 1e-6)
+        return F.struct(q.alias("q"), flat.alias("flat"), *[F.when(~flat, v).alias(k) for k, v in parts.items()], *[v.alias(k) for k, v in centre.items()])
+
+    def grown(g: Column) -> Column:
+        corners = [point(g["cx"] + s * g["ax"] + t * g["bx"], g["cy"] + s * g["ay"] + t * g["by"]) for s, t in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
+        return F.when(g["flat"], g["q"]).otherwise(F.array(*corners))
+
+    return bind(bind(bind(quad, measured), axes), grown)
 
 
 def to_page(quad: Column, map_w: Column, map_h: Column, page_w: Column, page_h: Column) -> Column:
@@ -86,9 +103,13 @@ def to_page(quad: Column, map_w: Column, map_h: Column, page_w: Column, page_h:
 
 def crop_size(quad: Column) -> Column:
     """struct(w, h, vertical) of the upright strip cut from a quad; vertical ones are turned."""
-    w = F.greatest(F.floor(F.greatest(side_length(quad, 0, 1), side_length(quad, 2, 3))), F.lit(1))
-    h = F.greatest(F.floor(F.greatest(side_length(quad, 0, 3), side_length(quad, 1, 2))), F.lit(1))
-    return F.struct(w.cast("long").alias("w"), h.cast("long").alias("h"), (h / w >= 1.5).alias("vertical"))
+
+    def sides(q: Column) -> Column:
+        w = F.greatest(F.floor(F.greatest(side_length(q, 0, 1), side_length(q, 2, 3))), F.lit(1))
+        h = F.greatest(F.floor(F.greatest(side_length(q, 0, 3), side_length(q, 1, 2))), F.lit(1))
+        return F.struct(w.cast("long").alias("w"), h.cast("long").alias("h"))
+
+    return bind(bind(quad, sides), lambda s: F.struct(s["w"].alias("w"), s["h"].alias("h"), (s["h"] / s["w"] >= 1.5).alias("vertical")))
 
 
 def batch_width(max_ratio: Column) -> Column:
