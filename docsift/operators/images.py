@@ -7,6 +7,7 @@ from urllib.parse import urljoin
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from docsift.functions import text as X
 from docsift.functions.geometry import REC_BATCH
@@ -37,7 +38,7 @@ def declared_area(tag: Column) -> Column:
     return width * height
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def url_join(base: pd.Series, link: pd.Series) -> pd.Series:
     """RFC 3986 resolution of links."""
     return pd.Series([None if link_ is None else urljoin(base_ or "", link_) for base_, link_ in zip(base, link, strict=True)])
