@@ -37,6 +37,8 @@ RULES = (Rule("allow", "org/"), Rule("block", "example.org/es/"), Rule("block",
 #: Second-level public suffixes that count with the last label.
 SECOND_LEVEL = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "or.jp", "org.au", "org.uk")
 MIN_GOOD, Z, MAX_STRENGTH = 0.5, 1.6449, 1000.0
+#: With few labelled pages the strength stays near the usual one: it weighs as much as DOUBT of the data's variance.
+USUAL_STRENGTH, DOUBT = 10.0, 5.0
 
 
 def host_of(url: Column) -> Column:
@@ -72,8 +74,9 @@ def _strength(groups: DataFrame, prior: str) -> DataFrame:
     """One row: the prior strength that explains how far the groups' rates scatter round their priors."""
     p, n, k = F.col(prior), F.col("n").cast("double"), F.col("k").cast("double")
     sums = groups.agg(F.sum((k - n * p) * (k - n * p)).alias("seen"), F.sum(n * p * (1 - p)).alias("drawn"), F.sum(n * (n - 1) * p * (1 - p)).alias("pairs"))
-    rho = F.when(F.col("pairs") > 0, (F.col("seen") - F.col("drawn")) / F.col("pairs")).otherwise(F.lit(0.0))
-    rho = F.least(F.greatest(F.coalesce(rho, F.lit(0.0)), F.lit(1 / (1 + MAX_STRENGTH))), F.lit(0.5))
+    zero = F.lit(0.0)
+    rho = (F.coalesce(F.col("seen"), zero) - F.coalesce(F.col("drawn"), zero) + DOUBT / (1 + USUAL_STRENGTH)) / (F.coalesce(F.col("pairs"), zero) + DOUBT)
+    rho = F.least(F.greatest(rho, F.lit(1 / (1 + MAX_STRENGTH))), F.lit(0.5))
     return sums.select((1 / rho - 1).alias("strength"))
 
 
@@ -133,13 +136,13 @@ hosts AS (SELECT host, n, k, CASE WHEN num THEN '' WHEN second THEN last2 ELSE l
     CASE WHEN num THEN bare WHEN second AND last3 <> '' THEN last3 WHEN NOT second AND last2 <> '' THEN last2 ELSE bare END AS domain FROM hosts2),
 domains AS (SELECT suffix, domain, sum(n) AS n, sum(k) AS k FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(k) AS k, (SELECT (coalesce(sum(k), 0) + 1)::DOUBLE / (coalesce(sum(n), 0) + 2)::DOUBLE FROM domains) AS p FROM domains GROUP BY suffix),
-m1 AS (SELECT 1 / least(greatest(coalesce(CASE WHEN sum(n * (n - 1) * p * (1 - p)) > 0 THEN (sum((k - n * p) * (k - n * p)) - sum(n * p * (1 - p))) / sum(n * (n - 1) * p * (1 - p)) ELSE 0.0::DOUBLE END, 0.0::DOUBLE), 1.0::DOUBLE / 1001), 0.5::DOUBLE) - 1 AS m FROM suffixes WHERE n > 0),
+m1 AS (SELECT 1 / least(greatest((coalesce(sum((k - n * p) * (k - n * p)), 0.0::DOUBLE) - coalesce(sum(n * p * (1 - p)), 0.0::DOUBLE) + 5.0::DOUBLE / 11) / (coalesce(sum(n * (n - 1) * p * (1 - p)), 0.0::DOUBLE) + 5.0::DOUBLE), 1.0::DOUBLE / 1001), 0.5::DOUBLE) - 1 AS m FROM suffixes WHERE n > 0),
 s1 AS (SELECT suffix, (k + m * p) / (n + m) AS p1 FROM suffixes, m1),
 d0 AS (SELECT domain, n, k, p1 AS p FROM domains JOIN s1 USING (suffix)),
-m2 AS (SELECT 1 / least(greatest(coalesce(CASE WHEN sum(n * (n - 1) * p * (1 - p)) > 0 THEN (sum((k - n * p) * (k - n * p)) - sum(n * p * (1 - p))) / sum(n * (n - 1) * p * (1 - p)) ELSE 0.0::DOUBLE END, 0.0::DOUBLE), 1.0::DOUBLE / 1001), 0.5::DOUBLE) - 1 AS m FROM d0 WHERE n > 0),
+m2 AS (SELECT 1 / least(greatest((coalesce(sum((k - n * p) * (k - n * p)), 0.0::DOUBLE) - coalesce(sum(n * p * (1 - p)), 0.0::DOUBLE) + 5.0::DOUBLE / 11) / (coalesce(sum(n * (n - 1) * p * (1 - p)), 0.0::DOUBLE) + 5.0::DOUBLE), 1.0::DOUBLE / 1001), 0.5::DOUBLE) - 1 AS m FROM d0 WHERE n > 0),
 d1 AS (SELECT domain, (k + m * p) / (n + m) AS p2 FROM d0, m2),
 h0 AS (SELECT host, n, k, p2 AS p FROM hosts JOIN d1 USING (domain)),
-m3 AS (SELECT 1 / least(greatest(coalesce(CASE WHEN sum(n * (n - 1) * p * (1 - p)) > 0 THEN (sum((k - n * p) * (k - n * p)) - sum(n * p * (1 - p))) / sum(n * (n - 1) * p * (1 - p)) ELSE 0.0::DOUBLE END, 0.0::DOUBLE), 1.0::DOUBLE / 1001), 0.5::DOUBLE) - 1 AS m FROM h0 WHERE n > 0),
+m3 AS (SELECT 1 / least(greatest((coalesce(sum((k - n * p) * (k - n * p)), 0.0::DOUBLE) - coalesce(sum(n * p * (1 - p)), 0.0::DOUBLE) + 5.0::DOUBLE / 11) / (coalesce(sum(n * (n - 1) * p * (1 - p)), 0.0::DOUBLE) + 5.0::DOUBLE), 1.0::DOUBLE / 1001), 0.5::DOUBLE) - 1 AS m FROM h0 WHERE n > 0),
 h1 AS (SELECT host, n, (k + m * p) / (n + m) AS mean, k + m * p AS a, n - k + m * (1 - p) AS b FROM h0, m3),
 rep AS (SELECT host, n::BIGINT AS n_labelled, mean AS good_rate, mean + 1.6449::DOUBLE * sqrt(a * b / ((a + b) * (a + b) * (a + b + 1))) AS upper_bound FROM h1),
 ruled AS (SELECT *, CASE
