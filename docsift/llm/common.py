@@ -15,6 +15,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows and bytes of the Arrow batches that carry texts to Python workers.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """df, with the session's Arrow batches bounded: long texts must not fill a worker's memory by the thousand."""
+    conf = df.sparkSession.conf
+    for name, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = conf.get(name, None)
+        if now is None or not str(now).isdigit() or not 0 < int(now) <= most:
+            conf.set(name, str(most))
+    return df
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Use the folder that the cluster names in spark.checkpoint.dir; make one only where none is named (tests)."""
     sc = spark.sparkContext

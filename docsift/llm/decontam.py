@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.llm.common import table
+from docsift.llm.common import small_batches, table
 from docsift.llm.fmindex import FMIndex
 from docsift.llm.kernel import U64, classes, hash_segments, slices, words_of
 
@@ -247,7 +247,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hits.n_words), pa.array(hits.n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digest), pa.array(hits.n_hit > 0), spans], names)
 
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:long,end:long>>")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:long,end:long>>")
 
 
 def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
@@ -290,7 +290,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield batch.filter(keep)
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
+    return small_batches(docs).mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
 
 
 def op4_fm_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

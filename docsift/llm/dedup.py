@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm.common import broadcast_if_small, cut, shuffle_parts, table
+from docsift.llm.common import broadcast_if_small, cut, shuffle_parts, small_batches, table
 from docsift.llm.graph import components
 from docsift.llm.kernel import U64, classes, hash_segments, mix64, slices, windows, words_of
 from docsift.llm.triejoin import links_within
@@ -37,7 +37,7 @@ from docsift.llm.triejoin import links_within
 WIDTH, PERCENT = 5, 75
 #: Shingles of a component that one task holds; larger components are split into blocks.
 BLOCK_TOKENS = 4_000_000
-FLUSH_TOKENS, FLUSH_DOCS = 2_000_000, 65_000
+FLUSH_TOKENS, FLUSH_DOCS = 500_000, 65_000
 _TOK = U64((1 << 48) - 1)
 _DOC = np.dtype([("sig", "<i8"), ("n", "<u4")])
 _REPLY = np.dtype([("sig", "<i8"), ("n", "<u4"), ("df", "<u4"), ("tid", "<u8")])
@@ -78,7 +78,7 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def named_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, sig); sig is null for an empty set."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_names, "doc_id long, n_shingles long, sig long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_names, "doc_id long, n_shingles long, sig long")
 
 
 def _blobs(parts: int):
@@ -220,7 +220,7 @@ def similar_links(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFram
     """Links (a, b) between classes that make up the components of similarity."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
-    blobs = docs.select("text").mapInArrow(_blobs(parts), "bucket int, blob binary")
+    blobs = small_batches(docs).select("text").mapInArrow(_blobs(parts), "bucket int, blob binary")
     reply = blobs.groupBy("bucket").applyInArrow(_shared(parts), "bucket int, blob binary")
     live = cut(reply.groupBy("bucket").applyInArrow(_survivors, "sig long, n long, k long, tids binary, dfs binary"))
     starts = cut(live.select("sig", "k", "tids").mapInArrow(_prefixes, "tid long, sig long"))

@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 PIECE = 1 << 20
 LONG_WORD = 1 << 18
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.llm.common import table
+from docsift.llm.common import small_batches, table
 from docsift.llm.kernel import slices
 
 #: Bound of the sample that the model is fitted on.
@@ -172,7 +172,7 @@ def fold(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
     """Learn from text and non-null lang of the documents outside fold 1."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 1))
+    known = small_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 1))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return LanguageModel([], np.zeros(((1 << BUCKET_BITS) + 1, 0), np.float32), np.zeros(0, np.float32))
@@ -200,7 +200,7 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
             langs, score, rejected = given.value.predict(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(langs, pa.string()), pa.array(score, pa.float64()), pa.array(rejected)], ["doc_id", "held_out", "lang_pred", "score", "rejected"])
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id")) == 1).alias("held_out"), "text")
+    rows = small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), (fold(F.col("doc_id")) == 1).alias("held_out"), "text")
     return rows.mapInArrow(run, "doc_id long, held_out boolean, lang_pred string, score double, rejected boolean")
 
 
@@ -212,7 +212,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(~given.value.predict(batch.column("text"))[2]))
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
+    return small_batches(docs).mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.llm.common import table
+from docsift.llm.common import small_batches, table
 
 KEY = b"docsift-demo-key"  # production runs pass their own
 ROUNDS = 8
@@ -269,7 +269,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
         for batch in batches:
             yield batch.set_column(at, batch.schema.field(at), _changed(batch, feistel)[0])
 
-    return docs.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
+    return small_batches(docs).mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
 
 
 def pii_report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
@@ -281,7 +281,7 @@ def pii_report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
             texts, kinds = _changed(batch, feistel)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(k) for k in kinds], pa.int64()), pa.array([",".join(k) for k in kinds], pa.string()), texts], ["doc_id", "n_found", "kinds", "text"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_found long, kinds string, text string")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_found long, kinds string, text string")
 
 
 def op8_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
