@@ -166,3 +166,62 @@ def test_recognizer_batches_and_errors(spark):
     pages = spark.createDataFrame([("p", 4, 4, 3, bytearray(48))], "path string, height int, width int, channels int, data binary")
     got = engine.read_pages(pages, "/no/such/det.onnx", "/no/such/rec.onnx", ["a"]).collect()
     assert len(got) == 1 and got[0].path == "p" and got[0].error and got[0].text is None
+
+
+def test_patches_and_sizes():
+    from docsift.models import structured as S
+
+    assert S.page_size(28, 28) == (336, 336) and S.page_size(1000, 1000) == (980, 980)
+    with pytest.raises(ValueError):
+        S.page_size(28, 9000)
+    x, grid = S.patches(np.full((336, 336, 3), 255, np.uint8))
+    assert grid == (1, 24, 24) and x.shape == (576, 3, 1, 14, 14) and np.allclose(x, 1)
+    page = np.zeros((336, 336, 3), np.uint8)
+    page[:14, 14:28] = 255
+    x, _ = S.patches(page)
+    assert x[1].min() == 1 and x[0].max() == -1
+    assert [S.fit_rank(x, [0] * r).ndim for r in (5, 4, 3, 2)] == [5, 4, 3, 2]
+    assert S.find_name(["a", "Pixel_Values"], "pixel") == "Pixel_Values" and S.find_name(["a"], "b") is None
+    assert sorted(["p.10.value", "p.2.key", "p.2.value"], key=S.layer) == ["p.2.key", "p.2.value", "p.10.value"]
+
+
+def test_structured_reader(spark, tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    from docsift.models import structured as S
+
+    rng = np.random.default_rng(1)
+    hidden, vocab = 4, 12
+    weight = rng.normal(size=(hidden, vocab)).astype(np.float32)
+    (tmp_path / "v.onnx").write_bytes(model(node("Reshape", ["pixel_values", "s"], ["f"]), node("MatMul", ["f", "w"], ["o"]), tensor("s", np.array([-1, 588], np.int64)), tensor("w", rng.normal(size=(588, hidden)).astype(np.float32) / 100), value(11, "pixel_values", 1, [1, "n", 3, 14, 14]), value(12, "o", 1, ["n", hidden])))
+    rows = rng.normal(size=(vocab, hidden)).astype(np.float32)
+    (tmp_path / "e.onnx").write_bytes(model(node("Gather", ["t", "ids"], ["e"]), tensor("t", rows), value(11, "ids", 7, ["b", "s"]), value(12, "e", 1, ["b", "s", hidden])))
+    caches = [value(11, f"past_key_values.0.{k}", 1, [1, 1, "p", hidden]) for k in ("key", "value")] + [value(12, f"present.0.{k}", 1, [1, 1, "q", hidden]) for k in ("key", "value")]
+    nodes = [node("Reshape", ["inputs_embeds", "s4"], ["k"]), *(node("Concat", [f"past_key_values.0.{k}", "k"], [f"present.0.{k}"], axis=2) for k in ("key", "value"))]
+    # the sum of the cache moves the logits, so a wrong cache would show
+    nodes += [node("ReduceSum", ["present.0.key", "ax"], ["m"], keepdims=0), node("Add", ["inputs_embeds", "m"], ["h"]), node("MatMul", ["h", "w"], ["logits"])]
+    (tmp_path / "d.onnx").write_bytes(model(*nodes, tensor("s4", np.array([1, 1, -1, hidden], np.int64)), tensor("ax", np.array([0, 2], np.int64)), tensor("w", weight), value(11, "inputs_embeds", 1, [1, "s", hidden]), value(11, "attention_mask", 7, [1, "t"]), *caches, value(12, "logits", 1, [1, "s", vocab])))
+    words = {f"w{i}": i for i in range(vocab)}
+    tok = Tokenizer(models.WordLevel(words, unk_token="w3"))
+    tok.pre_tokenizer = pre_tokenizers.Whitespace()
+    tok.save(str(tmp_path / "t.json"))
+    config = S.Config(*(str(tmp_path / f) for f in ("v.onnx", "e.onnx", "d.onnx", "t.json")), hidden=hidden, heads=1, head_dim=hidden, image_token=11, eos=2, prompt=("w4", "w5", "w6", "w7 w8"), max_tokens=9)
+    page = rng.integers(0, 255, (30, 40, 3)).astype(np.uint8)
+    engine_ = S.Structured(config)
+    assert engine_.why is None and "last position" in engine_.note
+    text, stats = engine_.read(page)
+    # the same by hand, without caches
+    x, _ = S.patches(page)
+    image = run((tmp_path / "v.onnx").read_bytes(), pixel_values=x[:, :, 0][None])[0]
+    seq, out = np.concatenate((rows[[4, 5]], image, rows[[6, 7, 8]])), []
+    logits = (seq[-1] + seq.sum(0)) @ weight
+    token, ban = int(np.argmax(logits)), decode.NgramBan()
+    while token != 2 and len(out) < 9:
+        out.append(token)
+        ban.add(token)
+        seq = np.concatenate((seq, rows[[token]]))
+        token = decode.pick((seq[-1] + seq.sum(0)) @ weight, ban.banned())
+    assert text == " ".join(f"w{t}" for t in out) and stats["tokens"] == len(out)
+    pages = spark.createDataFrame([("a", 30, 40, 3, bytearray(page[:, :, ::-1].tobytes())), ("b", 5, 5, 3, bytearray(b"x"))], "path string, height int, width int, channels int, data binary")
+    got = {r.path: r for r in S.read_structured(pages, config).collect()}
+    assert got["a"].text == text and got["b"].error
