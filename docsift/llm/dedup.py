@@ -194,13 +194,29 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tids)), pa.array(np.repeat(batch.column("sig").to_numpy(), [len(t) for t in tids]))], ["tid", "sig"])
 
 
+def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Links as (member, least of its component), members that are the least included."""
+    parent: dict[int, int] = {}
+
+    def find(i: int) -> int:
+        while parent.setdefault(i, i) != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    for a, b in links:
+        x, y = find(a), find(b)
+        parent[max(x, y)] = min(x, y)
+    return [(i, find(i)) for i in list(parent)]
+
+
 def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by component and pair of blocks; each such run is joined by one prefix tree."""
     key, sets, block = None, [], []
 
     def done() -> pa.RecordBatch:
         side = [int(b == key[2]) for b in block] if key[1] != key[2] else None
-        links = links_within(sets, side)
+        links = stars(links_within(sets, side))
         return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
 
     for batch in batches:
@@ -216,8 +232,8 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
-def similar_links(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """Links (a, b) between classes that make up the components of similarity."""
+def similar_components(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(node, root): the classes that are similar to another one, with the least class of their component."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     blobs = small_batches(docs).select("text").mapInArrow(_blobs(parts), "bucket int, blob binary")
@@ -229,19 +245,23 @@ def similar_links(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFram
     groups = cut(components(near))
     placed = live.join(groups, F.col("sig") == F.col("node")).select("root", "sig", "n", "tids", "dfs", (F.octet_length("tids") / 8).cast("long").alias("tokens"))
     sizes = placed.groupBy("root").agg(F.ceil(F.sum("tokens") / F.lit(block_tokens)).cast("int").alias("blocks"))
-    split = placed.join(broadcast_if_small(cut(sizes.where("blocks > 1")).select(F.col("root").alias("r"), "blocks")), F.col("root") == F.col("r"), "left")
+    large = cut(sizes.where("blocks > 1"))
+    split = placed.join(broadcast_if_small(large.select(F.col("root").alias("r"), "blocks")), F.col("root") == F.col("r"), "left")
     block = F.pmod(F.xxhash64("sig"), F.coalesce("blocks", F.lit(1))).cast("int")
     split = split.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
     tasks = split.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "n", "tids", "dfs")
     tasks = tasks.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    return tasks.mapInArrow(_join_blocks, "a long, b long")
+    links = cut(tasks.mapInArrow(_join_blocks, "a long, b long"))
+    if large.isEmpty():  # every candidate component was joined by one task, whose stars are final
+        return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return components(links)
 
 
 def near_duplicates(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, sig (its class; null for an empty set)."""
     named = cut(named_sets(docs))
     classes_ = named.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"))
-    roots = cut(components(similar_links(docs, block_tokens)))
+    roots = cut(similar_components(docs, block_tokens))
     reach = classes_.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
     reach = cut(reach)
     found = reach.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component_id"))
