@@ -49,6 +49,7 @@ def hit_rates(lines: DataFrame, lexicon: DataFrame, key: list[str], langs: Colum
     spread = lines.select(*key, langs.alias("langs"), found.alias("words")).where(F.size("words") >= MIN_WORDS)
     spread = spread.select(*key, "langs", F.posexplode("words").alias("at", "word")).select(*key, "at", "langs", F.lower("word").alias("word"))
     known = lexicon.where(F.col("zipf") > MIN_ZIPF).groupBy("word").agg(F.collect_set("lang").alias("in_langs"))
+    known = known.persist()  # read by the count and by the join
     joined = spread.join(small_side(known), "word", "left")
     hit = F.coalesce(F.arrays_overlap("langs", "in_langs"), F.lit(False)).cast("double")
     return joined.groupBy(*key).agg(F.avg(hit).alias("hit_rate"))
