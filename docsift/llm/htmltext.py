@@ -15,6 +15,7 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -57,10 +58,10 @@ for _kind, _words in CLASS_WORDS.items():
 
 
 class Block:
-    __slots__ = ("path", "text", "linked")
+    __slots__ = ("path", "text", "linked", "at")
 
-    def __init__(self, path: tuple, text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    def __init__(self, path: tuple, text: str, linked: int, at: int):
+        self.path, self.text, self.linked, self.at = path, text, linked, at
 
 
 @lru_cache(20_000)
@@ -83,16 +84,16 @@ def blocks(page: str) -> list[Block]:
     stack: list[tuple[str, tuple[str, ...]]] = []
     out: list[Block] = []
     pieces: list[str] = []
-    linked, links, at, skip = 0, 0, 0, ""
+    linked, links, at, begun, filled, skip = 0, 0, 0, 0, False, ""
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, filled
         if pieces:
             text = " ".join("".join(pieces).split())
             if text:
-                out.append(Block(tuple(x for x in stack if x[0] not in INLINE), text, linked))
+                out.append(Block(tuple(x for x in stack if x[0] not in INLINE), text, linked, begun))
             pieces.clear()
-        linked = 0
+        linked, filled = 0, False
 
     def close(tag: str, stops=frozenset()) -> None:
         nonlocal links
@@ -109,6 +110,8 @@ def blocks(page: str) -> list[Block]:
         if start > at and not skip:
             raw = page[at:start]
             piece = html.unescape(raw) if "&" in raw else raw
+            if not filled and not piece.isspace():
+                begun, filled = at, True
             pieces.append(piece)
             if links:
                 linked += len(piece)
@@ -148,6 +151,7 @@ def blocks(page: str) -> list[Block]:
         links += tag == "a"
     if at < len(page) and not skip:
         raw = page[at:]
+        begun = begun if filled else at
         pieces.append(html.unescape(raw) if "&" in raw else raw)
     flush()
     return out
@@ -217,14 +221,17 @@ class Chain:
 
     def learn(self, pages: list[tuple[list[list[str]], list[int]]], epochs: int = 8, rate: float = 0.3, decay: float = 1e-4, seed: int = 3) -> None:
         """Maximise the conditional likelihood; expectations by forward and backward sums."""
-        rng = random.Random(seed)
+        names = sorted({f for feats, _ in pages for x in feats for f in x})
+        number = {f: k for k, f in enumerate(names)}
+        weight, rng = np.zeros(len(names)), random.Random(seed)
+        rows = [([np.array([number[f] for f in x]) for x in feats], labels) for feats, labels in pages]
         for epoch in range(epochs):
-            rng.shuffle(pages)
+            rng.shuffle(rows)
             pace = rate / (1 + epoch)
-            for feats, labels in pages:
+            for feats, labels in rows:
                 n = len(labels)
                 odds = np.zeros((n, 2))
-                odds[:, 1] = [sum(self.weight.get(f, 0.0) for f in x) for x in feats]
+                odds[:, 1] = [weight[x].sum() for x in feats]
                 ahead, behind = np.zeros((n, 2)), np.zeros((n, 2))
                 ahead[0] = self.first + odds[0]
                 for t in range(1, n):
@@ -234,17 +241,14 @@ class Chain:
                     behind[t] = np.logaddexp(self.pairs[:, 0] + nxt[0], self.pairs[:, 1] + nxt[1])
                 total = np.logaddexp(*ahead[-1])
                 chance = np.exp(ahead + behind - total)
-                for t in range(n):
-                    slope = pace * (labels[t] - chance[t, 1])
-                    for f in feats[t]:
-                        w = self.weight.get(f, 0.0)
-                        self.weight[f] = w + slope - pace * decay * w
+                both = np.exp(ahead[:-1, :, None] + self.pairs + (odds + behind)[1:, None, :] - total)
+                for x, label, p in zip(feats, labels, chance[:, 1], strict=True):
+                    weight[x] += pace * (label - p) - pace * decay * weight[x]
                 self.first[labels[0]] += pace
                 self.first -= pace * chance[0]
-                for t in range(1, n):
-                    both = np.exp(ahead[t - 1][:, None] + self.pairs + (odds[t] + behind[t])[None, :] - total)
-                    self.pairs[labels[t - 1], labels[t]] += pace
-                    self.pairs -= pace * both
+                np.add.at(self.pairs, (labels[:-1], labels[1:]), pace)
+                self.pairs -= pace * both.sum(axis=0)
+        self.weight = dict(zip(names, weight.tolist(), strict=True))
         self._paths.clear()
 
 
@@ -326,15 +330,14 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[int
 
 
 def _split_labels(parts: list[str]) -> tuple[str, list[int]]:
-    """The page, and the label of each of its blocks: that of the part which its text begins in."""
-    page, labels = "", []
+    """The page, and the label of each of its blocks: that of the part in which its text begins."""
+    page, starts, labels = "", [], []
     for part in parts:
-        label, part = (int(part[1]), part[2:]) if part[:1] == "\x02" else (None, part)
-        before = len(blocks(page)) if label is not None else 0
+        label, part = (int(part[1]), part[2:]) if part[:1] == "\x02" else (0, part)
+        starts.append(len(page))
+        labels.append(label)
         page += part
-        if label is not None:
-            labels += [label] * (len(blocks(page + "<div></div>")) - before)
-    return page, labels
+    return page, [labels[bisect_right(starts, b.at) - 1] for b in blocks(page)]
 
 
 @lru_cache(1)
