@@ -91,10 +91,11 @@ def reply_order(messages: DataFrame) -> DataFrame:
     kept = [c for c in messages.columns if c not in OWN and c != "text"]
     links = cut(reply_links(quoted_passages(messages)))
     roots = thread_roots(links)
-    links = links.withColumnRenamed("conv_id", "c0").withColumnRenamed("turn", "t0")
+    links = links.withColumnRenamed("conv_id", "__c0").withColumnRenamed("turn", "__t0")
+    roots = roots.withColumnRenamed("c", "__c").withColumnRenamed("t", "__t")
     rows = messages.select(*kept, body_of(F.col("text")).alias("body"))
-    rows = rows.join(links, F.col("conv_id").eqNullSafe(F.col("c0")) & F.col("turn").eqNullSafe(F.col("t0")), "left")
-    rows = rows.join(roots, F.col("conv_id").eqNullSafe(F.col("c")) & F.col("turn").eqNullSafe(F.col("t")), "left")
+    rows = rows.join(links, F.col("conv_id").eqNullSafe(F.col("__c0")) & F.col("turn").eqNullSafe(F.col("__t0")), "left")
+    rows = rows.join(roots, F.col("conv_id").eqNullSafe(F.col("__c")) & F.col("turn").eqNullSafe(F.col("__t")), "left")
     zero = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("levels", "n_quoted", "n_linked")]
     rows = rows.select(*kept, "body", *zero, F.col("parent_turn").cast("long").alias("parent_turn"), F.coalesce("thread_turn", "turn").cast("long").alias("thread_turn"))
     return _positions(rows)

@@ -126,4 +126,6 @@ def test_quotations_are_linked(spark):
     assert got[None, 0].body == "" and got[3, 0].position == 1
     assert got[4, 1].parent_turn == 0 and got[4, 1].position == 3
     assert Q.reply_order(messages).count() == len(rows)
+    extra = messages.selectExpr("*", "1 AS c", "2 AS t", "3 AS position", "'x' AS key", "4 AS origin", "5 AS level")
+    assert Q.reply_order(extra).where("c = 1 AND t = 2 AND key = 'x' AND position > 0").count() == len(rows)
     assert Q.reply_order(messages.limit(0)).count() == 0
