@@ -36,6 +36,7 @@ def looping(seq: list[int], min_run: int = MIN_RUN) -> bool:
 
 def pick(logits: np.ndarray, banned: set[int]) -> int:
     """Place of the first maximum that is not banned."""
+    logits = np.asarray(logits)
     out = [t for t in banned if 0 <= t < len(logits)]
     if out:
         logits = np.array(logits, copy=True)

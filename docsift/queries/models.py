@@ -139,9 +139,41 @@ def loop_detect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("user_id", Q.looping(F.col("seq")).alias("looping"))
 
 
+def greedy_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logits scripted by the users' events: the event's own token leads, the next number is second, 5 (view) ends."""
+    import pandas as pd
+
+    from docsift.models.decode import greedy
+
+    def run(frames):
+        for frame in frames:
+            rows = []
+            for user, seq in zip(frame["user_id"], frame["seq"], strict=True):
+                script = [[2.0 * (k == t) + 1.0 * (k == (t + 1) % 6) for k in range(6)] for t in seq]
+                at = iter(script[1:] + [[0.0] * 5 + [9.0]] * 2049)
+                tokens, stop = greedy(script[0], lambda _, at=at: next(at), eos=5)
+                rows.append((user, ",".join(map(str, tokens)), stop))
+            yield pd.DataFrame(rows, columns=["user_id", "tokens", "stop"])
+
+    return _user_tokens(spark, sf_dir).mapInPandas(run, "user_id long, tokens string, stop string")
+
+
+def onnx_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A hand-encoded look-up graph and a broken file, as tables."""
+    from docsift.models.wire import bytes_field as b
+    from docsift.models.wire import int_field as i
+    from docsift.models.wire import onnx_tables as tables
+
+    gather = b(1, b(1, b"t") + b(1, b"ids") + b(2, b"e") + b(3, b"look") + b(4, b"Gather"))
+    rows = b(5, i(1, 2) + i(1, 2) + i(2, 1) + b(8, b"t") + b(9, bytes(16)))
+    graph = b(7, gather + rows + b(11, b(1, b"ids")) + b(12, b(1, b"e"))) + b(8, b(1, b"") + i(2, 13))
+    files = spark.createDataFrame([("lookup.onnx", bytearray(graph)), ("broken.onnx", bytearray(b"\x3a\x7f"))], "path string, content binary")
+    return tables(files).selectExpr("path", "opset", "lookup", "last_position", "error", "nodes[0].op AS op", "tensors[0].dims AS dims")
+
+
 QUERIES = {
     f.__name__: f
-    for f in (smart_resize, det_resize, order_quads, unclip_quads, box_filter, aspect_batches, reading_order, ctc_decode, softmax_guard, embedding_lookup, embedding_splice, banned_tokens, loop_detect)
+    for f in (greedy_decode, onnx_tables, smart_resize, det_resize, order_quads, unclip_quads, box_filter, aspect_batches, reading_order, ctc_decode, softmax_guard, embedding_lookup, embedding_splice, banned_tokens, loop_detect)
 }
 
 _SIZES = "sizes AS (SELECT p_partkey, (p_partkey * 37 % 2999 + 1)::DOUBLE AS h, (p_partkey * 53 % 3001 + p_size)::DOUBLE AS w FROM part)"

@@ -225,3 +225,34 @@ def test_structured_reader(spark, tmp_path):
     pages = spark.createDataFrame([("a", 30, 40, 3, bytearray(page[:, :, ::-1].tobytes())), ("b", 5, 5, 3, bytearray(b"x"))], "path string, height int, width int, channels int, data binary")
     got = {r.path: r for r in S.read_structured(pages, config).collect()}
     assert got["a"].text == text and got["b"].error
+
+
+def png(a):
+    """A PNG file of an RGB array, with the standard library only."""
+    import struct
+    import zlib
+
+    raw = b"".join(b"\0" + row.tobytes() for row in a)
+    chunk = lambda kind, body: struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body))
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", a.shape[1], a.shape[0], 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def test_images_truths_and_globs(spark, tmp_path):
+    from docsift.sources import inputs
+
+    a = np.random.default_rng(0).integers(0, 255, (5, 7, 3)).astype(np.uint8)
+    (tmp_path / "p.one.png").write_bytes(png(a))
+    (tmp_path / "bad.png").write_bytes(b"no image")
+    rows = inputs.read_images(spark, f"{tmp_path}/*.png").collect()
+    assert [(r.stem, r.height, r.width, r.channels) for r in rows] == [("p.one", 5, 7, 3)]
+    assert np.array_equal(engine.bgr(rows[0].data, 5, 7, 3)[:, :, ::-1], a)
+    (tmp_path / "p.one.txt").write_text(" truth \n", encoding="utf-8")
+    assert [(r.stem, r.truth) for r in inputs.read_truth(spark, f"{tmp_path}/*.txt").collect()] == [("p.one", "truth")]
+    got = [r.arg.rpartition("/")[2] for r in inputs.expand_inputs(spark, [f"{tmp_path}/*.png", "no-such-*", f"{tmp_path}/p.one.txt"]).orderBy("pos").collect()]
+    assert got == ["bad.png", "p.one.png", "no-such-*", "p.one.txt"]
+    urls = spark.createDataFrame([(f"file://{tmp_path}/p.one.txt",), ("file:///no/such",)], "url string")
+    fetched = {r.url[-4:]: r for r in inputs.fetch(urls).collect()}
+    assert bytes(fetched[".txt"].content) == b" truth \n" and fetched["such"].error
+    from docsift.operators.integrity import file_digests
+
+    assert file_digests(spark, str(tmp_path)).count() == 3
