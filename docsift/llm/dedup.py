@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docsift.llm.common import broadcast_if_small, cut, shuffle_parts, small_batches, table
 from docsift.llm.graph import components
-from docsift.llm.kernel import U64, classes, hash_segments, mix64, slices, windows, words_of
+from docsift.llm.kernel import U64, classes, hash_segments, mix64, release_memory, slices, windows, words_of
 from docsift.llm.triejoin import links_within
 
 WIDTH, PERCENT = 5, 75
@@ -118,53 +118,63 @@ def _blobs(parts: int):
                         held, docs, tokens = [], {}, 0
         if held:
             yield flush()
+        release_memory()
 
     return run
 
 
 def _shared(parts: int):
-    """Of one bucket: the tokens that two classes or more have, back to their classes."""
+    """Of one bucket: the tokens that two classes or more have, back to their classes. A quarter of the tokens at a time."""
 
     def run(key: tuple, frame: pa.Table) -> pa.Table:
-        toks, docs, base = [], [], 0
+        docs, packed, base = [], [], 0
         for blob in frame.column("blob"):
             raw = blob.as_buffer()
             n = int.from_bytes(raw[:4].to_pybytes(), "little")
             docs.append(np.frombuffer(raw, _DOC, n, 4))
-            part = np.frombuffer(raw, np.uint64, offset=4 + n * _DOC.itemsize)
-            toks.append((part >> U64(16), (part & U64(0xFFFF)).astype(np.int64) + base))
+            packed.append((np.frombuffer(raw, np.uint64, offset=4 + n * _DOC.itemsize), base))
             base += n
-        table_of = np.concatenate(docs)
-        tok, doc = (np.concatenate(x) for x in zip(*toks, strict=True))
-        order = np.argsort(tok)
-        tok = tok[order]
-        same = tok[1:] == tok[:-1]
-        more = np.concatenate((same, [False])) | np.concatenate(([False], same))
-        tok, doc = tok[more], doc[order[more]]
-        sig = table_of["sig"][doc]
-        order = np.lexsort((sig, tok))
-        tok, doc, sig = tok[order], doc[order], sig[order]
-        if len(tok):
-            first = np.concatenate(([True], (tok[1:] != tok[:-1]) | (sig[1:] != sig[:-1])))
-            tok, doc, sig = tok[first], doc[first], sig[first]
-            start = np.flatnonzero(np.concatenate(([True], tok[1:] != tok[:-1])))
-            df = np.repeat(np.diff(np.concatenate((start, [len(tok)]))), np.diff(np.concatenate((start, [len(tok)]))))
-            keep = df > 1
-            tok, doc, sig, df = tok[keep], doc[keep], sig[keep], df[keep]
-        else:
-            df = np.zeros(0, np.int64)
-        reply = np.zeros(len(tok), _REPLY)
-        reply["sig"], reply["n"], reply["df"], reply["tid"] = sig, table_of["n"][doc], df, tok | (U64(int(key[0].as_py()) & 0xFFFF) << U64(48))
-        to = (sig.view(np.uint64) % U64(parts)).astype(np.int32)
-        order = np.lexsort((reply["sig"], to))
-        reply, to = reply[order], to[order]
-        edges = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))) if len(to) else np.zeros(1, np.int64)
-        spans = list(zip(edges[:-1], edges[1:], strict=True))
-        return pa.table({"bucket": pa.array([int(to[a]) for a, _ in spans], pa.int32()), "blob": pa.array([reply[a:b].tobytes() for a, b in spans], pa.binary())})
+        table_of, mark = np.concatenate(docs), U64(int(key[0].as_py()) & 0xFFFF) << U64(48)
+        out = pa.concat_tables([_replies(*_quarter(packed, q), table_of, mark, parts) for q in range(4)])
+        del docs, packed
+        release_memory()
+        return out
 
     return run
 
 
+def _quarter(packed: list[tuple[np.ndarray, int]], q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens whose top two bits are q, and the places of their classes."""
+    parts = [(p[p >> U64(62) == U64(q)], base) for p, base in packed]
+    return np.concatenate([p >> U64(16) for p, _ in parts]), np.concatenate([(p & U64(0xFFFF)).astype(np.int64) + base for p, base in parts])
+
+
+def _replies(tok: np.ndarray, doc: np.ndarray, table_of: np.ndarray, mark: np.uint64, parts: int) -> pa.Table:
+    order = np.argsort(tok)
+    tok = tok[order]
+    same = tok[1:] == tok[:-1]
+    more = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(tok) else np.zeros(0, bool)
+    tok, doc = tok[more], doc[order[more]]
+    order = np.lexsort((table_of["sig"][doc], tok))
+    tok, doc = tok[order], doc[order]
+    sig = table_of["sig"][doc]
+    first = np.ones(len(tok), bool)
+    first[1:] = (tok[1:] != tok[:-1]) | (sig[1:] != sig[:-1])
+    tok, doc, sig = tok[first], doc[first], sig[first]
+    start = np.flatnonzero(np.concatenate((np.ones(min(1, len(tok)), bool), tok[1:] != tok[:-1])))
+    uses = np.diff(np.concatenate((start, [len(tok)])))
+    df = np.repeat(uses, uses)
+    keep = df > 1
+    reply = np.zeros(int(keep.sum()), _REPLY)
+    reply["sig"], reply["n"], reply["df"], reply["tid"] = sig[keep], table_of["n"][doc[keep]], df[keep], tok[keep] | mark
+    to = (reply["sig"].view(np.uint64) % U64(parts)).astype(np.int32)
+    order = np.lexsort((reply["sig"], to))
+    reply, to = reply[order], to[order]
+    edges = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))) if len(to) else np.zeros(1, np.int64)
+    spans = list(zip(edges[:-1], edges[1:], strict=True))
+    return pa.table({"bucket": pa.array([int(to[a]) for a, _ in spans], pa.int32()), "blob": pa.array([reply[a:b].tobytes() for a, b in spans], pa.binary())})
+
+
 def beginning(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     """How many of the rarest tokens of a set of n must hold one of any similar set."""
     n = n.astype(np.int64)
@@ -180,10 +190,13 @@ def _survivors(_key: tuple, frame: pa.Table) -> pa.Table:
     n = got["n"][start].astype(np.int64)
     k = beginning(n) - (n - (end - start))
     live = np.flatnonzero(k > 0)
-    return pa.table({
+    out = pa.table({
         "sig": pa.array(got["sig"][start][live], pa.int64()), "n": pa.array(n[live], pa.int64()), "k": pa.array(k[live], pa.int64()),
         "tids": pa.array([got["tid"][start[i] : end[i]].tobytes() for i in live], pa.binary()), "dfs": pa.array([got["df"][start[i] : end[i]].tobytes() for i in live], pa.binary()),
     })
+    del got
+    release_memory()
+    return out
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

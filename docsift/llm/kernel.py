@@ -7,6 +7,7 @@ follow the length of a text beyond a few bytes per byte of it.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -38,6 +39,15 @@ def _power_tables() -> tuple[np.ndarray, np.ndarray]:
     return _tables["up"], _tables["down"]
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a worker that stays alive shares its executor's limit with the JVM."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not glibc
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Finalizer that spreads every bit over all others."""
     x = (x ^ (x >> U64(30))) * U64(0xBF58476D1CE4E5B9)
