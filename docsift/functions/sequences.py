@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docsift.functions.geometry import bind
+
 NGRAM, MIN_RUN, SHORT_PERIODS, LONG_PERIODS = 4, 40, (2, 12), (13, 60)
 
 
@@ -57,12 +59,17 @@ def softmax_guard(rows: Column) -> Column:
 def ctc_decode(probs: Column, charset: Column) -> Column:
     """struct(text, score): repeats collapsed, blanks (0) dropped, score the mean maximum of what is kept."""
     best = F.transform(probs, lambda r: F.struct(argmax(r).alias("k"), F.array_max(r).cast("double").alias("p")))
-    before = F.concat(F.array(F.struct(F.lit(-1).alias("k"), F.lit(0.0).alias("p"))), best)
-    pairs = F.zip_with(best, F.slice(before, F.lit(1), F.size(best)), lambda a, b: F.struct(a["k"].alias("k"), a["p"].alias("p"), (a["k"] != b["k"]).alias("new")))
-    kept = F.filter(pairs, lambda x: x["new"] & (x["k"] != 0))
-    text = F.array_join(F.transform(F.filter(kept, lambda x: x["k"] < F.size(charset)), lambda x: F.element_at(charset, x["k"] + 1)), "")
-    total = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x["p"])
-    return F.struct(text.alias("text"), F.coalesce(F.try_divide(total, F.size(kept).cast("double")), F.lit(0.0)).alias("score"))
+
+    def fresh(all_best: Column) -> Column:
+        """What is no blank and no repeat."""
+        return F.filter(all_best, lambda x, i: (x["k"] != 0) & ((i == 0) | (F.get(all_best, i - 1)["k"] != x["k"])))
+
+    def decoded(kept: Column) -> Column:
+        text = F.array_join(F.transform(F.filter(kept, lambda x: x["k"] < F.size(charset)), lambda x: F.element_at(charset, x["k"] + 1)), "")
+        total = F.aggregate(kept, F.lit(0.0), lambda a, x: a + x["p"])
+        return F.struct(text.alias("text"), F.coalesce(F.try_divide(total, F.size(kept).cast("double")), F.lit(0.0)).alias("score"))
+
+    return bind(bind(best, fresh), decoded)
 
 
 def charset_for(chars: Column, classes: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from docsift.functions import text as X
+from docsift.functions.geometry import bind
 
 LOOK_BACK, MIN_OVERLAP, PARAGRAPH_GAP = 3, 0.5, 0.9
 _ROW = "array<struct<top:double,bot:double,cells:array<struct<x:double,text:string>>>>"
@@ -29,12 +30,15 @@ def _absorb(rows: Column, b: Column) -> Column:
     def overlaps(r: Column) -> Column:
         return F.least(b["bot"], r["bot"]) - F.greatest(b["top"], r["top"]) > MIN_OVERLAP * F.least(height, r["bot"] - r["top"])
 
-    back = F.transform(F.slice(rows, start, F.lit(LOOK_BACK)), overlaps)
-    place = F.coalesce(F.array_position(back, F.lit(True)), F.lit(0)) + start - 1
+    found = F.array_position(F.transform(F.slice(rows, start, F.lit(LOOK_BACK)), overlaps), F.lit(True))
     cell = F.array(F.struct(b["x"].alias("x"), b["text"].alias("text")))
-    grown = F.transform(rows, lambda r, i: F.when(i + 1 == place, F.struct(F.least(r["top"], b["top"]).alias("top"), F.greatest(r["bot"], b["bot"]).alias("bot"), F.concat(r["cells"], cell).alias("cells"))).otherwise(r))
-    fresh = F.concat(rows, F.array(F.struct(b["top"].alias("top"), b["bot"].alias("bot"), cell.alias("cells"))))
-    return F.when(F.exists(back, lambda x: x), grown).otherwise(fresh)
+
+    def placed(place: Column) -> Column:
+        grown = F.transform(rows, lambda r, i: F.when(i + 1 == place, F.struct(F.least(r["top"], b["top"]).alias("top"), F.greatest(r["bot"], b["bot"]).alias("bot"), F.concat(r["cells"], cell).alias("cells"))).otherwise(r))
+        fresh = F.concat(rows, F.array(F.struct(b["top"].alias("top"), b["bot"].alias("bot"), cell.alias("cells"))))
+        return F.when(place > 0, grown).otherwise(fresh)
+
+    return bind(F.when(found > 0, found + start - 1).otherwise(F.lit(0)), placed)
 
 
 def upper_median(values: Column) -> Column:
@@ -42,13 +46,22 @@ def upper_median(values: Column) -> Column:
 
 
 def assemble_lines(items: Column) -> Column:
-    """Plain text in reading order of an array of struct(quad, text)."""
+    """Plain text in reading order of an array of struct(quad, text). Each intermediate array is evaluated once."""
+
+    def by_top(rows: Column) -> Column:
+        return F.array_sort(F.transform(rows, lambda r, i: F.struct(r["top"].alias("top"), i.alias("i"), r["bot"].alias("bot"), r["cells"].alias("cells"))))
+
+    def measured(rows: Column) -> Column:
+        median = upper_median(F.transform(rows, lambda r: r["bot"] - r["top"]))
+        return F.struct(rows.alias("rows"), F.when(median == 0, F.lit(1.0)).otherwise(median).alias("median"))
+
+    def joined(m: Column) -> Column:
+        def line(r: Column, i: Column) -> Column:
+            above = F.get(m["rows"], i - 1)["bot"]
+            gap = (i > 0) & (r["top"] - above > PARAGRAPH_GAP * m["median"])
+            return F.concat(F.when(gap, F.lit("\n")).otherwise(F.lit("")), F.array_join(F.transform(F.array_sort(r["cells"]), lambda c: c["text"]), " "))
+
+        return F.array_join(F.transform(m["rows"], line), "\n")
+
     rows = F.aggregate(_boxes(items), F.array().cast(_ROW), lambda acc, b: _absorb(acc, b).cast(_ROW))
-    numbered = F.transform(rows, lambda r, i: F.struct(r["top"].alias("top"), i.alias("i"), r["bot"].alias("bot"), r["cells"].alias("cells")))
-    rows = F.array_sort(numbered)
-    median = upper_median(F.transform(rows, lambda r: r["bot"] - r["top"]))
-    median = F.when(median == 0, F.lit(1.0)).otherwise(median)
-    shifted = F.concat(F.array(F.lit(None).cast("double")), F.transform(rows, lambda r: r["bot"]))
-    gaps = F.zip_with(rows, F.slice(shifted, F.lit(1), F.size(rows)), lambda r, bot: F.struct(r["cells"].alias("cells"), F.coalesce(r["top"] - bot > PARAGRAPH_GAP * median, F.lit(False)).alias("gap")))
-    lines = F.transform(gaps, lambda g: F.concat(F.when(g["gap"], F.lit("\n")).otherwise(F.lit("")), F.array_join(F.transform(F.array_sort(g["cells"]), lambda c: c["text"]), " ")))
-    return F.array_join(lines, "\n")
+    return bind(bind(bind(rows, by_top), measured), joined)
