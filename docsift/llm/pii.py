@@ -9,6 +9,10 @@ tokens and passwords go through the same permutation, character class by charact
 Formats: e-mail, payment card (Luhn), IBAN (mod 97), US social security number, IPv4 address, phone number, date
 (ISO, d.m.y, d/m/y or m/d/y), access key id, token or password after its name.
 
+Of cards and IBANs every reading between borders of groups is tried. Where a pseudonym would make another reading of its
+neighbours valid, the next of its cycle is taken: undoing stays exact among them, and only there equal values may part.
+Digit groups taken for a phone number can still become a valid card by chance, and are then undone as one.
+
 Defined cases: null and empty texts stay; values that fail validation stay; overlapping finds go to the format listed
 first; repeated rows get equal results; empty input gives an empty result. Whole texts are searched, at any length.
 Extra columns pass through ``pseudonymise``.
@@ -19,7 +23,8 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
-from collections.abc import Iterator
+from bisect import bisect_left, insort
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -33,6 +38,21 @@ KEY = b"docsift-demo-key"  # production runs pass their own
 ROUNDS = 8
 UPPER, LOWER_CASE, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
+#: Usual digit groups of cards, lengths of IBANs by country, and a bound of the characters of either.
+CARD_GROUPS = frozenset({(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3)})
+IBAN_LENGTHS = {
+    c: n
+    for n, countries in {
+        15: "NO", 16: "BE BI", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH CR HR LI LV", 22: "BG BH DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+        24: "AD CZ DZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BF CM CG DJ FR GA GR IT MC MG MR SM", 28: "AL AO AZ BJ BY CI CV CY DO GT GW HN HU LB ML MZ NE NI PL SN SV TG",
+        29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+    }.items()
+    for c in countries.split()
+}
+LONGEST = 80
+_GROUP = re.compile("[0-9]+")
+_IBAN_TAIL = re.compile("[A-Z0-9]+(?: [A-Z0-9]+)*")
+
 
 class Feistel:
     """Keyed permutation of mixed-radix numbers: each round adds a hash of one half to the other, modulo its size."""
@@ -106,24 +126,95 @@ def _fill(shape: str, digits: str) -> str:
     return "".join(next(new) if ch in DIGITS else ch for ch in shape)
 
 
-def _card(m: re.Match, f: Feistel, undo: bool) -> str | None:
-    digits = re.sub(r"\D", "", m[0])
-    if not 13 <= len(digits) <= 19 or int(digits[-1]) != luhn_digit(digits[:-1]) or len(set(digits)) == 1:
-        return None
-    payload = f.characters(digits[:-1], "card", undo)
-    while len(set(payload + str(luhn_digit(payload)))) == 1:  # not a card number: on to the next of the cycle
-        payload = f.characters(payload, "card", undo)
-    return _fill(m[0], payload + str(luhn_digit(payload)))
+def _plain(shape: str) -> str:
+    return shape.replace(" ", "").replace("-", "")
 
 
-def _iban(m: re.Match, f: Feistel, undo: bool) -> str | None:
-    plain = m[0].replace(" ", "")
-    country, check, rest = plain[:2], plain[2:4], plain[4:]
-    if not 15 <= len(plain) <= 34 or iban_check(country, rest) != check:
-        return None
-    new = f.characters(rest, "iban-" + country, undo)
-    chars = iter(country + iban_check(country, new) + new)
-    return "".join(" " if ch == " " else next(chars) for ch in m[0])
+def _is_card(shape: str) -> bool:
+    digits = _plain(shape)
+    return int(digits[-1]) == luhn_digit(digits[:-1]) and len(set(digits)) > 1
+
+
+def _card(shape: str, f: Feistel, undo: bool) -> str:
+    payload = f.characters(_plain(shape)[:-1], "card", undo)
+    return _fill(shape, payload + str(luhn_digit(payload)))
+
+
+def _card_readings(text: str, runs: re.Pattern) -> Iterator[tuple[tuple, int, int]]:
+    """(precedence, start, end) of what may be a card: 13 to 19 digits from a border of digit groups to another. Usual
+    groupings come first, then the earlier start, then the longer reading."""
+    for run in runs.finditer(text):
+        groups = [(run.start() + g.start(), run.start() + g.end()) for g in _GROUP.finditer(run[0])]
+        for i, (start, _) in enumerate(groups):
+            digits = 0
+            for j in range(i, len(groups)):
+                digits += groups[j][1] - groups[j][0]
+                if digits > 19:
+                    break
+                if digits >= 13:
+                    usual = tuple(b - a for a, b in groups[i : j + 1]) in CARD_GROUPS or i == j
+                    yield (not usual, start, -digits), start, groups[j][1]
+
+
+def _is_iban(shape: str) -> bool:
+    plain = shape.replace(" ", "")
+    return iban_check(plain[:2], plain[4:]) == plain[2:4]
+
+
+def _iban(shape: str, f: Feistel, undo: bool) -> str:
+    plain = shape.replace(" ", "")
+    country, rest = plain[:2], f.characters(plain[4:], "iban-" + plain[:2], undo)
+    chars = iter(country + iban_check(country, rest) + rest)
+    return "".join(" " if ch == " " else next(chars) for ch in shape)
+
+
+def _iban_readings(text: str, starts: re.Pattern) -> Iterator[tuple[tuple, int, int]]:
+    """(precedence, start, end) of what may be an IBAN: readings of the country's length come first, then the earlier
+    start, then the longer reading."""
+    for begin in starts.finditer(text):
+        start, chars = begin.start(), 0
+        tail = _IBAN_TAIL.match(text, start)
+        for at in range(start, tail.end()):
+            chars += text[at] != " "
+            if chars > 34:
+                break
+            if chars >= 15 and text[at] != " " and not text[at + 1 : at + 2].isalnum() and text[at + 1 : at + 2] != "_":
+                yield (IBAN_LENGTHS.get(begin[0][:2]) != chars, start, -chars), start, at + 1
+
+
+def _read(text: str, readings: Iterable, valid: Callable[[str], bool], change: Callable, f: Feistel, undo: bool, taken: list[tuple]) -> list[tuple[int, int, str]]:
+    """(start, end, new value) of the valid readings that neither overlap one of higher precedence nor a taken span.
+
+    A value on which a reading of higher precedence would become valid walks on to the next of its cycle, so that the
+    new text is read as the old one was and can be undone. Readings change in order of place, or back in reverse.
+    """
+    blocked: list[tuple[int, int]] = []
+    for a, b in sorted((x[0], x[1]) for x in taken):
+        if blocked and a < blocked[-1][1]:
+            blocked[-1] = (blocked[-1][0], max(b, blocked[-1][1]))
+        else:
+            blocked.append((a, b))
+    all_ = [x for x in readings if not _overlaps(x[1:], blocked)]
+    chosen: dict[tuple[int, int], tuple] = {}
+    places: list[tuple[int, int]] = []
+    for order, a, b in sorted(all_):
+        if not _overlaps((a, b), places) and valid(text[a:b]):
+            _insert(places, (a, b))
+            chosen[a, b] = order
+    if not chosen:
+        return []
+    all_.sort(key=lambda x: x[1:])
+    at, chars, out = [x[1] for x in all_], list(text), []
+    for a, b in reversed(places) if undo else places:
+        near = [(o, c, d) for o, c, d in all_[bisect_left(at, a - LONGEST) : bisect_left(at, b)] if d > a and o < chosen[a, b]]
+        rivals = [(c, d) for o, c, d in near if not any(p[1] > c and chosen[p] < o for p in places[bisect_left(places, (c - LONGEST, 0)) : bisect_left(places, (d, 0))])]
+        while True:
+            chars[a:b] = change("".join(chars[a:b]), f, undo)
+            if valid("".join(chars[a:b])) and not any(valid("".join(chars[c:d])) for c, d in rivals):
+                break
+    for a, b in places:
+        out.append((a, b, "".join(chars[a:b])))
+    return out
 
 
 def _ssn(m: re.Match, f: Feistel, undo: bool) -> str | None:
@@ -198,13 +289,15 @@ FORMATS = (
     ("secret", re.compile(r"(?P<before>\b(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9+/_\-]{8,}(?=[\"'\s,;.]|\Z))", re.I), _secret),
     ("access", re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"), _access),
     ("email", re.compile(r"(?<![\w.%+-])(?P<name>[A-Za-z0-9._%+\-]{1,64})@(?P<host>[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)"), _email),
-    ("iban", re.compile(r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b"), _iban),
-    ("card", re.compile(r"(?<![\w.+])\d(?:[ -]?\d){12,18}(?!\w)"), _card),
+    ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])"), _iban),
+    ("card", re.compile(r"(?<![\w.+])[0-9]+(?:[ -][0-9]+)*(?!\w)"), _card),
     ("ssn", re.compile(r"(?<![\w-])(?P<area>\d{3})-(?P<group>\d{2})-(?P<serial>\d{4})(?![\w-])"), _ssn),
     ("date", re.compile(r"(?<![\w.-])(?:(?P<y1>\d{4})(?P<s1>[-/.])(?P<mo1>\d{2})(?P=s1)(?P<d1>\d{2})|(?P<a2>\d{1,2})(?P<s2>[./-])(?P<b2>\d{1,2})(?P=s2)(?P<y2>\d{4}))(?![\w-]|\.\d)"), _date),
     ("ip", re.compile(r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"), _ip),
     ("phone", re.compile(r"(?<![\w+])(?:\+(?P<code>\d{1,3})[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|(?<=\d[ .-])\d{2,4}(?:[ .-]?\d{2,4}){2,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)"), _phone),
 )
+#: Formats of which several readings are tried.
+READINGS = {"iban": (_iban_readings, _is_iban), "card": (_card_readings, _is_card)}
 
 
 def replace(text: str, feistel: Feistel, undo: bool = False) -> tuple[str, list[str]]:
@@ -214,6 +307,10 @@ def replace(text: str, feistel: Feistel, undo: bool = False) -> tuple[str, list[
     for kind, pattern, change in FORMATS:
         if kind == "email" and "@" not in text or kind not in ("email", "secret") and not has_digit:
             continue
+        if kind in READINGS:
+            readings, valid = READINGS[kind]
+            found += [(a, b, kind, new) for a, b, new in _read(text, readings(text, pattern), valid, change, feistel, undo, found)]
+            continue
         for m in pattern.finditer(text):
             new = change(m, feistel, undo)
             if new is not None:
@@ -235,15 +332,11 @@ def replace(text: str, feistel: Feistel, undo: bool = False) -> tuple[str, list[
 
 
 def _overlaps(span: tuple, taken: list[tuple[int, int]]) -> bool:
-    from bisect import bisect_left
-
     k = bisect_left(taken, (span[0], span[1]))
     return k < len(taken) and taken[k][0] < span[1] or k > 0 and taken[k - 1][1] > span[0]
 
 
 def _insert(taken: list[tuple[int, int]], span: tuple) -> None:
-    from bisect import insort
-
     insort(taken, (span[0], span[1]))
 
 

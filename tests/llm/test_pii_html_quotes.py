@@ -1,6 +1,7 @@
 """Pseudonyms, main text of pages, quotation linking."""
 
 import datetime
+import random
 import re
 
 import pytest
@@ -58,6 +59,32 @@ def test_clean_texts_stay():
         assert P.replace(text, F) == (text, [])
 
 
+@pytest.mark.parametrize(
+    ("text", "value", "kind"),
+    [
+        ("4111 1111 1111 1111 12/26", "4111 1111 1111 1111", "card"), ("4111111111111111 123", "4111111111111111", "card"), ("no 12 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+        ("1234 4111 1111 1111 1111", "4111 1111 1111 1111", "card"), ("BE68539007547034 EUR", "BE68539007547034", "iban"), ("PL61109010140000071219812874 BIC", "PL61109010140000071219812874", "iban"),
+        ("PL61 1090 1014 0000 0712 1981 2874 BIC X", "PL61 1090 1014 0000 0712 1981 2874", "iban"), ("AB12 DE89370400440532013000", "DE89370400440532013000", "iban"),
+    ],
+)
+def test_values_beside_other_groups(text, value, kind):
+    new, kinds = P.replace(text, F)
+    before, after = text.split(value)
+    assert kinds == [kind] and new.startswith(before) and new.endswith(after) and value not in new
+    assert P.replace(new, F, undo=True)[0] == text
+
+
+def test_cards_among_groups_are_undone(monkeypatch):
+    monkeypatch.setattr(P, "FORMATS", tuple(x for x in P.FORMATS if x[0] == "card"))
+    rng, found = random.Random(3), 0
+    for _ in range(400):
+        text = " ".join(str(rng.randrange(10 ** rng.choice([1, 2, 4, 4, 4, 6]))) for _ in range(rng.randrange(3, 14)))
+        new, kinds = P.replace(text, F)
+        found += len(kinds)
+        assert P.replace(new, F, undo=True)[0] == text
+    assert found > 100
+
+
 def test_frames(spark):
     docs = spark.createDataFrame([(1, "a@b.example", "x"), (2, None, "y"), (3, "", "z"), (1, "a@b.example", "x")], "doc_id long, text string, kinds string")
     rows = P.pseudonymise(docs).collect()
