@@ -6,8 +6,8 @@ keeps its country code and punctuation. As the permutation depends on the key an
 equal in all documents, different ones stay different, and the key's holder can undo it. E-mail names, access keys,
 tokens and passwords go through the same permutation, character class by character class.
 
-Formats: e-mail, payment card (Luhn), IBAN (mod 97), US social security number, IPv4 address, phone number, date
-(ISO, d.m.y, d/m/y or m/d/y), access key id, token or password after its name.
+Formats: e-mail, payment card (Luhn), IBAN (mod 97), US social security number, IPv4 address, phone number (also
++code and digits without separators), date (ISO, also within a time stamp, d.m.y, d/m/y or m/d/y), access key id, token or password after its name.
 
 Of cards and IBANs every reading between borders of groups is tried. Where a pseudonym would make another reading of its
 neighbours valid, the next of its cycle is taken: undoing stays exact among them, and only there equal values may part.
@@ -50,6 +50,8 @@ IBAN_LENGTHS = {
     for c in countries.split()
 }
 LONGEST = 80
+#: Calling codes of one and two digits; all others have three.
+CALLING_CODE = "(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-689][0-9]{2})"
 _GROUP = re.compile("[0-9]+")
 _IBAN_TAIL = re.compile("[A-Z0-9]+(?: [A-Z0-9]+)*")
 
@@ -235,9 +237,9 @@ def _ip(m: re.Match, f: Feistel, undo: bool) -> str | None:
 
 def _phone(m: re.Match, f: Feistel, undo: bool) -> str | None:
     digits = re.sub(r"\D", "", m[0])
-    if not 7 <= len(digits) <= 15 or not 7 <= len(digits) - len(m["code"] or ""):
+    keep = len(m["code"] or m["compact"] or "")
+    if not 7 <= len(digits) <= 15 or not 7 <= len(digits) - keep:
         return None
-    keep = len(m["code"] or "")
     return _fill(m[0], digits[:keep] + f.characters(digits[keep:], f"phone-{digits[:keep]}", undo))
 
 
@@ -292,9 +294,9 @@ FORMATS = (
     ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])"), _iban),
     ("card", re.compile(r"(?<![\w.+])[0-9]+(?:[ -][0-9]+)*(?!\w)"), _card),
     ("ssn", re.compile(r"(?<![\w-])(?P<area>\d{3})-(?P<group>\d{2})-(?P<serial>\d{4})(?![\w-])"), _ssn),
-    ("date", re.compile(r"(?<![\w.-])(?:(?P<y1>\d{4})(?P<s1>[-/.])(?P<mo1>\d{2})(?P=s1)(?P<d1>\d{2})|(?P<a2>\d{1,2})(?P<s2>[./-])(?P<b2>\d{1,2})(?P=s2)(?P<y2>\d{4}))(?![\w-]|\.\d)"), _date),
+    ("date", re.compile(r"(?<![\w.-])(?:(?P<y1>\d{4})(?P<s1>[-/.])(?P<mo1>\d{2})(?P=s1)(?P<d1>\d{2})|(?P<a2>\d{1,2})(?P<s2>[./-])(?P<b2>\d{1,2})(?P=s2)(?P<y2>\d{4}))(?:(?![\w-]|\.\d)|(?(y1)(?=T\d{2}:?\d{2}(?!\d{3}))|(?!)))"), _date),
     ("ip", re.compile(r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"), _ip),
-    ("phone", re.compile(r"(?<![\w+])(?:\+(?P<code>\d{1,3})[ .-]?)?(?:\(\d{2,4}\)[ .-]?\d{2,4}(?:[ .-]?\d{2,4}){1,3}|(?<=\d[ .-])\d{2,4}(?:[ .-]?\d{2,4}){2,4}|\d{3}[ .-]\d{3}[ .-]\d{4})(?!\w)"), _phone),
+    ("phone", re.compile(rf"(?<![\w+])(?:\+(?P<compact>{CALLING_CODE})\d{{7,14}}|(?:\+(?P<code>\d{{1,3}})[ .-]?)?(?:\(\d{{2,4}}\)[ .-]?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,3}}|(?<=\d[ .-])\d{{2,4}}(?:[ .-]?\d{{2,4}}){{2,4}}|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}))(?!\w)"), _phone),
 )
 #: Formats of which several readings are tried.
 READINGS = {"iban": (_iban_readings, _is_iban), "card": (_card_readings, _is_card)}

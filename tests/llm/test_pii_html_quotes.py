@@ -74,6 +74,20 @@ def test_values_beside_other_groups(text, value, kind):
     assert P.replace(new, F, undo=True)[0] == text
 
 
+@pytest.mark.parametrize(
+    ("text", "value", "keeps", "kind"),
+    [
+        ("call +14155550123.", "+14155550123", "+1", "phone"), ("tel:+491711234567 x", "+491711234567", "+49", "phone"), ("+353861234567", "+353861234567", "+353", "phone"),
+        ("at 2024-03-05T10:00:00Z", "2024-03-05", "20", "date"), ("[2024-03-05T10:00]", "2024-03-05", "20", "date"), ("2024-03-05T100000", "2024-03-05", "20", "date"),
+    ],
+)
+def test_compact_forms(text, value, keeps, kind):
+    new, kinds = P.replace(text, F)
+    before, after = text.split(value)
+    assert kinds == [kind] and new.startswith(before + keeps) and new.endswith(after) and value not in new and len(new) == len(text)
+    assert P.replace(new, F, undo=True)[0] == text
+
+
 def test_cards_among_groups_are_undone(monkeypatch):
     monkeypatch.setattr(P, "FORMATS", tuple(x for x in P.FORMATS if x[0] == "card"))
     rng, found = random.Random(3), 0
