@@ -6,7 +6,7 @@ stochastic gradient descent on labelled pages (the tables carry no such labels,
 set of varied page layouts whose parts are known) and decoded by Viterbi. What it labels main is joined in page order.
 
 Defined cases: null and empty html, and pages without text, give an empty text; unclosed and stray tags are repaired as
-browsers do; scripts, styles, comments and the head hold no text; repeated pages give equal results; empty input gives
+browsers do; a script, style or title ends at its own end tag only; scripts, styles, comments and the head hold no text; repeated pages give equal results; empty input gives
 an empty result. Nothing is capped; memory follows the longest page.
 """
 
@@ -26,13 +26,15 @@ from pyspark.sql import functions as F
 
 from docsift.llm.common import small_batches, table
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^"'>]|"[^"]*"|'[^']*')*)>""", re.S)
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^=>]++|=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+)?+)*+)>""", re.S)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 #: Fixed values of HTML: elements without an end tag, elements whose content is not text, and inline elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style noscript template svg math iframe object canvas audio video title head".split())
+#: Those of them in which nothing but their own end tag is markup.
+END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in ("script", "style", "noscript", "iframe", "title")}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input".split())
 #: A start tag of the key closes an open element of the values, unless one of the stops lies between.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
@@ -105,7 +107,7 @@ def blocks(page: str) -> list[Block]:
             if stack[k][0] in stops:
                 return
 
-    for found in _TOKEN.finditer(page):
+    while found := _TOKEN.search(page, at):
         start = found.start()
         if start > at and not skip:
             raw = page[at:start]
@@ -120,6 +122,13 @@ def blocks(page: str) -> list[Block]:
         if tag is None:
             continue
         tag, ending = tag.lower(), bool(found.group(1))
+        if tag in END and not ending and not found.group(3).endswith("/"):
+            end = END[tag].search(page, at)
+            if end or not skip:
+                if not skip:
+                    flush()
+                at = end.end() if end else len(page)
+                continue
         if skip:  # the content of a raw element
             if tag == skip and ending or skip == "head" and tag == "body":
                 skip = ""

@@ -128,6 +128,21 @@ def test_main_text_of_pages(spark):
     assert H.extract(rows.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<script>for(var i=0;i<n;i++){f(i);}</script><article><p>Text here.</p></article>", ["Text here."]),
+        ("<head><title>a <b</title><script>if(i<n){s='<body>'}</script><STYLE>a<b{}</STYLE ></head><body><p>One</p></body>", ["One"]),
+        ("<svg><script>i<n;</script><path/></svg><p>Two</p><iframe>x<y</iframe><noscript>k<z</noscript><p>Three</p>", ["Two", "Three"]),
+        ("<p>A<script>s = '<!--';</script><p>B<script>open i<n", ["A", "B"]),
+        ("<p>One <x and it's so</p><p>Between.</p><p>It's last.</p>", ["One", "Between.", "It's last."]),
+        ("<p title=\"a>b\" data-x = 'c>d' lang=it's>Kept</p><p>It's</p>", ["Kept", "It's"]),
+    ],
+)
+def test_raw_elements_and_odd_quotes(page, want):
+    assert [b.text for b in H.blocks(page)] == want
+
+
 def test_viterbi_finds_the_best_labels():
     import itertools
 
