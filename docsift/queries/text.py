@@ -130,9 +130,9 @@ def cer(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Conversation turns as runs: the role is the variant, the conversation the stem."""
-    c = table(spark, sf_dir, "conversations").where("turn < 4")
+    c = table(spark, sf_dir, "conversations")
     second = F.lit(0.25)
-    return c.select(F.when(F.col("turn") % 2 == 0, "a").otherwise("b").alias("variant"), F.col("conv_id").alias("stem"), F.col("turn").alias("pos"), F.regexp_replace(F.substring("text", 1, 120), r"[^\x00-\x7f]", "").alias("text"), (F.length("text").cast("double") * second).alias("vision_s"), (F.length("text").cast("double") * 2.0).alias("total_s"))
+    return c.select(F.when(F.col("turn") % 2 == 0, "a").otherwise("b").alias("variant"), F.col("conv_id").alias("stem"), F.col("turn").alias("pos"), "text", (F.length("text").cast("double") * second).alias("vision_s"), (F.length("text").cast("double") * 2.0).alias("total_s"))
 
 
 def variant_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
