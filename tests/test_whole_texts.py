@@ -25,13 +25,25 @@ TURNS = [
 ]
 
 
+ITEMS = [(1, "the mother of them all "), (2, "là-bas, the été e fin"), (3, "größer e th ñ"), (4, "東京 the"), (5, "")]
+
+
 @pytest.fixture(scope="module")
 def tables(spark, tmp_path_factory):
     at = str(tmp_path_factory.mktemp("tables"))
     spark.createDataFrame(TURNS, "conv_id long, turn long, role string, text string").write.parquet(f"{at}/conversations.parquet")
+    spark.createDataFrame(ITEMS, "item_id long, text string").write.parquet(f"{at}/benchmark.parquet")
     return at
 
 
+def test_cer(spark, tables):
+    got = {r.item_id: (r.cer, r.cer_empty, r.cer_no_truth) for r in QUERIES["cer"](spark, tables).collect()}
+    assert got.keys() == {i for i, _ in ITEMS}
+    for i, text in ITEMS:
+        swapped = text.replace("th", "ht").replace("e ", " ")
+        assert got[i] == pytest.approx((rate(swapped, text), rate("", text), rate(text, "")), abs=1e-6)
+
+
 def test_variant_summary(spark, tables):
     got = {r.variant: r for r in QUERIES["variant_summary"](spark, tables).collect()}
     base = {c: text for c, turn, _, text in sorted(TURNS) if turn % 2 == 0}
