@@ -5,9 +5,10 @@ embedding table; the mean row of a text goes through a linear softmax. Table and
 stochastic gradient descent in numpy on a bounded sample of labelled texts (``SAMPLE_PER_LANG``, whole texts). As mean
 and softmax input are linear, a text is scored by the mean of table @ weights, a table with one number per language.
 
-Rejection is calibrated on a part of the sample that is not trained on: a temperature makes scores probabilities, and
-the threshold is the greatest, at most ``MAX_THRESHOLD``, that rejects no more than ``MAX_GOOD_REJECTED`` of the rightly
-predicted texts. A text without a letter is ``und`` and rejected.
+Rejection is calibrated on texts that are not trained on, and on their beginnings as short texts: a temperature makes
+scores probabilities, and for each class of lengths the threshold is the greatest that rejects no more than
+``MAX_GOOD_REJECTED`` of the rightly predicted texts; where these are too few to hold that quantile, it is carried on from
+the lowest tenth. A text without a letter is ``und`` and rejected.
 
 Defined cases: null, empty and letterless texts are ``und`` with score 0; with no labelled text all are ``und``; a null
 doc_id counts as held out; ties go to the language that sorts first; repeated rows get equal results; empty input gives
@@ -17,7 +18,7 @@ an empty result. Extra columns pass through ``keep_identified``.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -31,8 +32,12 @@ from docsift.llm.kernel import slices
 
 #: Bound of the sample that the model is fitted on.
 SAMPLE_PER_LANG = 500
+#: Bound of the further texts a language that rejection is calibrated on, each with its beginnings of 4 to 79 words.
+HELD_PER_LANG = 1000
 BUCKET_BITS, DIMENSIONS, EPOCHS, RATE = 15, 16, 6, 0.5
-MAX_THRESHOLD, MAX_GOOD_REJECTED, CALIBRATION_SHARE = 0.5, 0.001, 0.25
+MAX_GOOD_REJECTED, CALIBRATION_SHARE = 0.001, 0.25
+#: Classes of lengths, by subwords; a class with fewer right texts than LEAST_HELD takes those of shorter ones in.
+LENGTHS, LEAST_HELD = np.array([64, 128, 256, 512, 1024]), 1000
 _FACTOR = {2: np.uint32(0x9E3779B1), 3: np.uint32(0x85EBCA77), 4: np.uint32(0xC2B2AE3D)}
 
 _CLEAN = np.full(256, 0x20, np.uint8)
@@ -90,7 +95,7 @@ class LanguageModel:
     weights: np.ndarray  # (buckets + 1, langs): embeddings @ softmax weights; the last row is empty
     bias: np.ndarray
     temperature: float = 1.0
-    threshold: float = 0.0
+    thresholds: np.ndarray = field(default_factory=lambda: np.zeros(len(LENGTHS) + 1))  # by class of lengths
 
     def logits(self, shares: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
         return np.array([self.weights[i].T @ w for i, w in shares]).reshape(-1, len(self.langs)) + self.bias
@@ -98,7 +103,7 @@ class LanguageModel:
     def predict(self, column: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, score and rejection of each text."""
         n = len(column)
-        best, score, lettered = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, bool)
+        best, score, lettered, least = np.zeros(n, np.int64), np.zeros(n), np.zeros(n, bool), np.zeros(n)
         for part in slices(_padded(column)):
             rows = slice(part.lo, part.hi)
             ascii_letter = (part.data >= 0x61) & (part.data <= 0x7A)
@@ -112,17 +117,17 @@ class LanguageModel:
                     sums[:, k] += np.add.reduceat(self.weights[:, k][bucket], part.starts, dtype=np.float64)
                 counts += np.add.reduceat(ok, part.starts, dtype=np.int64)
             p = _softmax((sums / np.maximum(counts, 1)[:, None] + self.bias) / self.temperature)
-            best[rows], score[rows] = p.argmax(axis=1), p.max(axis=1)
+            best[rows], score[rows], least[rows] = p.argmax(axis=1), p.max(axis=1), self.thresholds[np.searchsorted(LENGTHS, counts, "right")]
         for i in np.flatnonzero(~lettered):  # few: texts without a-z
             lettered[i] = any(map(str.isalpha, column[int(i)].as_py() or ""))
         if not self.langs:
             lettered[:] = False
         score = np.where(lettered, np.clip(score, 0, 1), 0.0)
-        return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], score, ~lettered | (score < self.threshold)
+        return [self.langs[b] if ok else "und" for b, ok in zip(best, lettered, strict=True)], score, ~lettered | (score < least)
 
 
-def train(langs: list[str], shares: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 5) -> LanguageModel:
-    """target: place of each text's language in langs."""
+def train(langs: list[str], shares: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray, epochs: int = EPOCHS, rate: float = RATE, seed: int = 5, more: tuple[list, np.ndarray] = ([], np.zeros(0, np.int64))) -> LanguageModel:
+    """target: place of each text's language in langs. more: shares and target of further texts to calibrate on."""
     rng = np.random.default_rng(seed)
     table_ = rng.uniform(-1 / DIMENSIONS, 1 / DIMENSIONS, (1 << BUCKET_BITS, DIMENSIONS)).astype(np.float32)
     weights, bias = np.zeros((DIMENSIONS, len(langs)), np.float32), np.zeros(len(langs), np.float32)
@@ -147,7 +152,7 @@ def train(langs: list[str], shares: list[tuple[np.ndarray, np.ndarray]], target:
             table_[at] -= pace * np.outer(share * min(len(at), 200), back)
     full = np.concatenate((table_ @ weights, np.zeros((1, len(langs)), np.float32)))
     model = LanguageModel(langs, np.ascontiguousarray(full), bias)
-    calibrate(model, [shares[i] for i in held], target[held])
+    calibrate(model, [shares[i] for i in held] + more[0], np.concatenate((target[held], more[1])))
     return model
 
 
@@ -161,8 +166,27 @@ def calibrate(model: LanguageModel, shares: list[tuple[np.ndarray, np.ndarray]],
 
     model.temperature = min((float(t) for t in np.geomspace(0.05, 5, 60)), key=loss)
     p = _softmax(logits / model.temperature)
-    good = np.sort(p.max(axis=1)[p.argmax(axis=1) == target])
-    model.threshold = float(min(MAX_THRESHOLD, good[int(len(good) * MAX_GOOD_REJECTED)])) if len(good) else 0.0
+    right = p.argmax(axis=1) == target
+    size = np.searchsorted(LENGTHS, np.array([round(1 / w.min()) if len(w) else 0 for _, w in shares]), "right")
+    for k in range(len(LENGTHS) + 1):
+        low = k
+        while low and np.sum(right & (size >= low) & (size <= k)) < LEAST_HELD:
+            low -= 1
+        model.thresholds[k] = lower_bound(p.max(axis=1)[right & (size >= low) & (size <= k)])
+
+
+def lower_bound(scores: np.ndarray) -> float:
+    """The score that MAX_GOOD_REJECTED of the texts lie below. If they are too few for that quantile, an exponential
+    tail of the log-odds below their lowest tenth gives it."""
+    if not len(scores):
+        return 0.0
+    scores = np.sort(scores)
+    if len(scores) * MAX_GOOD_REJECTED >= 1:
+        return float(scores[int(len(scores) * MAX_GOOD_REJECTED)])
+    odds = np.log(np.maximum(scores, 1e-12) / np.maximum(1 - scores, 1e-12))
+    tail = odds[: max(2, len(odds) // 10)]
+    bound = tail[-1] - float(tail[-1] - tail.mean()) * np.log(len(tail) / len(odds) / MAX_GOOD_REJECTED)
+    return float(min(scores[0], 1 / (1 + np.exp(-bound))))
 
 
 def fold(doc_id: Column) -> Column:
@@ -176,19 +200,32 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return LanguageModel([], np.zeros(((1 << BUCKET_BITS) + 1, 0), np.float32), np.zeros(0, np.float32))
-    share = F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int((1 << 30) * min(1.0, per_lang / n)))])
-    sample = known.where(F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30)) < share[F.col("lang")])
+    place_of = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30))
+
+    def share(rows: int) -> Column:
+        return F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int((1 << 30) * min(1.0, rows / n)))])[F.col("lang")]
+
+    sample = known.where(place_of < share(per_lang + HELD_PER_LANG)).withColumn("held", place_of >= share(per_lang))
+    words = F.split(F.trim("text"), r"\s+", 90)
+    short = [F.concat_ws(" ", F.slice(words, 1, (least + F.pmod(F.xxhash64("doc_id", F.lit("short")), F.lit(least))).cast("int"))) for least in (4, 10, 20, 40)]
+    texts = F.when(F.col("held"), F.array("text", *short)).otherwise(F.array("text"))
+    sample = sample.select("doc_id", "lang", "held", F.explode(texts).alias("text"))
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             got = bucket_shares(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([w.tobytes() for _, w in got], pa.binary())], ["doc_id", "lang", "at", "share"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("held"), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([w.tobytes() for _, w in got], pa.binary())], ["doc_id", "lang", "held", "at", "share"])
 
-    rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "text").mapInArrow(measure, "doc_id long, lang string, at binary, share binary").collect()
+    rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "held", "text").mapInArrow(measure, "doc_id long, lang string, held boolean, at binary, share binary").collect()
     rows.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["at"])))
     langs = sorted({r["lang"] for r in rows})
     place = {lang: k for k, lang in enumerate(langs)}
-    return train(langs, [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32)) for r in rows], np.array([place[r["lang"]] for r in rows], np.int64))
+
+    def taken(held: bool) -> tuple[list, np.ndarray]:
+        own = [r for r in rows if r["held"] == held]
+        return [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32)) for r in own], np.array([place[r["lang"]] for r in own], np.int64)
+
+    return train(langs, *taken(False), more=taken(True))
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

@@ -35,6 +35,34 @@ def test_held_out_accuracy_and_edges(spark):
     assert {i for i, *_ in rows[:500]} <= kept and not kept & {900, 901, 902}
 
 
+FOREIGN = [
+    "il governo ha deciso di aumentare le tasse sulla casa e gli abitanti della città sono scesi in piazza per protestare contro questa scelta",
+    "rząd zdecydował się podnieść podatki od domów a mieszkańcy miasta wyszli na ulice aby zaprotestować przeciwko tej decyzji",
+    "hallitus päätti nostaa asuntoveroa ja kaupungin asukkaat lähtivät kaduille osoittamaan mieltään tätä päätöstä vastaan",
+    "3f9ac0de77b1 a0e4f1c2bd 9e8d7c6b5a 4f3e2d1c0b a9f8e7d6c5 deadbeef00 c0ffee1234 " * 5,
+]
+
+
+def test_unlearned_languages_and_noise_go(spark):
+    rng = random.Random(7)
+    rows = [(i, text(rng, lang, rng.randint(8, 90)), lang, "s") for i, lang in enumerate(rng.choice(list(WORDS)) for _ in range(1800))]
+    model = L.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), per_lang=150)
+    assert model.predict(pa.array(FOREIGN))[2].all()
+    good = pa.array([text(rng, lang, n) for lang in WORDS for n in (8, 15, 30, 60, 120, 400) for _ in range(20)])
+    assert model.predict(good)[2].mean() <= 0.01
+
+
+def test_lower_bound_of_scores():
+    import numpy as np
+
+    rng = np.random.default_rng(8)
+    scores = rng.beta(20, 1, 100_000)
+    for n in (100, 100_000):
+        assert np.mean(scores < L.lower_bound(scores[:n])) < 0.01
+    assert L.lower_bound(scores) == pytest.approx(np.quantile(scores, L.MAX_GOOD_REJECTED), abs=1e-3)
+    assert L.lower_bound(scores[:100]) < scores[:100].min() and L.lower_bound(np.ones(5)) == pytest.approx(1) and L.lower_bound(scores[:0]) == 0.0
+
+
 def test_no_labels(spark):
     docs = spark.createDataFrame([(1, "some text", None)], "doc_id long, text string, lang string")
     assert [(r.lang_pred, r.score, r.rejected) for r in L.identify(docs, L.fit(docs)).collect()] == [("und", 0.0, True)]
