@@ -51,6 +51,23 @@ def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+#: A key is heavy beyond this share of the rows (one in HEAVY_SHARE) and HEAVY_ROWS; its rows are dealt to SALTS places.
+HEAVY_SHARE, HEAVY_ROWS, SALTS = 5000, 256, 32
+
+
+def join_per_key(rows: DataFrame, per_key: DataFrame, key: str, total: int, deal: Column, how: str = "inner") -> DataFrame:
+    """rows joined by key with per_key, which has one row per key and in ``uses`` the number of rows that have it.
+
+    Heavy keys are split by ``deal``, so no task gets more than a part of one. There are HEAVY_SHARE of them at most, by
+    the pigeonhole of ``total``, the number of rows: that list is broadcast. A null key meets nothing.
+    """
+    heavy = F.col("uses") > max(HEAVY_ROWS, total // HEAVY_SHARE)
+    hot = F.broadcast(per_key.where(heavy).select(F.col(key).alias("__hot")))
+    dealt = rows.join(hot, F.col(key) == F.col("__hot"), "left").withColumn("__salt", F.when(F.col("__hot").isNotNull(), F.pmod(deal, F.lit(SALTS))).otherwise(0).cast("int")).drop("__hot")
+    copies = per_key.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.when(heavy, SALTS - 1).otherwise(0)))).withColumnRenamed(key, "__key").drop("uses")
+    return dealt.join(copies, (F.col(key) == F.col("__key")) & (F.col("__salt") == F.col("__copy")), how).drop("__salt", "__copy", "__key")
+
+
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -1,22 +1,28 @@
 """Operator 7: n-gram Jaccard join through prefix trees.
 
-Every whole text becomes its set of 5-word shingles (64-bit hashes); equal sets are one class, named by the set's hash.
+Every whole text becomes its set of 5-word shingles (64-bit hashes of whole words, shipped in full); equal sets are one
+class, named by a 128-bit hash of the set. Two given sets of n shingles share a hash by chance with probability n * n /
+2**64, which is below one in ten thousand million for sets of 40,000.
 
 1. Shingles are dealt by hash as packed blobs and counted: how many classes have each. Those that a single class has
    cannot be shared, so only the others go back to their classes, with their counts.
 2. In the global order, rarest first, a set of n shingles that is similar to any other has a common one among its first
    n - ceil(0.75 n) + 1. Sets whose beginnings are theirs alone are done.
 3. The rest, a small share, are gathered into candidate components by the tokens of their beginnings. Each is joined by
-   a prefix tree (``triejoin``) in one task; components beyond ``BLOCK_TOKENS`` are split into blocks, each pair of
-   blocks a task.
+   a prefix tree (``triejoin``) in one task. Components beyond ``BLOCK_TOKENS`` are split by size into classes of a
+   factor 4/3, so that only neighbouring classes can hold similar sets, and a class beyond that bound into blocks; each
+   pair of blocks of the same or neighbouring classes is a task.
 4. The links found give components; each document gets the least doc_id of its own.
 
 No pair list of a group is ever made: a component of m classes gives at most m - 1 links a task. Exact copies collapse
 before anything is compared. Nothing is sampled or capped.
 
 Defined cases: null and empty texts have an empty set and link with nothing: component_id is their own doc_id; fewer than
-five words are one shingle of their own kind; repeated rows share their component; a null doc_id takes the component of
-its class and is null if alone; empty input gives an empty result.
+five words are one shingle of their own kind; repeated rows share their component, and so do different texts of one
+doc_id that are similar; different texts of one doc_id that are not keep components of their own, named alike; a null
+doc_id takes the component of its class and is null if alone; empty input gives an empty result. Long texts are read
+in slices; memory follows the longest text. Of extra columns ``near_duplicates`` reads none, and ``keep_one`` passes
+all through, whatever their names (its own begin with two underscores).
 """
 
 from __future__ import annotations
@@ -28,8 +34,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from docsift.llm.common import broadcast_if_small, cut, shuffle_parts, small_batches, table
+from docsift.llm.common import broadcast_if_small, cut, join_per_key, shuffle_parts, small_batches, table
 from docsift.llm.graph import components
 from docsift.llm.kernel import U64, classes, hash_segments, mix64, release_memory, slices, windows, words_of
 from docsift.llm.triejoin import links_within
@@ -38,9 +45,11 @@ WIDTH, PERCENT = 5, 75
 #: Shingles of a component that one task holds; larger components are split into blocks.
 BLOCK_TOKENS = 4_000_000
 FLUSH_TOKENS, FLUSH_DOCS = 500_000, 65_000
-_TOK = U64((1 << 48) - 1)
-_DOC = np.dtype([("sig", "<i8"), ("n", "<u4")])
-_REPLY = np.dtype([("sig", "<i8"), ("n", "<u4"), ("df", "<u4"), ("tid", "<u8")])
+#: One class in a blob: its name in two halves, the size of its whole set, and how many tokens of the blob are its own.
+_RUN = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("n", "<u4"), ("count", "<u4")])
+#: Base of the classes of sizes: similar sets are of the same or of neighbouring ones. A little more than the greatest
+#: ratio of their sizes, so that rounding cannot put two of exactly that ratio further apart.
+SIZE_STEP = 100 / PERCENT * 1.001
 
 
 def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
@@ -62,9 +71,9 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
                 yield part.lo + r, np.zeros(0, U64)
 
 
-def set_name(tokens: np.ndarray) -> int:
-    """Name of a class: the signed 64-bit hash of its set."""
-    return int(np.uint64(xxhash.xxh3_64_intdigest(tokens.tobytes())).astype(np.int64))
+def set_name(tokens: np.ndarray) -> bytes:
+    """Name of a class: the 128-bit hash of its set."""
+    return xxhash.xxh3_128_digest(tokens.tobytes())
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -73,40 +82,57 @@ def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row, tokens in shingle_sets(batch.column("text")):
             if len(tokens):
                 found[row] = (len(tokens), set_name(tokens))
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.int64())], ["doc_id", "n_shingles", "sig"])
+        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([n for n, _ in found], pa.int64()), pa.array([s for _, s in found], pa.binary())], ["doc_id", "n_shingles", "sig"])
 
 
 def named_sets(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, sig); sig is null for an empty set."""
-    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_names, "doc_id long, n_shingles long, sig long")
+    return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_names, "doc_id long, n_shingles long, sig binary")
+
+
+def _ranges(values: np.ndarray) -> list[tuple[int, int]]:
+    """Start and end of each run of equal values."""
+    edges = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1], [True]))) if len(values) else np.zeros(1, np.int64)
+    return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
+
+
+def _blob(runs: np.ndarray, *columns: np.ndarray) -> bytes:
+    return b"".join((len(runs).to_bytes(8, "little"), runs.tobytes(), *(c.tobytes() for c in columns)))
+
+
+def _unblob(blob, *types: str) -> list[np.ndarray]:
+    """Runs and the columns of their tokens, without a copy."""
+    raw = blob.as_buffer()
+    n = int.from_bytes(raw[:8].to_pybytes(), "little")
+    out, at = [np.frombuffer(raw, _RUN, n, 8)], 8 + n * _RUN.itemsize
+    tokens = int(out[0]["count"].sum())
+    for kind in types:
+        out.append(np.frombuffer(raw, kind, tokens, at))
+        at += tokens * np.dtype(kind).itemsize
+    return out
 
 
 def _blobs(parts: int):
+    """Tokens of the partition's distinct sets, dealt to buckets by their upper bits."""
+
+    def flush(docs: dict[bytes, int], held: list[np.ndarray]) -> pa.RecordBatch:
+        names, lengths = np.frombuffer(b"".join(docs), ">u8").reshape(-1, 2).astype("<u8"), np.array([len(h) for h in held])
+        tokens = np.concatenate(held)
+        bucket = ((tokens >> U64(32)) * U64(parts) >> U64(32)).astype(np.uint16 if parts <= 65536 else np.uint32)
+        order = np.argsort(bucket, kind="stable")
+        tokens, bucket, doc = tokens[order], bucket[order], np.repeat(np.arange(len(held)), lengths)[order]
+        start = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1]))))
+        own, runs = doc[start], np.zeros(len(start), _RUN)
+        runs["hi"], runs["lo"], runs["n"], runs["count"] = names[own, 0], names[own, 1], lengths[own], np.diff(np.append(start, len(tokens)))
+        end = np.append(start, len(tokens))
+        spans = _ranges(bucket[start])
+        blobs = [_blob(runs[a:b], tokens[end[a] : end[b]]) for a, b in spans]
+        return pa.RecordBatch.from_arrays([pa.array([int(bucket[start[a]]) for a, _ in spans], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        docs: dict[int, int] = {}
+        docs: dict[bytes, int] = {}
         tokens = 0
-
-        def flush() -> pa.RecordBatch:
-            all_tokens = np.concatenate(held)
-            lengths = np.array([len(h) for h in held])
-            table_of = np.array(list(zip(docs, lengths, strict=True)), _DOC)
-            idx = np.repeat(np.arange(len(held), dtype=U64), lengths)
-            bucket = ((all_tokens >> U64(32)) * U64(parts) >> U64(32)).astype(np.uint32)
-            order = np.argsort(bucket.astype(np.uint16), kind="stable") if parts <= 65536 else np.argsort(bucket, kind="stable")
-            packed, bucket = (((all_tokens & _TOK) << U64(16)) | idx)[order], bucket[order]
-            edges = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
-            keys, blobs = [], []
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                part = packed[a:b]
-                used = np.unique((part & U64(0xFFFF)).astype(np.int64))
-                place = np.zeros(len(held), U64)
-                place[used] = np.arange(len(used), dtype=U64)
-                part = (part & ~U64(0xFFFF)) | place[(part & U64(0xFFFF)).astype(np.int64)]
-                keys.append(int(bucket[a]))
-                blobs.append(len(used).to_bytes(4, "little") + table_of[used].tobytes() + part.tobytes())
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
-
         for batch in batches:
             for _, own in shingle_sets(batch.column("text")):
                 if len(own) and (name := set_name(own)) not in docs:
@@ -114,10 +140,10 @@ def _blobs(parts: int):
                     held.append(own)
                     tokens += len(own)
                     if tokens >= FLUSH_TOKENS or len(held) >= FLUSH_DOCS:
-                        yield flush()
+                        yield flush(docs, held)
                         held, docs, tokens = [], {}, 0
         if held:
-            yield flush()
+            yield flush(docs, held)
         release_memory()
 
     return run
@@ -126,53 +152,53 @@ def _blobs(parts: int):
 def _shared(parts: int):
     """Of one bucket: the tokens that two classes or more have, back to their classes. A quarter of the tokens at a time."""
 
-    def run(key: tuple, frame: pa.Table) -> pa.Table:
-        docs, packed, base = [], [], 0
-        for blob in frame.column("blob"):
-            raw = blob.as_buffer()
-            n = int.from_bytes(raw[:4].to_pybytes(), "little")
-            docs.append(np.frombuffer(raw, _DOC, n, 4))
-            packed.append((np.frombuffer(raw, np.uint64, offset=4 + n * _DOC.itemsize), base))
-            base += n
-        table_of, mark = np.concatenate(docs), U64(int(key[0].as_py()) & 0xFFFF) << U64(48)
-        out = pa.concat_tables([_replies(*_quarter(packed, q), table_of, mark, parts) for q in range(4)])
-        del docs, packed
+    def run(_key: tuple, frame: pa.Table) -> pa.Table:
+        given = [_unblob(blob, "<u8") for blob in frame.column("blob")]
+        runs = np.concatenate([r for r, _ in given])
+        base = np.cumsum([0, *(len(r) for r, _ in given)])
+        out = pa.concat_tables([_replies(*_quarter(given, base, q), runs, parts) for q in range(4)])
+        del given, runs
         release_memory()
         return out
 
     return run
 
 
-def _quarter(packed: list[tuple[np.ndarray, int]], q: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens whose top two bits are q, and the places of their classes."""
-    parts = [(p[p >> U64(62) == U64(q)], base) for p, base in packed]
-    return np.concatenate([p >> U64(16) for p, _ in parts]), np.concatenate([(p & U64(0xFFFF)).astype(np.int64) + base for p, base in parts])
+def _quarter(given: list, base: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of which two of the lower bits are q, and the places of their classes."""
+    tokens, docs = [], []
+    for (runs, own), first in zip(given, base, strict=False):
+        at = np.flatnonzero((own >> U64(30)) & U64(3) == U64(q))
+        tokens.append(own[at])
+        docs.append(np.searchsorted(np.cumsum(runs["count"]), at, side="right") + first)
+    return np.concatenate(tokens), np.concatenate(docs)
 
 
-def _replies(tok: np.ndarray, doc: np.ndarray, table_of: np.ndarray, mark: np.uint64, parts: int) -> pa.Table:
+def _replies(tok: np.ndarray, doc: np.ndarray, runs: np.ndarray, parts: int) -> pa.Table:
     order = np.argsort(tok)
     tok = tok[order]
     same = tok[1:] == tok[:-1]
     more = np.concatenate((same, [False])) | np.concatenate(([False], same)) if len(tok) else np.zeros(0, bool)
     tok, doc = tok[more], doc[order[more]]
-    order = np.lexsort((table_of["sig"][doc], tok))
-    tok, doc = tok[order], doc[order]
-    sig = table_of["sig"][doc]
+    hi, lo = runs["hi"][doc], runs["lo"][doc]
+    order = np.lexsort((lo, hi, tok))
+    tok, doc, hi, lo = tok[order], doc[order], hi[order], lo[order]
     first = np.ones(len(tok), bool)
-    first[1:] = (tok[1:] != tok[:-1]) | (sig[1:] != sig[:-1])
-    tok, doc, sig = tok[first], doc[first], sig[first]
-    start = np.flatnonzero(np.concatenate((np.ones(min(1, len(tok)), bool), tok[1:] != tok[:-1])))
-    uses = np.diff(np.concatenate((start, [len(tok)])))
+    first[1:] = (tok[1:] != tok[:-1]) | (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+    tok, doc, hi, lo = tok[first], doc[first], hi[first], lo[first]
+    uses = np.array([b - a for a, b in _ranges(tok)], np.int64)
     df = np.repeat(uses, uses)
     keep = df > 1
-    reply = np.zeros(int(keep.sum()), _REPLY)
-    reply["sig"], reply["n"], reply["df"], reply["tid"] = sig[keep], table_of["n"][doc[keep]], df[keep], tok[keep] | mark
-    to = (reply["sig"].view(np.uint64) % U64(parts)).astype(np.int32)
-    order = np.lexsort((reply["sig"], to))
-    reply, to = reply[order], to[order]
-    edges = np.flatnonzero(np.concatenate(([True], to[1:] != to[:-1], [True]))) if len(to) else np.zeros(1, np.int64)
-    spans = list(zip(edges[:-1], edges[1:], strict=True))
-    return pa.table({"bucket": pa.array([int(to[a]) for a, _ in spans], pa.int32()), "blob": pa.array([reply[a:b].tobytes() for a, b in spans], pa.binary())})
+    tok, doc, hi, lo, df = tok[keep], doc[keep], hi[keep], lo[keep], df[keep].astype("<u4")
+    to = (lo % U64(parts)).astype(np.int32)
+    order = np.lexsort((lo, hi, to))
+    tok, doc, hi, lo, df, to = tok[order], doc[order], hi[order], lo[order], df[order], to[order]
+    start = np.flatnonzero(np.concatenate((np.ones(min(1, len(tok)), bool), (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))))
+    end, reply = np.append(start, len(tok)), np.zeros(len(start), _RUN)
+    reply["hi"], reply["lo"], reply["n"], reply["count"] = hi[start], lo[start], runs["n"][doc[start]], np.diff(end)
+    spans = _ranges(to[start])
+    blobs = [_blob(reply[a:b], df[end[a] : end[b]], tok[end[a] : end[b]]) for a, b in spans]
+    return pa.table({"bucket": pa.array([int(to[start[a]]) for a, _ in spans], pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
 
 def beginning(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -183,18 +209,22 @@ def beginning(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 def _survivors(_key: tuple, frame: pa.Table) -> pa.Table:
     """Classes that share a token of their beginning: sig, n, k, tokens (rarest first) and their counts."""
-    got = np.concatenate([np.frombuffer(x.as_buffer(), _REPLY) for x in frame.column("blob")])
-    got = got[np.lexsort((got["tid"], got["df"], got["sig"]))]
-    start = np.flatnonzero(np.concatenate(([True], got["sig"][1:] != got["sig"][:-1])))
-    end = np.concatenate((start[1:], [len(got)]))
-    n = got["n"][start].astype(np.int64)
-    k = beginning(n) - (n - (end - start))
+    given = [_unblob(x, "<u4", "<u8") for x in frame.column("blob")]
+    runs, df, tid = (np.concatenate([g[i] for g in given]) for i in range(3))
+    hi, lo, n = (np.repeat(runs[c], runs["count"]) for c in ("hi", "lo", "n"))
+    order = np.lexsort((tid, df, lo, hi))
+    hi, lo, n, df, tid = hi[order], lo[order], n[order], df[order], tid[order]
+    start = np.flatnonzero(np.concatenate(([True], (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))))
+    end = np.append(start[1:], len(tid))
+    whole = n[start].astype(np.int64)
+    k = beginning(whole) - (whole - (end - start))
     live = np.flatnonzero(k > 0)
+    names = np.stack((hi[start[live]], lo[start[live]]), axis=1).astype(">u8").tobytes()
     out = pa.table({
-        "sig": pa.array(got["sig"][start][live], pa.int64()), "n": pa.array(n[live], pa.int64()), "k": pa.array(k[live], pa.int64()),
-        "tids": pa.array([got["tid"][start[i] : end[i]].tobytes() for i in live], pa.binary()), "dfs": pa.array([got["df"][start[i] : end[i]].tobytes() for i in live], pa.binary()),
+        "sig": pa.array([names[i : i + 16] for i in range(0, len(names), 16)], pa.binary()), "n": pa.array(whole[live], pa.int64()), "k": pa.array(k[live], pa.int64()),
+        "tids": pa.array([tid[start[i] : end[i]].tobytes() for i in live], pa.binary()), "dfs": pa.array([df[start[i] : end[i]].tobytes() for i in live], pa.binary()),
     })
-    del got
+    del given, runs, hi, lo, n, df, tid
     release_memory()
     return out
 
@@ -204,14 +234,14 @@ def _prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = batch.column("k").to_numpy()
         tids = [np.frombuffer(x.as_buffer(), np.int64)[: k[i]] for i, x in enumerate(batch.column("tids"))]
         if tids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tids)), pa.array(np.repeat(batch.column("sig").to_numpy(), [len(t) for t in tids]))], ["tid", "sig"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tids)), batch.column("sig").take(pa.array(np.repeat(np.arange(len(tids)), [len(t) for t in tids])))], ["tid", "sig"])
 
 
-def stars(links: list[tuple[int, int]]) -> list[tuple[int, int]]:
+def stars(links: list[tuple[bytes, bytes]]) -> list[tuple[bytes, bytes]]:
     """Links as (member, least of its component), members that are the least included."""
-    parent: dict[int, int] = {}
+    parent: dict[bytes, bytes] = {}
 
-    def find(i: int) -> int:
+    def find(i: bytes) -> bytes:
         while parent.setdefault(i, i) != i:
             parent[i] = parent[parent[i]]
             i = parent[i]
@@ -230,7 +260,7 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done() -> pa.RecordBatch:
         side = [int(b == key[2]) for b in block] if key[1] != key[2] else None
         links = stars(links_within(sets, side))
-        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())], ["a", "b"])
+        return pa.RecordBatch.from_arrays([pa.array([a for a, _ in links], pa.binary()), pa.array([b for _, b in links], pa.binary())], ["a", "b"])
 
     for batch in batches:
         columns = [batch.column(c).to_pylist() for c in ("root", "i", "j", "block", "sig", "n", "tids", "dfs")]
@@ -245,59 +275,105 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done()
 
 
+def _block_tasks(placed: DataFrame, large: DataFrame, block_tokens: int) -> DataFrame:
+    """The sets of large components (root), each with all pairs of blocks that its own block is compared in.
+
+    A block is a hashed part of a class of sizes. Blocks are named by class and part, so that a pair is (i, j), i <= j.
+    """
+    sized = placed.join(broadcast_if_small(large), "root", "left_semi").withColumn("size", F.floor(F.log("n") / F.log(F.lit(SIZE_STEP))).cast("long"))
+    classes_ = sized.groupBy("root", "size").agg(F.ceil(F.sum("tokens") / F.lit(block_tokens)).cast("long").alias("parts"))
+    other = classes_.select(F.col("root").alias("r"), F.col("size").alias("z"), F.col("parts").alias("p"))
+    near = cut(classes_.join(other, (F.col("root") == F.col("r")) & (F.abs(F.col("size") - F.col("z")) <= 1)).select("r", F.col("size").alias("s"), "z", "parts", "p"))
+    dealt = sized.join(broadcast_if_small(near), (F.col("root") == F.col("r")) & (F.col("size") == F.col("s")))
+    block = F.col("size") * F.lit(1 << 32) + F.pmod(F.xxhash64("sig"), F.col("parts"))
+    dealt = dealt.withColumn("block", block).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("p") - 1)))
+    dealt = dealt.withColumn("other", F.col("part") + F.col("z") * F.lit(1 << 32))
+    return dealt.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "n", "tids", "dfs")
+
+
 def similar_components(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """(node, root): the classes that are similar to another one, with the least class of their component."""
     spark = docs.sparkSession
     parts = shuffle_parts(spark)
     blobs = small_batches(docs).select("text").mapInArrow(_blobs(parts), "bucket int, blob binary")
     reply = blobs.groupBy("bucket").applyInArrow(_shared(parts), "bucket int, blob binary")
-    live = cut(reply.groupBy("bucket").applyInArrow(_survivors, "sig long, n long, k long, tids binary, dfs binary"))
-    starts = cut(live.select("sig", "k", "tids").mapInArrow(_prefixes, "tid long, sig long"))
+    live = cut(reply.groupBy("bucket").applyInArrow(_survivors, "sig binary, n long, k long, tids binary, dfs binary"))
+    starts = cut(live.select("sig", "k", "tids").mapInArrow(_prefixes, "tid long, sig binary"))
     least = starts.groupBy("tid").agg(F.min("sig").alias("b"), F.count("*").alias("uses")).where("uses > 1")
-    near = starts.join(least, "tid").where("sig <> b").select(F.col("sig").alias("a"), "b").distinct()
+    near = join_per_key(starts, least, "tid", starts.count(), F.xxhash64("sig")).where("sig <> b").select(F.col("sig").alias("a"), "b").distinct()
     groups = cut(components(near))
     placed = live.join(groups, F.col("sig") == F.col("node")).select("root", "sig", "n", "tids", "dfs", (F.octet_length("tids") / 8).cast("long").alias("tokens"))
-    sizes = placed.groupBy("root").agg(F.ceil(F.sum("tokens") / F.lit(block_tokens)).cast("int").alias("blocks"))
-    large = cut(sizes.where("blocks > 1"))
-    split = placed.join(broadcast_if_small(large.select(F.col("root").alias("r"), "blocks")), F.col("root") == F.col("r"), "left")
-    block = F.pmod(F.xxhash64("sig"), F.coalesce("blocks", F.lit(1))).cast("int")
-    split = split.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)))
-    tasks = split.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "n", "tids", "dfs")
+    large = cut(placed.groupBy("root").agg(F.sum("tokens").alias("all")).where(F.col("all") > block_tokens).select("root"))
+    split = not large.isEmpty()
+    one = F.lit(0).cast("long")
+    whole = placed.join(broadcast_if_small(large), "root", "left_anti") if split else placed
+    tasks = whole.select("root", one.alias("i"), one.alias("j"), one.alias("block"), "sig", "n", "tids", "dfs")
+    if split:
+        tasks = tasks.unionByName(_block_tasks(placed, large, block_tokens))
     tasks = tasks.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = cut(tasks.mapInArrow(_join_blocks, "a long, b long"))
-    if large.isEmpty():  # every candidate component was joined by one task, whose stars are final
+    links = cut(tasks.mapInArrow(_join_blocks, "a binary, b binary"))
+    if not split:  # every candidate component was joined by one task, whose stars are final
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return components(links)
 
 
-def near_duplicates(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, sig (its class; null for an empty set)."""
+def _found(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, sig, and root, the least class of the component."""
     named = cut(named_sets(docs))
-    classes_ = named.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"))
+    classes_ = named.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("uses"))
     roots = cut(similar_components(docs, block_tokens))
-    reach = classes_.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", F.coalesce("root", "sig").alias("root"))
-    reach = cut(reach)
-    found = reach.where("root IS NOT NULL").groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = reach.join(found, "root").select(F.col("sig").alias("s"), "component_id")
-    joined = named.join(ids, F.col("sig") == F.col("s"), "left")
-    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "sig")
+    reach = cut(classes_.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", "uses", F.coalesce("root", "sig").alias("root")))
+    found = reach.groupBy("root").agg(F.min("least").alias("component_id"))
+    ids = reach.join(found, "root").select("sig", "root", "component_id", "uses")
+    joined = join_per_key(named, ids, "sig", named.count(), F.xxhash64("doc_id"), "left")
+    return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "sig", "root")
+
+
+def near_duplicates(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id, sig (its class; null for an empty set)."""
+    return _found(docs, block_tokens).drop("root")
+
+
+def _with_names(docs: DataFrame) -> DataFrame:
+    """docs with the class of each row as __sig."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sig = [None] * batch.num_rows
+            for row, tokens in shingle_sets(batch.column("text")):
+                if len(tokens):
+                    sig[row] = set_name(tokens)
+            yield batch.append_column("__sig", pa.array(sig, pa.binary()))
+
+    return small_batches(docs).mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in docs.schema), T.StructField("__sig", T.BinaryType())]))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """The documents without those that have a smaller doc_id in their component; rows that repeat a doc_id go, too.
+    """One document of each component: that of the least doc_id, and of the least class among rows of that id.
 
-    The ids to drop are broadcast if a count shows that they are few; beyond that they are joined by a shuffle.
-    Documents with a null doc_id stay unless their component has a doc_id.
+    A row is known by its doc_id and its class, never by its id alone. Documents without words are in no component and
+    all stay. Where ids are whole and unique, which a count shows, the ids to drop are all that is joined to the texts;
+    only rows whose doc_id is null or repeated are looked at again. The list is broadcast if a count shows it is small.
     """
-    found = cut(near_duplicates(docs))
-    drop = broadcast_if_small(cut(found.where("doc_id <> component_id").select(F.col("doc_id").alias("__drop")).distinct()))
-    kept = docs.join(drop, F.col("doc_id") == F.col("__drop"), "left_anti")
-    again = cut(found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("__again")))
-    if again.isEmpty():
-        return kept
-    again = broadcast_if_small(again)
-    once = kept.join(again, F.col("doc_id") == F.col("__again"), "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, F.col("doc_id") == F.col("__again"), "left_anti").unionByName(once)
+    found = cut(_found(docs).where("sig IS NOT NULL").select("doc_id", "sig", "root"))
+    best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("best"), F.count("*").alias("uses"))
+    placed = join_per_key(found, best, "root", found.count(), F.xxhash64("doc_id", "sig"))
+    stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("sig") == F.col("best.sig"))
+    placed = cut(placed.select("doc_id", "sig", stays.alias("stays")))
+    twice = cut(placed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__twice"), F.lit(True).alias("__again")))
+    single = placed.where("doc_id IS NOT NULL AND NOT stays")
+    if twice.isEmpty():
+        drop = broadcast_if_small(cut(single.select(F.col("doc_id").alias("__drop"))))
+        return docs.join(drop, F.col("doc_id").cast("long") == F.col("__drop"), "left_anti")
+    again = broadcast_if_small(twice)
+    drop = broadcast_if_small(cut(single.join(again, F.col("doc_id") == F.col("__twice"), "left_anti").select(F.col("doc_id").alias("__drop"))))
+    once = docs.join(again, F.col("doc_id").cast("long").eqNullSafe(F.col("__twice")), "left_anti").join(drop, F.col("doc_id").cast("long") == F.col("__drop"), "left_anti")
+    repeated = _with_names(docs.join(again, F.col("doc_id").cast("long").eqNullSafe(F.col("__twice")), "left_semi"))
+    empty = repeated.where("__sig IS NULL").drop("__sig")
+    chosen = cut(placed.where("stays").select(F.col("doc_id").alias("__id"), F.col("sig").alias("__class")).distinct())
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("__id")) & (F.col("__sig") == F.col("__class"))
+    full = repeated.where("__sig IS NOT NULL").join(broadcast_if_small(chosen), same, "left_semi").dropDuplicates(["doc_id", "__sig"]).drop("__sig")
+    return once.unionByName(empty).unionByName(full)
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,30 +5,31 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import cut
+from docsift.llm.common import cut, join_per_key
 
 MAX_ROUNDS = 60
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node ties its larger neighbours to the least of its neighbours and itself."""
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("a", "m").alias("m"))
-    return both.where("b > a").join(least, F.col("a") == F.col("k")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+    least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("uses")).select("a", F.least("a", "m").alias("m"), "uses")
+    tied = join_per_key(both.where("b > a"), least, "a", 2 * total, F.xxhash64("b"))
+    return tied.where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int) -> DataFrame:
     """Every node and its smaller neighbours are tied to the least of them. Edges come as a > b."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    tied = edges.join(least.withColumnRenamed("a", "k"), F.col("a") == F.col("k")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    least = edges.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("uses"))
+    tied = join_per_key(edges, least, "a", total, F.xxhash64("b")).where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
     return tied.union(least.select("a", F.col("m").alias("b"))).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, root) of every linked node, root the least of its component. links: columns a and b, longs.
+    """(node, root) of every linked node, root the least of its component. links: columns a and b, of any ordered type.
 
-    Minima combine on the map side and the joins are sort-merge joins, so a node with very many links is split by AQE.
-    Rounds grow with the logarithm of the longest path. Self-links, repeated links and an empty table are allowed.
+    Minima combine on the map side, and a node with very many links is split over tasks. Rounds grow with the logarithm
+    of the longest path. Self-links, repeated links and an empty table are allowed; links with a null end are not links.
     """
     high, low = F.greatest("a", "b"), F.least("a", "b")
     edges = cut(links.where("a <> b").select(high.alias("a"), low.alias("b")).distinct())
@@ -38,7 +39,7 @@ def components(links: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        edges = cut(_small_star(_large_star(edges)))
+        edges = cut(_small_star(large := cut(_large_star(edges, state[0])), large.count()))
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())

@@ -1,8 +1,8 @@
 """Vectorised words and hashes over Arrow string columns.
 
 Everything works on the UTF-8 bytes of a whole slice of rows at once; no Python object is made per word. Slices hold at
-most ``SLICE_BYTES`` of text or one longer row, and hashing goes through pieces of ``PIECE`` bytes, so memory does not
-follow the length of a text beyond a few bytes per byte of it.
+most ``SLICE_BYTES`` of text or one longer row, so memory does not follow the number of rows, and the length of a text
+by a few bytes per byte of it.
 """
 
 from __future__ import annotations
@@ -16,27 +16,10 @@ import pyarrow as pa
 import xxhash
 
 SLICE_BYTES = 1 << 19
-PIECE = 1 << 20
-LONG_WORD = 1 << 18
+#: Runs hashed at a time, and the bytes beyond which a run is hashed by itself.
+RUNS, LONG_WORD = 1 << 17, 256
 
 U64 = np.uint64
-_rng = np.random.Generator(np.random.PCG64(20240607))
-_BYTE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | U64(1)
-_BASE = int(_rng.integers(2**62, 2**63)) | 1
-_tables: dict[str, np.ndarray] = {}
-
-
-def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, U64(base & (2**64 - 1)))
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
-def _power_tables() -> tuple[np.ndarray, np.ndarray]:
-    if not _tables:
-        n = PIECE + LONG_WORD + 1
-        _tables["up"], _tables["down"] = _powers(_BASE, n), _powers(pow(_BASE, -1, 2**64), n)
-    return _tables["up"], _tables["down"]
 
 
 def release_memory() -> None:
@@ -71,6 +54,8 @@ def classes(words: str) -> np.ndarray:
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[0x41:0x5B] += 32
+#: Masks of the first 0 to 8 bytes of a number.
+_KEEP = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
 
 @dataclass
@@ -129,35 +114,42 @@ def segments(inside: np.ndarray, row_starts: np.ndarray) -> tuple[np.ndarray, np
     return starts, ends
 
 
+def _lanes(padded: np.ndarray, at: np.ndarray, left: np.ndarray) -> np.ndarray:
+    """Eight bytes from each place as one number, bytes beyond the run's end as zeros."""
+    loose = np.ndarray((len(padded) - 7,), "<u8", padded, strides=(1,))
+    return loose[at] & _KEEP[np.minimum(left, 8)]
+
+
 def hash_segments(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: bool = False) -> np.ndarray:
-    """64-bit hashes of byte runs, by prefix sums of byte value times a power of an odd base."""
-    out = np.zeros(len(starts), U64)
+    """64-bit hashes of byte runs, eight bytes a step through a full mixer.
+
+    Runs of up to eight bytes never share a hash with another of their length; longer ones do as seldom as random
+    numbers, as no step is linear. Runs beyond LONG_WORD bytes, which are few, are hashed one by one.
+    """
+    length = (ends - starts).astype(np.int64)
+    out = mix64(length.astype(U64) * U64(0x9E3779B97F4A7C15) + U64(0x2545F4914F6CDD1D))
+    for a in range(0, len(starts), RUNS):
+        _hash_runs(data, starts[a : a + RUNS], length[a : a + RUNS], out[a : a + RUNS], lower)
+    return out
+
+
+def _hash_runs(data: np.ndarray, starts: np.ndarray, length: np.ndarray, out: np.ndarray, lower: bool) -> None:
+    """Hashes of neighbouring runs into out, which holds the mixed lengths."""
     if not len(starts):
-        return out
-    up, down = _power_tables()
-    value = _BYTE[LOWER] if lower else _BYTE
-    length = ends - starts
+        return
+    base = int(starts[0])
+    part = data[base : int(starts[-1] + length[-1])]
+    padded = np.concatenate((LOWER[part] if lower else part, np.zeros(8, np.uint8)))
+    at, left, todo = starts - base, length, np.arange(len(starts))
     for i in np.flatnonzero(length > LONG_WORD):
-        run = data[starts[i] : ends[i]]
-        out[i] = xxhash.xxh64_intdigest((LOWER[run] if lower else run).tobytes())
-    short = np.flatnonzero(length <= LONG_WORD)
-    s, e = starts[short], ends[short]
-    got = np.zeros(len(short), U64)
-    a = 0
-    while a < len(short):
-        b = max(a + 1, int(np.searchsorted(s, s[a] + PIECE, side="right")))
-        while b > a + 1 and e[b - 1] - s[a] > PIECE + LONG_WORD:
-            b -= 1
-        base = int(s[a])
-        part = value[data[base : int(e[b - 1])]]
-        part *= up[: len(part)]
-        sums = np.zeros(len(part) + 1, U64)
-        np.cumsum(part, out=sums[1:])
-        x, y = s[a:b] - base, e[a:b] - base
-        got[a:b] = (sums[y] - sums[x]) * down[x]
-        a = b
-    out[short] = mix64(got ^ ((e - s).astype(U64) * U64(0x9E3779B97F4A7C15)))
-    return out
+        out[i] ^= U64(xxhash.xxh3_64_intdigest(padded[at[i] : at[i] + length[i]].tobytes()))
+    short = length <= LONG_WORD
+    if not short.all():
+        at, left, todo = at[short], left[short], todo[short]
+    while len(todo):
+        out[todo] = mix64(out[todo] ^ _lanes(padded, at, left))
+        more = left > 8
+        at, left, todo = at[more] + 8, left[more] - 8, todo[more]
 
 
 @dataclass

@@ -106,3 +106,48 @@ def test_edge_rows(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert dedup.near_duplicates(empty).count() == 0
     assert dedup.keep_one(empty).count() == 0
+
+
+def test_keep_one_knows_rows_by_id_and_class(spark):
+    copy, other, third = "a b c d e f g h", "q r s t u v w x", "k l m n o p"
+    rows = [(1, copy, 0), (5, copy, 1), (5, other, 2), (7, "one two three", 3), (7, third, 4), (7, third, 5), (None, other, 6), (None, "lone text", 7), (8, "", 8), (8, None, 9), (None, None, 10)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, root long")
+    kept = dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    got = {r.root for r in kept.collect()}
+    assert got - {4, 5} == {0, 2, 3, 7, 8, 9, 10} and len(got & {4, 5}) == 1
+
+
+def test_keep_one_of_null_ids(spark):
+    docs = spark.createDataFrame([(None, "a b c d e f", i) for i in range(4)] + [(None, "x y z", 9)], "doc_id long, text string, n long")
+    got = sorted(r.n for r in dedup.keep_one(docs).collect())
+    assert len(got) == 2 and 9 in got
+
+
+def thue_morse(length):
+    return "".join("ab"[bin(i).count("1") % 2] for i in range(length))
+
+
+def test_words_that_cancel_in_polynomials_stay_apart(spark):
+    one = thue_morse(1024)
+    two = one.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, one), (2, two), (3, f"x {one} y"), (4, f"x {two} y"), (5, one.upper())], "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in dedup.near_duplicates(docs).collect()} == {1: 1, 2: 2, 3: 3, 4: 4, 5: 1}
+
+
+def test_long_text_and_clashing_columns(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.randrange(5000)}" for _ in range(60_000)]
+    near = words[:30_000] + ["new"] + words[30_001:]
+    docs = spark.createDataFrame([(3, " ".join(words), "r", 1), (4, " ".join(near), "s", 2), (9, "w" * 300_000, None, 3)], "doc_id long, text string, root string, n long")
+    assert {r.doc_id: r.component_id for r in dedup.near_duplicates(docs).collect()} == {3: 3, 4: 3, 9: 9}
+    assert sorted((r.doc_id, r.root) for r in dedup.keep_one(docs).collect()) == [(3, "r"), (9, None)]
+
+
+def test_a_hub_is_split(spark, monkeypatch):
+    from docsift.llm import common
+
+    monkeypatch.setattr(common, "HEAVY_ROWS", 5)
+    links = spark.createDataFrame([(0, i) for i in range(1, 400)] + [(500 + i, 399 - i) for i in range(50)] + [(900, 901)], "a long, b long")
+    got = {r.node: r.root for r in components(links).collect()}
+    assert got == {i: 0 for i in [*range(400), *range(500, 550)]} | {900: 900, 901: 900}
