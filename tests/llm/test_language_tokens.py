@@ -119,3 +119,26 @@ def test_long_texts_are_cut_at_blanks(monkeypatch, vocabulary):
     whole = count()
     monkeypatch.setattr(K, "PIECE_CHARS", 7)
     assert count() == whole == len(tool.tokenizer.encode(sample, add_special_tokens=False).ids)
+
+
+def _whole(tool, text):
+    parts, specials = tool.split(text)
+    return specials + sum(tool.length(p) for part in parts for p in part)
+
+
+def test_every_code_point_between_letters(vocabulary):
+    """Each code point after, before and between letters, digits and blanks, against the library."""
+    tool = K.pre_tokens(vocabulary)
+    points = [c for c in range(0x30000) if not 0xD800 <= c < 0xE000 and (c < 0x3000 or c % 7 == 0)]
+    texts = [f"ization{chr(c)}al{chr(c)}{chr(c)}tions {chr(c)} the{chr(c)}1{chr(c)} {chr(c)}'s" for c in points]
+    want = [len(e.ids) for e in tool.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    bad = [hex(c) for c, t, n in zip(points, texts, want, strict=True) if _whole(tool, t) != n]
+    assert not bad
+
+
+def test_random_pairs_of_latin_code_points(vocabulary):
+    tool, rng = K.pre_tokens(vocabulary), random.Random(9)
+    texts = ["".join(chr(rng.randrange(0x250)) if rng.random() < 0.5 else rng.choice("ingtheation ") for _ in range(rng.randint(2, 12))) for _ in range(20_000)]
+    want = [len(e.ids) for e in tool.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [_whole(tool, t) for t in texts] == want
+
