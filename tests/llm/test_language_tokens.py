@@ -142,3 +142,9 @@ def test_random_pairs_of_latin_code_points(vocabulary):
     want = [len(e.ids) for e in tool.tokenizer.encode_batch(texts, add_special_tokens=False)]
     assert [_whole(tool, t) for t in texts] == want
 
+
+def test_the_sample_changes_no_count(spark, vocabulary, monkeypatch):
+    docs = spark.createDataFrame([(i, f"word{i % 7} and some more words é{i}", "x") for i in range(60)], "doc_id long, text string, n_tokens string")
+    whole = sorted(K.token_counts(docs, vocabulary).collect())
+    monkeypatch.setattr(K, "SAMPLE_DOCS", 3)
+    assert sorted(K.token_counts(docs, vocabulary).collect()) == whole
