@@ -6,8 +6,11 @@ stochastic gradient descent on labelled pages (the tables carry no such labels,
 set of varied page layouts whose parts are known) and decoded by Viterbi. What it labels main is joined in page order.
 
 Defined cases: null and empty html, and pages without text, give an empty text; unclosed and stray tags are repaired as
-browsers do; a script, style or title ends at its own end tag only; scripts, styles, comments and the head hold no text; repeated pages give equal results; empty input gives
-an empty result. Nothing is capped; memory follows the longest page.
+browsers do; a script, style or title ends at its own end tag only; scripts, styles, comments, titles and unfinished
+tags hold no text; a null page_id or url stays null; ties of labels go to "other"; repeated pages give equal results;
+empty input gives an empty result. Only page_id, url and html are read: extra columns, whatever their names, do not
+reach the result. Nothing is capped: a page is read once, in time that grows with its length, and memory follows the
+longest page.
 """
 
 from __future__ import annotations
@@ -26,16 +29,24 @@ from pyspark.sql import functions as F
 
 from docsift.llm.common import small_batches, table
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^=>]++|=\s*+(?:"[^"]*"|'[^']*'|[^\s"'>][^\s>]*+)?+)*+)>""", re.S)
+#: A comment, CDATA section, declaration or tag. Its parts exclude one another and give nothing back, so that a search
+#: reads a character once; a quotation counts after ``=`` only.
+_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^=>]++|=\s*+(?:"[^"]*+"|'[^']*+'|[^\s"'>][^\s>]*+)?+)*+)>""", re.S)
+#: The same for pages with a quotation that runs beyond all tags: there a tag ends at the next ``>``.
+_PLAIN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>""", re.S)
+_OPENS = re.compile("<(?=[!?]|/?[a-zA-Z])")
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)\s*(?:=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
 #: Fixed values of HTML: elements without an end tag, elements whose content is not text, and inline elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template svg math iframe object canvas audio video title head".split())
-#: Those of them in which nothing but their own end tag is markup.
-END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*(?:>|\Z)", re.I) for tag in ("script", "style", "noscript", "iframe", "title")}
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input".split())
+HIDDEN = frozenset("template svg object canvas audio video annotation annotation-xml".split())
+#: Elements in which nothing but their own end tag is markup; the text of none of them is read.
+END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*+(?:>|\Z)", re.I) for tag in "script style noscript iframe title textarea xmp noembed noframes".split()}
+#: Those of them that hold the rest of a page if they do not end; of the others the start tag is then ignored.
+ENDLESS = frozenset("script style".split())
+MATH = frozenset("math semantics mi mo mn ms mtext mrow mfrac msup msub msubsup msqrt mroot mover munder munderover mstyle mspace mpadded mphantom merror".split())
+INLINE = MATH | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark nobr q rp rt ruby s samp small span strike strong sub sup time tt u var wbr img br input".split())
 #: A start tag of the key closes an open element of the values, unless one of the stops lies between.
 CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "p": ("p",)}
 STOPS = frozenset("ul ol dl table tbody thead tfoot select div section article main aside nav form body".split())
@@ -81,12 +92,35 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(sorted(kinds))
 
 
+def _tokens(page: str) -> Iterator[tuple[int, int, bool, str, str]]:
+    """(start, end, is an end tag, name, attributes) of all markup; the name is empty for what is no tag. The content of
+    a raw element belongs to its start tag. One pass: what does not end is looked for once."""
+    at, pattern, endless = 0, _TOKEN, set()
+    while opens := _OPENS.search(page, at):
+        found = pattern.match(page, opens.start())
+        if not found and pattern is _TOKEN:  # a quotation that never ends, or a tag that never does
+            pattern = _PLAIN
+            found = pattern.match(page, opens.start())
+        if not found:  # no further tag ends
+            yield opens.start(), len(page), False, "", ""
+            return
+        at, name = found.end(), (found.group(2) or "").lower()
+        if name in END and not found.group(1):
+            close = None if name in endless or found.group(3).endswith("/") else END[name].search(page, at)
+            if close:
+                at = close.end()
+            elif not found.group(3).endswith("/"):
+                endless.add(name)
+                at = len(page) if name in ENDLESS else at
+        yield found.start(), at, bool(found.group(1)), name, found.group(3) or ""
+
+
 def blocks(page: str) -> list[Block]:
     """Leaf blocks with text, in page order. Each has the (tag, names) of its ancestors and its share of linked text."""
     stack: list[tuple[str, tuple[str, ...]]] = []
     out: list[Block] = []
     pieces: list[str] = []
-    linked, links, at, begun, filled, skip = 0, 0, 0, 0, False, ""
+    linked, links, hidden, last, begun, filled = 0, 0, 0, 0, 0, False
 
     def flush() -> None:
         nonlocal linked, filled
@@ -97,77 +131,65 @@ def blocks(page: str) -> list[Block]:
             pieces.clear()
         linked, filled = 0, False
 
+    def read(raw: str, at: int) -> None:
+        nonlocal linked, filled, begun
+        piece = html.unescape(raw) if "&" in raw else raw
+        if not filled and not piece.isspace():
+            begun, filled = at, True
+        pieces.append(piece)
+        if links:
+            linked += len(piece)
+
     def close(tag: str, stops=frozenset()) -> None:
-        nonlocal links
+        nonlocal links, hidden
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == tag:
                 links -= sum(x[0] == "a" for x in stack[k:])
+                hidden -= sum(x[0] in HIDDEN for x in stack[k:])
                 del stack[k:]
                 return
             if stack[k][0] in stops:
                 return
 
-    while found := _TOKEN.search(page, at):
-        start = found.start()
-        if start > at and not skip:
-            raw = page[at:start]
-            piece = html.unescape(raw) if "&" in raw else raw
-            if not filled and not piece.isspace():
-                begun, filled = at, True
-            pieces.append(piece)
-            if links:
-                linked += len(piece)
-        at = found.end()
-        tag = found.group(2)
-        if tag is None:
-            continue
-        tag, ending = tag.lower(), bool(found.group(1))
-        if tag in END and not ending and not found.group(3).endswith("/"):
-            end = END[tag].search(page, at)
-            if end or not skip:
-                if not skip:
-                    flush()
-                at = end.end() if end else len(page)
-                continue
-        if skip:  # the content of a raw element
-            if tag == skip and ending or skip == "head" and tag == "body":
-                skip = ""
-                if ending:
-                    continue
-            else:
-                continue
-        if tag in RAW:
-            if not ending and not found.group(3).endswith("/"):
-                flush()
-                skip = tag
+    for start, end, ending, tag, attributes in _tokens(page):
+        if start > last and not hidden:
+            read(page[last:start], last)
+        last = end
+        if not tag or tag == "head":
             continue
         if tag == "br":
             pieces.append(" ")
             continue
         if tag not in INLINE:
             flush()
+        if tag in END or tag in VOID:
+            continue
         if ending:
             close(tag)
             continue
-        if tag in VOID:
-            continue
         if tag in CLOSES:
             for other in CLOSES[tag]:
                 close(other, STOPS - {tag})
-        elif tag not in INLINE:
+        elif tag not in INLINE and tag not in HIDDEN:
             close("p", STOPS)
-        stack.append((tag, _names(found.group(3)) if found.group(3) else ()))
+        if attributes.endswith("/") and (tag in HIDDEN or hidden or tag in MATH):
+            continue
+        stack.append((tag, _names(attributes) if attributes else ()))
         links += tag == "a"
-    if at < len(page) and not skip:
-        raw = page[at:]
-        begun = begun if filled else at
-        pieces.append(html.unescape(raw) if "&" in raw else raw)
+        hidden += tag in HIDDEN
+    if last < len(page) and not hidden:
+        read(page[last:], last)
     flush()
     return out
 
 
+def _marks_main(path: tuple) -> bool:
+    return any(tag in ("article", "main") or "main" in names for tag, names in path)
+
+
 @lru_cache(20_000)
-def path_features(path: tuple) -> tuple[str, ...]:
+def path_features(path: tuple, marked: bool) -> tuple[str, ...]:
+    """marked: whether the page names its main part; if so, what lies outside of it is told by that, else by the text."""
     tags, found = [t for t, _ in path], set()
     for depth, (tag, names) in enumerate(path):
         found.add("in:" + tag)
@@ -175,22 +197,26 @@ def path_features(path: tuple) -> tuple[str, ...]:
         if depth >= len(path) - 2:
             found.update("near:" + n for n in names)
     found.add("tag:" + (tags[-1] if tags else ""))
-    if not {"article", "main"} & set(tags) and "name:main" not in found:
-        found.add("outside")
+    found.add(("inside" if _marks_main(path) else "outside") if marked else "unmarked")
     return tuple(sorted(found))
 
 
-def text_features(block: Block) -> list[str]:
-    n, density = len(block.text), block.linked / max(1, len(block.text))
+def text_features(block: Block, marked: bool) -> list[str]:
+    n, density, side = len(block.text), block.linked / max(1, len(block.text)), "" if marked else "bare-"
     words = block.text.count(" ") + 1
-    out = [f"long:{min(6, n.bit_length() // 2)}", f"links:{int(density * 3.99)}", f"words:{min(5, words.bit_length() - 1)}"]
+    out = [f"{side}long:{min(6, n.bit_length() // 2)}", f"{side}links:{int(density * 3.99)}", f"{side}words:{min(5, words.bit_length() - 1)}"]
     if block.text[-1] in ".!?…。":
-        out.append("sentence")
+        out.append(side + "sentence")
     if "©" in block.text or "(c)" in block.text:
         out.append("copyright")
     return out
 
 
+def features(found: list[Block]) -> list[list[str]]:
+    marked = any(_marks_main(b.path) for b in found)
+    return [[*path_features(b.path, marked), *text_features(b, marked)] for b in found]
+
+
 class Chain:
     """Binary linear-chain field: log-odds per feature, weights per pair of labels (0 other, 1 main)."""
 
@@ -198,17 +224,17 @@ class Chain:
         self.weight: dict[str, float] = {}
         self.pairs = np.zeros((2, 2))
         self.first = np.zeros(2)
-        self._paths: dict[tuple, float] = {}
+        self._paths: dict[tuple[tuple, bool], float] = {}
 
     def odds(self, found: list[Block]) -> list[float]:
-        get, out = self.weight.get, []
+        get, out, marked = self.weight.get, [], any(_marks_main(b.path) for b in found)
         for b in found:
-            known = self._paths.get(b.path)
+            known = self._paths.get((b.path, marked))
             if known is None:
-                known = sum(get(f, 0.0) for f in path_features(b.path))
+                known = sum(get(f, 0.0) for f in path_features(b.path, marked))
                 if len(self._paths) < 50_000:
-                    self._paths[b.path] = known
-            out.append(known + sum(get(f, 0.0) for f in text_features(b)))
+                    self._paths[b.path, marked] = known
+            out.append(known + sum(get(f, 0.0) for f in text_features(b, marked)))
         return out
 
     def decode(self, odds: list[float]) -> list[int]:
@@ -261,7 +287,7 @@ class Chain:
         self._paths.clear()
 
 
-def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[int]]]:
+def labelled_pages(count: int = 600, seed: int = 11) -> list[tuple[str, list[int]]]:
     """Pages of varied layout with the label of every block, 1 for the article."""
     rng = random.Random(seed)
     syllables = "ba ke li mo nu ra se ti vo xa der ing ion lan mur pel qui ros tan wen".split()
@@ -308,7 +334,7 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[int
 
     pages = []
     for _ in range(count):
-        body = [mark(f"<h1>{words(1, 10)}</h1>", 1)] if rng.random() < 0.9 else []
+        body = [mark(f"<h1>{words(1, 10)}</h1>", 1)] if rng.random() < 0.8 else []
         for _ in range(rng.randint(1, 9)):
             draw = rng.random()
             if draw < 0.72:
@@ -328,11 +354,16 @@ def labelled_pages(count: int = 400, seed: int = 11) -> list[tuple[str, list[int
         if rng.random() < 0.25:
             body.append(mark(junk("comment"), 0))
         tag, name = pick("article", "article", "article", "main", "div"), ""
-        if tag == "div" or rng.random() < 0.4:
+        if rng.random() < 0.2:  # an article without any name, in plain elements
+            tag = pick("div", "div", "section", "td")
+            if rng.random() < 0.5:
+                body = [part.replace("<p>", "<div>").replace("</p>", "</div>") if part[1] == "1" else part for part in body]
+        elif tag == "div" or rng.random() < 0.4:
             name = f" {pick('class', 'id')}=\"{pick(*CLASS_WORDS['main'].split())}{pick('', '-body', ' wide')}\""
         article = [f"<{tag}{name}>", *body, f"</{tag}>"]
-        before = [mark(junk(k), 0) for k in ("notice", "header", "menu", "advert", "form", "social") if rng.random() < 0.45]
-        after = [mark(junk(k), 0) for k in ("comment", "side", "advert", "notice", "form", "menu", "footer") if rng.random() < 0.45]
+        much = pick(0.45, 0.45, 0.45, 0.1)
+        before = [mark(junk(k), 0) for k in ("notice", "header", "menu", "advert", "form", "social") if rng.random() < much]
+        after = [mark(junk(k), 0) for k in ("comment", "side", "advert", "notice", "form", "menu", "footer") if rng.random() < much]
         rng.shuffle(before)
         pages.append(_split_labels([f"<html><head><title>{words(1, 5)}</title></head><body>", *before, *article, *after, pick("</body></html>", "")]))
     return pages
@@ -355,7 +386,7 @@ def trained() -> Chain:
     for page, labels in labelled_pages():
         found = blocks(page)
         if found and len(found) == len(labels):
-            pages.append(([[*path_features(b.path), *text_features(b)] for b in found], labels))
+            pages.append((features(found), labels))
     chain.learn(pages)
     return chain
 

@@ -143,6 +143,96 @@ def test_raw_elements_and_odd_quotes(page, want):
     assert [b.text for b in H.blocks(page)] == want
 
 
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<body><script>for(var i=0;i<n;i++){}</script><article><p>Some text of the article here.</p></article>", "Some text of the article here."),
+        ("<head><title>x</title><meta a=b><article><p>No end of the head, and the text is long enough.</p></article>", "No end of the head, and the text is long enough."),
+        ("<nav><a href=/>Home</a><a href=/b>News</a></nav><div><div><div>The first paragraph of the text is a sentence of some length.</div><div>A second paragraph comes next, also of some length.</div></div></div><div class=footer>&copy; 2020 X</div>", "The first paragraph of the text is a sentence of some length. A second paragraph comes next, also of some length."),
+        ("<article><p>Let <math><mi>x</mi> <mo>=</mo> <mn>2</mn></math> be a number of some kind.</p></article>", "Let x = 2 be a number of some kind."),
+        ("<article><p>Before the film.<video src=x>Your browser is old</p><p>After it.</p></article>", "Before the film. After it."),
+        ("<article><svg><title>Icon</title><text>drawn</text></svg><p>After the drawing.</p></article>", "After the drawing."),
+        ("<p>Only one paragraph of text here.</p>", "Only one paragraph of text here."),
+        ("<article><h1>Title</h1><p>A long first paragraph with a number of words.</p><p>End.</p></article><footer>&copy; us</footer>", "Title A long first paragraph with a number of words. End."),
+    ],
+)
+def test_whole_pages(page, want):
+    assert H.main_text(page, H.trained()) == want
+
+
+def _tree_text(page):
+    """Texts of the blocks by Python's own parser, for well-formed pages without hidden elements."""
+    from html.parser import HTMLParser
+
+    out, held = [], []
+
+    def flush():
+        text = " ".join("".join(held).split())
+        held.clear()
+        if text:
+            out.append(text)
+
+    class Reader(HTMLParser):
+        raw = 0
+
+        def handle_starttag(self, tag, attrs):
+            self.raw += tag in ("script", "style", "title")
+            if tag == "br":
+                held.append(" ")
+            elif tag not in H.INLINE:
+                flush()
+
+        def handle_endtag(self, tag):
+            self.raw -= tag in ("script", "style", "title")
+            if tag not in H.INLINE:
+                flush()
+
+        def handle_data(self, data):
+            if not self.raw:
+                held.append(data)
+
+    reader = Reader(convert_charrefs=True)
+    reader.feed(page)
+    reader.close()
+    flush()
+    return out
+
+
+def test_blocks_against_another_parser():
+    rng = random.Random(5)
+    scripts = ["for(i=0;i<n;i++){}", "s='<!--'", 's="<body>"', "if(a<b&&c>d){}", "t='</p>'", ""]
+    for page, _ in H.labelled_pages(1000, seed=23):
+        page = re.sub("<p>", lambda m: rng.choice(["", f"<script>{rng.choice(scripts)}</script>", f"<style>{rng.choice(scripts)}</style>", "<!-- <p>x</p> -->"]) + m[0], page)
+        assert [b.text for b in H.blocks(page)] == _tree_text(page)
+
+
+def test_scripts_lose_no_page():
+    """Recall of main blocks on pages with scripts between all parts: every one of them."""
+    chain, rng = H.trained(), random.Random(6)
+    for page, labels in H.labelled_pages(1000, seed=31):
+        found = H.blocks(page)
+        want = " ".join(b.text for b, label in zip(found, chain.decode(chain.odds(found)), strict=True) if label)
+        noisy = re.sub("<(p|h1|div|article|main|nav)(?=[ >])", lambda m: rng.choice(["", "<script>for(var i=0;i<n;i++){f(i)}</script>", "<style>a<b{}</style>"]) + m[0], page)
+        assert H.main_text(noisy, chain) == want and (want or not any(labels))
+
+
+@pytest.mark.parametrize("part", ["<a", "<", "a<", '<a ="<a> "', "<!", '<a ="', "<script>", "<title>", "<title a='", "</", "<p>", "<a x='>", "<b class=", "<!--", "&", "<textarea", "</p"])
+def test_time_grows_with_length(part):
+    import time
+
+    page, began = part * (400_000 // len(part)), time.process_time()
+    H.blocks(page)
+    H.blocks("<" + page)
+    assert time.process_time() - began < 5
+
+
+def test_a_very_long_page_and_clashing_columns(spark):
+    page = "<nav><a href=/>Home</a></nav><article>" + "<p>A sentence of the very long text.</p>" * 60_000 + "</article>"
+    rows = spark.createDataFrame([(1, "u", page, "x", 3)], "page_id long, url string, html string, text string, n_chars int")
+    got = H.extract(rows).collect()[0]
+    assert got.n_chars == len(got.text) == 60_000 * len("A sentence of the very long text. ") - 1
+
+
 def test_viterbi_finds_the_best_labels():
     import itertools
 
