@@ -1,21 +1,21 @@
 """Operator 8: format-preserving Feistel pseudonyms for personal data.
 
 Numbers and dates are found by pattern, validated (check digits, ranges, calendar) and replaced by a keyed permutation of
-the values of their format: a card number stays a valid card number, a date a real date of its century, a phone number
+the values of their format: a card number stays a valid card number of its issuer, a date a real date of its century, a phone number
 keeps its country code and punctuation. As the permutation depends on the key and the format alone, equal values stay
 equal in all documents, different ones stay different, and the key's holder can undo it. E-mail names, access keys,
 tokens and passwords go through the same permutation, character class by character class.
 
-Formats: e-mail, payment card (Luhn), IBAN (mod 97), US social security number, IPv4 address, phone number (also
-+code and digits without separators), date (ISO, also within a time stamp, d.m.y, d/m/y or m/d/y), access key id, token or password after its name.
+Formats: e-mail, payment card (issuer, length and Luhn), IBAN (mod 97), US social security number, IPv4 address, phone number (with
++code, with an area code in brackets, of groups 3-3-4, or national with a leading 0 in usual groups), date (ISO, also within a time stamp, d.m.y, d/m/y or m/d/y), access key id, token or password after its name.
 
 Of cards and IBANs every reading between borders of groups is tried. Where a pseudonym would make another reading of its
 neighbours valid, the next of its cycle is taken: undoing stays exact among them, and only there equal values may part.
 Digit groups taken for a phone number can still become a valid card by chance, and are then undone as one.
 
-Defined cases: null and empty texts stay; values that fail validation stay; overlapping finds go to the format listed
+Defined cases: null and empty texts stay; a null doc_id stays null; values that fail validation stay; overlapping finds go to the format listed
 first; repeated rows get equal results; empty input gives an empty result. Whole texts are searched, at any length.
-Extra columns pass through ``pseudonymise``.
+Extra columns, whatever their names, pass through ``pseudonymise``; ``pii_report`` reads doc_id and text only.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from __future__ import annotations
 import datetime
 import hashlib
 import re
+import warnings
 from bisect import bisect_left, insort
 from collections.abc import Callable, Iterable, Iterator
 
@@ -34,10 +35,20 @@ from pyspark.sql import types as T
 
 from docsift.llm.common import small_batches, table
 
-KEY = b"docsift-demo-key"  # production runs pass their own
+#: Setting of the session that holds the key of queries, and the key of sessions that have none (tests): with that one
+#: anyone can undo the pseudonyms, so a warning is given.
+KEY_SETTING, DEMO_KEY = "spark.docsift.pii.key", b"docsift-demo-key"
 ROUNDS = 8
 UPPER, LOWER_CASE, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 
+
+def _letters(first: int, last: int, upper: bool) -> str:
+    return "".join(c for c in map(chr, range(first, last + 1)) if c.isalpha() and c.isupper() == upper)
+
+
+#: Classes of the letters of names beyond ASCII: Latin, Greek and Cyrillic ones, each case by itself.
+NAME_CLASSES = (DIGITS, UPPER, LOWER_CASE, *(_letters(a, b, upper) for a, b in ((0xC0, 0xFF), (0x100, 0x17F), (0x386, 0x3CE), (0x400, 0x45F)) for upper in (True, False)))
+
 #: Usual digit groups of cards, lengths of IBANs by country, and a bound of the characters of either.
 CARD_GROUPS = frozenset({(4, 4, 4, 4), (4, 6, 5), (4, 6, 4), (4, 4, 4, 4, 3)})
 IBAN_LENGTHS = {
@@ -50,6 +61,12 @@ IBAN_LENGTHS = {
     for c in countries.split()
 }
 LONGEST = 80
+#: First digits of payment cards by issuer, with the lengths of their numbers.
+ISSUERS = (
+    ("4", {13, 16, 19}), ("5[1-5]", {16}), ("222[1-9]|22[3-9]|2[3-6]|27[01]|2720", {16}), ("3[47]", {15}), ("30[0-5]|3[689]", {14, 16, 17, 18, 19}), ("35(?:2[89]|[3-8])", {16, 17, 18, 19}),
+    ("6011|64[4-9]|65", {16, 17, 18, 19}), ("62", {16, 17, 18, 19}), ("220[0-4]", {16, 17, 18, 19}), ("50|5[6-9]|6[0-9]", {13, 14, 15, 16, 17, 18, 19}),
+)
+_ISSUERS = tuple((re.compile(first), lengths) for first, lengths in ISSUERS)
 #: Calling codes of one and two digits; all others have three.
 CALLING_CODE = "(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-689][0-9]{2})"
 _GROUP = re.compile("[0-9]+")
@@ -60,7 +77,7 @@ class Feistel:
     """Keyed permutation of mixed-radix numbers: each round adds a hash of one half to the other, modulo its size."""
 
     def __init__(self, key: bytes):
-        self.key = key[:64]
+        self.key = hashlib.blake2b(key).digest() if len(key) > 64 else key
 
     def _round(self, tweak: str, no: int, half: int, size: int) -> int:
         # as many digest bytes as the size needs, and eight more against bias
@@ -132,13 +149,21 @@ def _plain(shape: str) -> str:
     return shape.replace(" ", "").replace("-", "")
 
 
+def _issuer(digits: str) -> str | None:
+    """The digits that name the issuer, if there is one of numbers of that length."""
+    found = (first.match(digits) for first, lengths in _ISSUERS if len(digits) in lengths)
+    return next((m[0] for m in found if m), None)
+
+
 def _is_card(shape: str) -> bool:
     digits = _plain(shape)
-    return int(digits[-1]) == luhn_digit(digits[:-1]) and len(set(digits)) > 1
+    return int(digits[-1]) == luhn_digit(digits[:-1]) and _issuer(digits) is not None
 
 
 def _card(shape: str, f: Feistel, undo: bool) -> str:
-    payload = f.characters(_plain(shape)[:-1], "card", undo)
+    digits = _plain(shape)
+    first = _issuer(digits)
+    payload = first + f.characters(digits[len(first) : -1], f"card-{first}", undo)
     return _fill(shape, payload + str(luhn_digit(payload)))
 
 
@@ -237,8 +262,8 @@ def _ip(m: re.Match, f: Feistel, undo: bool) -> str | None:
 
 def _phone(m: re.Match, f: Feistel, undo: bool) -> str | None:
     digits = re.sub(r"\D", "", m[0])
-    keep = len(m["code"] or m["compact"] or "")
-    if not 7 <= len(digits) <= 15 or not 7 <= len(digits) - keep:
+    keep = len(m["code"] or m["compact"] or m["spaced"] or m["first"] or m["area"] or "")
+    if not (9 if m["area"] else 7) <= len(digits) <= 15 or not 7 <= len(digits) - keep:
         return None
     return _fill(m[0], digits[:keep] + f.characters(digits[keep:], f"phone-{digits[:keep]}", undo))
 
@@ -272,7 +297,7 @@ def _date(m: re.Match, f: Feistel, undo: bool) -> str | None:
 
 
 def _email(m: re.Match, f: Feistel, undo: bool) -> str | None:
-    return f.characters(m["name"], "email", undo) + "@" + m["host"]
+    return f.characters(m["name"], "email", undo, NAME_CLASSES) + "@" + m["host"]
 
 
 def _access(m: re.Match, f: Feistel, undo: bool) -> str | None:
@@ -290,13 +315,13 @@ def _secret(m: re.Match, f: Feistel, undo: bool) -> str | None:
 FORMATS = (
     ("secret", re.compile(r"(?P<before>\b(?:password|passwd|pwd|token|secret|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?)(?P<value>[A-Za-z0-9+/_\-]{8,}(?=[\"'\s,;.]|\Z))", re.I), _secret),
     ("access", re.compile(r"\b(?:AKIA|ASIA)[A-Z0-9]{16}\b"), _access),
-    ("email", re.compile(r"(?<![\w.%+-])(?P<name>[A-Za-z0-9._%+\-]{1,64})@(?P<host>[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)"), _email),
+    ("email", re.compile(r"(?<![\w.%+-])(?P<name>[\w.%+\-]{1,64})@(?P<host>[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+)"), _email),
     ("iban", re.compile(r"\b[A-Z]{2}[0-9]{2}(?= ?[A-Z0-9])"), _iban),
     ("card", re.compile(r"(?<![\w.+])[0-9]+(?:[ -][0-9]+)*(?!\w)"), _card),
     ("ssn", re.compile(r"(?<![\w-])(?P<area>\d{3})-(?P<group>\d{2})-(?P<serial>\d{4})(?![\w-])"), _ssn),
     ("date", re.compile(r"(?<![\w.-])(?:(?P<y1>\d{4})(?P<s1>[-/.])(?P<mo1>\d{2})(?P=s1)(?P<d1>\d{2})|(?P<a2>\d{1,2})(?P<s2>[./-])(?P<b2>\d{1,2})(?P=s2)(?P<y2>\d{4}))(?:(?![\w-]|\.\d)|(?(y1)(?=T\d{2}:?\d{2}(?!\d{3}))|(?!)))"), _date),
     ("ip", re.compile(r"(?<![\w.])\d{1,3}\.\d{1,3}\.\d{1,3}\.\d{1,3}(?!\w|\.\d)"), _ip),
-    ("phone", re.compile(rf"(?<![\w+])(?:\+(?P<compact>{CALLING_CODE})\d{{7,14}}|(?:\+(?P<code>\d{{1,3}})[ .-]?)?(?:\(\d{{2,4}}\)[ .-]?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,3}}|(?<=\d[ .-])\d{{2,4}}(?:[ .-]?\d{{2,4}}){{2,4}}|\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}))(?!\w)"), _phone),
+    ("phone", re.compile(rf"(?<![\w+])(?:\+(?P<compact>{CALLING_CODE})\d{{7,14}}|\+(?P<spaced>{CALLING_CODE})[ .-]\d{{1,5}}(?:[ .-]\d{{2,8}}){{1,4}}|(?:\+(?P<code>\d{{1,3}})[ .-]?)?\(\d{{2,4}}\)[ .-]?\d{{2,4}}(?:[ .-]?\d{{2,4}}){{1,3}}|(?:\+(?P<first>\d{{1,3}})[ .-])?\d{{3}}[ .-]\d{{3}}[ .-]\d{{4}}|(?P<area>0[1-9])(?:(?:[ .-]\d{{2}}){{4}}|\d{{1,3}}[ /-]\d{{5,8}}))(?![\w-]|[ .]\d)"), _phone),
 )
 #: Formats of which several readings are tried.
 READINGS = {"iban": (_iban_readings, _is_iban), "card": (_card_readings, _is_card)}
@@ -356,7 +381,15 @@ def _changed(batch: pa.RecordBatch, feistel: Feistel) -> tuple[pa.Array, list[li
     return pa.array(texts, column.type), kinds
 
 
-def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def key_of(spark: SparkSession) -> bytes:
+    """The session's key."""
+    given = spark.conf.get(KEY_SETTING, None)
+    if not given:
+        warnings.warn(f"{KEY_SETTING} is not set: pseudonyms use a key that everyone knows", stacklevel=2)
+    return given.encode() if given else DEMO_KEY
+
+
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """The documents with their personal data permuted; all columns pass through. One pass, no shuffle."""
     feistel, at = Feistel(key), docs.columns.index("text")
 
@@ -367,7 +400,7 @@ def pseudonymise(docs: DataFrame, key: bytes = KEY) -> DataFrame:
     return small_batches(docs).mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
 
 
-def pii_report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
+def pii_report(docs: DataFrame, key: bytes) -> DataFrame:
     """One row per document: doc_id, n_found, kinds (comma-joined, in order of place), text."""
     feistel = Feistel(key)
 
@@ -380,4 +413,4 @@ def pii_report(docs: DataFrame, key: bytes = KEY) -> DataFrame:
 
 
 def op8_feistel_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii_report(table(spark, sf_dir, "documents"))
+    return pii_report(table(spark, sf_dir, "documents"), key_of(spark))

@@ -88,6 +88,72 @@ def test_compact_forms(text, value, keeps, kind):
     assert P.replace(new, F, undo=True)[0] == text
 
 
+@pytest.mark.parametrize(
+    ("text", "value", "kind"),
+    [
+        ("josé@bar.com x", "josé@bar.com", "email"), ("an иван.петров@x.example", "иван.петров@x.example", "email"), ("+49 30 1234567 x", "+49 30 1234567", "phone"), ("+33 1 23 45 67 89", "+33 1 23 45 67 89", "phone"),
+        ("tel 01 23 45 67 89", "01 23 45 67 89", "phone"), ("tel 030 1234567 x", "030 1234567", "phone"), ("4111 1111 1111 1111 12/27", "4111 1111 1111 1111", "card"),
+    ],
+)
+def test_further_forms(text, value, kind):
+    new, kinds = P.replace(text, F)
+    before, after = text.split(value)
+    assert kinds == [kind] and new.startswith(before) and new.endswith(after) and value not in new and len(new) == len(text)
+    assert P.replace(new, F, undo=True)[0] == text
+
+
+@pytest.mark.parametrize("text", ["in 1990 2000 2010", "12 34 56 78 90", "room 012 34567", "ISBN 978-3-16-148410-0", "9777946427004852", "0000000000000000", "2020-2021 100 200 300", "1, 2, 3; 10 20 30 40", "a@b", "1.2.3.4.5"])
+def test_numbers_of_other_kinds_stay(text):
+    assert P.replace(text, F) == (text, [])
+
+
+def _luhn(digits):
+    return sum(d if k % 2 == 0 else 2 * d - 9 * (d > 4) for k, d in enumerate(map(int, reversed(digits)))) % 10 == 0
+
+
+def test_no_card_stays(monkeypatch):
+    """Every substring that reads as a card, found by trying them all, is changed or overlaps one that is."""
+    monkeypatch.setattr(P, "FORMATS", tuple(x for x in P.FORMATS if x[0] == "card"))
+    rng, seen = random.Random(12), 0
+    for _ in range(600):
+        groups = [str(rng.randrange(10 ** rng.choice([1, 2, 3, 4, 4, 4, 4, 6, 16]))) for _ in range(rng.randrange(2, 12))]
+        text = "x " + "".join(g + rng.choice([" ", "-", " ", ", ", " y "]) for g in groups)
+        new, kinds = P.replace(text, F)
+        changed = [i for i, (a, b) in enumerate(zip(text, new, strict=True)) if a != b]
+        cards = 0
+        for i in range(len(text)):
+            for j in range(i + 13, min(len(text), i + 40) + 1):
+                part = text[i:j]
+                digits = part.replace(" ", "").replace("-", "")
+                if re.fullmatch(r"\d+(?:[ -]\d+)*", part) and 13 <= len(digits) <= 19 and not text[i - 1].isalnum() and not text[j : j + 1].isalnum() and text[i - 1] not in "+." and _luhn(digits) and P._issuer(digits):
+                    cards += 1
+                    assert any(i <= k < j for k in changed)
+        seen += cards
+        assert bool(cards) == bool(kinds)
+    assert seen > 20
+
+
+def test_values_in_long_texts():
+    filler = "words of the text 12 and more. " * 40_000
+    text = f"{filler}4111111111111111 {filler}a.b@mail.example {filler}+1 (668) 555-2281"
+    new, kinds = P.replace(text, F)
+    assert kinds == ["card", "email", "phone"] and P.replace(new, F, undo=True)[0] == text
+
+
+def test_keys(spark):
+    docs = spark.createDataFrame([(1, "a.person@b.example")], "doc_id long, text string")
+    with pytest.warns(UserWarning, match="not set"):
+        assert P.key_of(spark) == P.DEMO_KEY
+    spark.conf.set(P.KEY_SETTING, "k" * 100)
+    try:
+        one, two = (P.pseudonymise(docs, key).collect()[0].text for key in (P.key_of(spark), P.DEMO_KEY))
+        assert one != two
+    finally:
+        spark.conf.unset(P.KEY_SETTING)
+    with pytest.raises(TypeError):
+        P.pseudonymise(docs)
+
+
 def test_cards_among_groups_are_undone(monkeypatch):
     monkeypatch.setattr(P, "FORMATS", tuple(x for x in P.FORMATS if x[0] == "card"))
     rng, found = random.Random(3), 0
@@ -101,11 +167,11 @@ def test_cards_among_groups_are_undone(monkeypatch):
 
 def test_frames(spark):
     docs = spark.createDataFrame([(1, "a@b.example", "x"), (2, None, "y"), (3, "", "z"), (1, "a@b.example", "x")], "doc_id long, text string, kinds string")
-    rows = P.pseudonymise(docs).collect()
+    rows = P.pseudonymise(docs, b"key").collect()
     assert len(rows) == 4 and sorted(r.kinds for r in rows) == ["x", "x", "y", "z"]
     assert len({r.text for r in rows if r.doc_id == 1}) == 1 and not any(r.text == "a@b.example" for r in rows)
-    assert sorted((r.doc_id, r.n_found) for r in P.pii_report(docs).collect()) == [(1, 1), (1, 1), (2, 0), (3, 0)]
-    assert P.pii_report(docs.limit(0)).count() == 0
+    assert sorted((r.doc_id, r.n_found) for r in P.pii_report(docs, b"key").collect()) == [(1, 1), (1, 1), (2, 0), (3, 0)]
+    assert P.pii_report(docs.limit(0), b"key").count() == 0
 
 
 def test_held_out_pages():

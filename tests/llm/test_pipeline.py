@@ -39,7 +39,7 @@ def test_stages(spark, tmp_path):
     import pyarrow as pa
 
     assert not decontam.find_all(pa.array(list(seen["decontamination"].values()), pa.large_string()), [given]).items
-    assert "joe.doe" not in seen["privacy"][106] and pii.replace(seen["privacy"][106], pii.Feistel(pii.KEY), undo=True)[0] == rows[-1][1]
+    assert "joe.doe" not in seen["privacy"][106] and pii.replace(seen["privacy"][106], pii.Feistel(pii.DEMO_KEY), undo=True)[0] == rows[-1][1]
     assert all(seen["privacy"][i] == seen["decontamination"][i] for i in seen["privacy"] if i != 106)
     assert set(seen["mixing"]) <= set(seen["privacy"])
 
