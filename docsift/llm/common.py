@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Rows up to which a side of a join may be broadcast. Every caller counts first.
@@ -29,12 +30,18 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that the cluster names in spark.checkpoint.dir. A temporary one of this machine does only for a local
+    master, as in tests; anywhere else its absence is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return named or tempfile.mkdtemp(prefix="docsift-checkpoint-")
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder that the cluster names in spark.checkpoint.dir; make one only where none is named (tests)."""
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="docsift-checkpoint-"))
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -72,7 +79,25 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def unit_draw(key: Column, seed: str) -> Column:
-    """Number in [0, 1) that depends on the key and the seed alone, so reruns agree."""
-    text = F.concat(F.lit(seed + ":"), F.coalesce(key.cast("string"), F.lit("null")))
+def running_sums(df: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """df with, for each name, the sum of its value over all rows before a row in the given order.
+
+    Rows are dealt to tasks by ranges of the order, so no task gets them all; the sums of the ranges, a row each, are all
+    that comes together. Rows that tie in the order share a range and stand in any order, so it should be total.
+    """
+    keys = [f"__key{k}" for k in range(len(order))]
+    keyed = df.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)], *[v.alias(f"__of_{n}") for n, v in values.items()])
+    placed = cut(keyed.repartitionByRange(shuffle_parts(df.sparkSession), *keys).select("*", F.spark_partition_id().alias("__part")))
+    inner = Window.partitionBy("__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    parts = placed.groupBy("__part").agg(*[F.sum(f"__of_{n}").alias(n) for n in values])
+    parts = parts.select(F.col("__part").alias("__of"), *[F.coalesce(F.sum(n).over(outer), F.lit(0)).alias(f"__base_{n}") for n in values])
+    within = placed.select("*", *[F.coalesce(F.sum(f"__of_{n}").over(inner), F.lit(0)).alias(f"__sum_{n}") for n in values])
+    joined = within.join(F.broadcast(parts), F.col("__part") == F.col("__of"))
+    return joined.select(*df.columns, *[(F.col(f"__sum_{n}") + F.col(f"__base_{n}")).alias(n) for n in values])
+
+
+def unit_draw(seed: str, *keys: Column) -> Column:
+    """Number in [0, 1) that depends on the keys and the seed alone, so reruns agree."""
+    text = F.concat_ws(":", F.lit(seed), *[F.coalesce(k.cast("string"), F.lit("null")) for k in keys])
     return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("double") / F.lit(float(2**52))

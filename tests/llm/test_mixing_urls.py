@@ -51,7 +51,68 @@ def test_report_and_mix_agree(spark):
     for r in report:
         by.setdefault(r.source_size, [r.target, 0])[1] += r.taken
     for target, taken in by.values():
-        assert taken == pytest.approx(target, rel=0.5, abs=20)
+        assert abs(taken - target) <= 17
+
+
+def by_source(docs, report):
+    """source: (target, taken, sizes of its documents); rows of docs and report in the same order."""
+    out = {}
+    for d, r in zip(docs, report, strict=True):
+        one = out.setdefault(d["source"], [r.target, 0, []])
+        one[1] += r.taken
+        one[2].append(r.size)
+    return out
+
+
+def bound(sizes):
+    """Half the largest document that is not large, or half of what one is larger than all smaller ones."""
+    ranked, rest, out = sorted(sizes), 0, 0.5
+    for size in ranked:
+        out = max(out, size / 2 if size * M.LARGE <= sum(sizes) else (size - rest) / 2)
+        rest += size
+    return out
+
+
+@pytest.mark.parametrize("with_ids", [True, False])
+def test_every_source_comes_near_its_target(spark, with_ids):
+    """Sizes of one word to thousands, null ids, one hot source: misses are bounded by the size of small documents."""
+    import random
+
+    rng, rows = random.Random(4), []
+    for i in range(3000):
+        source = "hot" if i % 3 == 0 else f"s{i % 13}"
+        rows.append({"doc_id": i if with_ids else None, "source": source, "text": f"t{i} " + "w " * int(rng.lognormvariate(3.5, 1.4))})
+    report = M.mix_report(spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1)).collect()
+    for target, taken, sizes in by_source(rows, report).values():
+        assert abs(taken - target) <= bound(sizes) + 1e-6
+
+
+def test_probability_is_the_fraction(spark):
+    """Over many seeds, a large and a small document of a source are taken as often as the rate asks."""
+    rows = [(0, "s", "w " * 200)] + [(i, "s", f"w{i} " * 9) for i in range(1, 60)] + [(100, "t", "x " * 700)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string").coalesce(1).cache()
+    seen = {0: 0, 1: 0, 59: 0}
+    for seed in range(12):
+        for r in M.mix_report(docs, weights=(2, 1), seed=f"s{seed}").collect():
+            if r.doc_id in seen:
+                seen[r.doc_id] += r.copies
+                rate = r.target / r.source_size
+    for doc_id in seen:
+        assert abs(seen[doc_id] / 12 - rate) < 0.45
+
+
+def test_repeated_rows_draw_alike(spark):
+    rows = [(1, "s", "a b c")] * 50 + [(i, "s", f"w{i} x y") for i in range(2, 90)] + [(500, "t", "z " * 400)]
+    report = M.mix_report(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
+    assert len({r.copies for r in report if r.doc_id == 1}) == 1 and len(report) == len(rows)
+
+
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_documents_come_near_their_targets(spark, sf):
+    docs = spark.read.parquet(f"/root/testdata/{sf}/documents.parquet").select("doc_id", "source", "text").coalesce(1)
+    rows = docs.collect()
+    for target, taken, sizes in by_source(rows, M.mix_report(docs).collect()).values():
+        assert abs(taken - target) <= bound(sizes) + 1e-6, (target, taken, sorted(sizes))
 
 
 def test_empty(spark):
