@@ -1,7 +1,7 @@
 """Operator 7: n-gram Jaccard join through prefix trees.
 
 Every whole text becomes its set of 5-word shingles (64-bit hashes of whole words, shipped in full); equal sets are one
-class, named by a 128-bit hash of the set. Two given sets of n shingles share a hash by chance with probability n * n /
+class, named by a 96-bit hash of the set. Two given sets of n shingles share a hash by chance with probability n * n /
 2**64, which is below one in ten thousand million for sets of 40,000.
 
 1. Shingles are dealt by hash as packed blobs and counted: how many classes have each. Those that a single class has
@@ -44,9 +44,14 @@ from docsift.llm.triejoin import links_within
 WIDTH, PERCENT = 5, 75
 #: Shingles of a component that one task holds; larger components are split into blocks.
 BLOCK_TOKENS = 4_000_000
-FLUSH_TOKENS, FLUSH_DOCS = 500_000, 65_000
-#: One class in a blob: its name in two halves, the size of its whole set, and how many tokens of the blob are its own.
-_RUN = np.dtype([("hi", "<u8"), ("lo", "<u8"), ("n", "<u4"), ("count", "<u4")])
+FLUSH_TOKENS = 500_000
+#: Tokens of a bucket, about, and of a part of it that is sorted at a time; rows that a partition sends to a bucket hold
+#: LEAST_SENT tokens or more on average, and FLUSH_TOKENS grows up to MOST_HELD for that.
+BUCKET_TOKENS, SORT_TOKENS, LEAST_SENT, MOST_HELD = 2_000_000, 500_000, 16, 8_000_000
+#: One class in a blob: its name in two parts, the size of its whole set, and how many tokens of the blob are its own.
+_RUN = np.dtype([("hi", "<u8"), ("lo", "<u4"), ("n", "<u4"), ("count", "<u2")])
+_NAME = np.dtype([("hi", ">u8"), ("lo", ">u4")])
+MOST = 65_535  # of a run's tokens, and of a token's uses as far as they are told apart
 #: Base of the classes of sizes: similar sets are of the same or of neighbouring ones. A little more than the greatest
 #: ratio of their sizes, so that rounding cannot put two of exactly that ratio further apart.
 SIZE_STEP = 100 / PERCENT * 1.001
@@ -72,8 +77,8 @@ def shingle_sets(column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
 
 
 def set_name(tokens: np.ndarray) -> bytes:
-    """Name of a class: the 128-bit hash of its set."""
-    return xxhash.xxh3_128_digest(tokens.tobytes())
+    """Name of a class: 96 bits of a hash of its set."""
+    return xxhash.xxh3_128_digest(tokens.tobytes())[: _NAME.itemsize]
 
 
 def _names(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,6 +101,14 @@ def _ranges(values: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True))
 
 
+def _runs(new: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of runs, given which tokens begin one; none is longer than MOST."""
+    at = np.arange(len(new))
+    start = np.maximum.accumulate(np.where(new, at, 0)) if len(new) else at
+    start = np.flatnonzero((at - start) % MOST == 0)
+    return start, np.append(start[1:], len(new))
+
+
 def _blob(runs: np.ndarray, *columns: np.ndarray) -> bytes:
     return b"".join((len(runs).to_bytes(8, "little"), runs.tobytes(), *(c.tobytes() for c in columns)))
 
@@ -115,18 +128,19 @@ def _unblob(blob, *types: str) -> list[np.ndarray]:
 def _blobs(parts: int):
     """Tokens of the partition's distinct sets, dealt to buckets by their upper bits."""
 
+    flush_tokens = min(MOST_HELD, max(FLUSH_TOKENS, LEAST_SENT * parts))
+
     def flush(docs: dict[bytes, int], held: list[np.ndarray]) -> pa.RecordBatch:
-        names, lengths = np.frombuffer(b"".join(docs), ">u8").reshape(-1, 2).astype("<u8"), np.array([len(h) for h in held])
+        names, lengths = np.frombuffer(b"".join(docs), _NAME), np.array([len(h) for h in held])
         tokens = np.concatenate(held)
         bucket = ((tokens >> U64(32)) * U64(parts) >> U64(32)).astype(np.uint16 if parts <= 65536 else np.uint32)
         order = np.argsort(bucket, kind="stable")
         tokens, bucket, doc = tokens[order], bucket[order], np.repeat(np.arange(len(held)), lengths)[order]
-        start = np.flatnonzero(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1]))))
+        start, end = _runs(np.concatenate(([True], (bucket[1:] != bucket[:-1]) | (doc[1:] != doc[:-1]))))
         own, runs = doc[start], np.zeros(len(start), _RUN)
-        runs["hi"], runs["lo"], runs["n"], runs["count"] = names[own, 0], names[own, 1], lengths[own], np.diff(np.append(start, len(tokens)))
-        end = np.append(start, len(tokens))
+        runs["hi"], runs["lo"], runs["n"], runs["count"] = names["hi"][own], names["lo"][own], lengths[own], end - start
         spans = _ranges(bucket[start])
-        blobs = [_blob(runs[a:b], tokens[end[a] : end[b]]) for a, b in spans]
+        blobs = [_blob(runs[a:b], tokens[start[a] : end[b - 1]]) for a, b in spans]
         return pa.RecordBatch.from_arrays([pa.array([int(bucket[start[a]]) for a, _ in spans], pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,7 +153,7 @@ def _blobs(parts: int):
                     docs[name] = len(docs)
                     held.append(own)
                     tokens += len(own)
-                    if tokens >= FLUSH_TOKENS or len(held) >= FLUSH_DOCS:
+                    if tokens >= flush_tokens:
                         yield flush(docs, held)
                         held, docs, tokens = [], {}, 0
         if held:
@@ -150,13 +164,14 @@ def _blobs(parts: int):
 
 
 def _shared(parts: int):
-    """Of one bucket: the tokens that two classes or more have, back to their classes. A quarter of the tokens at a time."""
+    """Of one bucket: the tokens that two classes or more have, back to their classes. A bounded part of them at a time."""
 
     def run(_key: tuple, frame: pa.Table) -> pa.Table:
         given = [_unblob(blob, "<u8") for blob in frame.column("blob")]
         runs = np.concatenate([r for r, _ in given])
         base = np.cumsum([0, *(len(r) for r, _ in given)])
-        out = pa.concat_tables([_replies(*_quarter(given, base, q), runs, parts) for q in range(4)])
+        slices_ = 1 << max(0, int(sum(len(t) for _, t in given) // SORT_TOKENS).bit_length())
+        out = pa.concat_tables([_replies(*_slice(given, base, k, slices_), runs, parts) for k in range(slices_)])
         del given, runs
         release_memory()
         return out
@@ -164,13 +179,13 @@ def _shared(parts: int):
     return run
 
 
-def _quarter(given: list, base: np.ndarray, q: int) -> tuple[np.ndarray, np.ndarray]:
-    """Tokens of which two of the lower bits are q, and the places of their classes."""
+def _slice(given: list, base: np.ndarray, k: int, slices_: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of which some of the lower bits are k, and the places of their classes."""
     tokens, docs = [], []
     for (runs, own), first in zip(given, base, strict=False):
-        at = np.flatnonzero((own >> U64(30)) & U64(3) == U64(q))
+        at = np.flatnonzero(own & U64(slices_ - 1) == U64(k))
         tokens.append(own[at])
-        docs.append(np.searchsorted(np.cumsum(runs["count"]), at, side="right") + first)
+        docs.append(np.searchsorted(np.cumsum(runs["count"], dtype=np.int64), at, side="right") + first)
     return np.concatenate(tokens), np.concatenate(docs)
 
 
@@ -189,15 +204,17 @@ def _replies(tok: np.ndarray, doc: np.ndarray, runs: np.ndarray, parts: int) ->
     uses = np.array([b - a for a, b in _ranges(tok)], np.int64)
     df = np.repeat(uses, uses)
     keep = df > 1
-    tok, doc, hi, lo, df = tok[keep], doc[keep], hi[keep], lo[keep], df[keep].astype("<u4")
-    to = (lo % U64(parts)).astype(np.int32)
+    tok, doc, hi, lo, df = tok[keep], doc[keep], hi[keep], lo[keep], np.minimum(df[keep], MOST).astype("<u2")
+    to = (hi % U64(parts)).astype(np.int32)
     order = np.lexsort((lo, hi, to))
     tok, doc, hi, lo, df, to = tok[order], doc[order], hi[order], lo[order], df[order], to[order]
-    start = np.flatnonzero(np.concatenate((np.ones(min(1, len(tok)), bool), (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1]))))
-    end, reply = np.append(start, len(tok)), np.zeros(len(start), _RUN)
-    reply["hi"], reply["lo"], reply["n"], reply["count"] = hi[start], lo[start], runs["n"][doc[start]], np.diff(end)
+    new = np.ones(len(tok), bool)
+    new[1:] = (hi[1:] != hi[:-1]) | (lo[1:] != lo[:-1])
+    start, end = _runs(new)
+    reply = np.zeros(len(start), _RUN)
+    reply["hi"], reply["lo"], reply["n"], reply["count"] = hi[start], lo[start], runs["n"][doc[start]], end - start
     spans = _ranges(to[start])
-    blobs = [_blob(reply[a:b], df[end[a] : end[b]], tok[end[a] : end[b]]) for a, b in spans]
+    blobs = [_blob(reply[a:b], df[start[a] : end[b - 1]], tok[start[a] : end[b - 1]]) for a, b in spans]
     return pa.table({"bucket": pa.array([int(to[start[a]]) for a, _ in spans], pa.int32()), "blob": pa.array(blobs, pa.binary())})
 
 
@@ -209,7 +226,7 @@ def beginning(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
 
 def _survivors(_key: tuple, frame: pa.Table) -> pa.Table:
     """Classes that share a token of their beginning: sig, n, k, tokens (rarest first) and their counts."""
-    given = [_unblob(x, "<u4", "<u8") for x in frame.column("blob")]
+    given = [_unblob(x, "<u2", "<u8") for x in frame.column("blob")]
     runs, df, tid = (np.concatenate([g[i] for g in given]) for i in range(3))
     hi, lo, n = (np.repeat(runs[c], runs["count"]) for c in ("hi", "lo", "n"))
     order = np.lexsort((tid, df, lo, hi))
@@ -219,9 +236,10 @@ def _survivors(_key: tuple, frame: pa.Table) -> pa.Table:
     whole = n[start].astype(np.int64)
     k = beginning(whole) - (whole - (end - start))
     live = np.flatnonzero(k > 0)
-    names = np.stack((hi[start[live]], lo[start[live]]), axis=1).astype(">u8").tobytes()
+    names = np.zeros(len(live), _NAME)
+    names["hi"], names["lo"] = hi[start[live]], lo[start[live]]
     out = pa.table({
-        "sig": pa.array([names[i : i + 16] for i in range(0, len(names), 16)], pa.binary()), "n": pa.array(whole[live], pa.int64()), "k": pa.array(k[live], pa.int64()),
+        "sig": pa.array([x.tobytes() for x in names], pa.binary()), "n": pa.array(whole[live], pa.int64()), "k": pa.array(k[live], pa.int64()),
         "tids": pa.array([tid[start[i] : end[i]].tobytes() for i in live], pa.binary()), "dfs": pa.array([df[start[i] : end[i]].tobytes() for i in live], pa.binary()),
     })
     del given, runs, hi, lo, n, df, tid
@@ -269,7 +287,7 @@ def _join_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if key:
                     yield done()
                 key, sets, block = (root, i, j), [], []
-            sets.append((sig, n, np.frombuffer(tids, np.uint64), np.frombuffer(dfs, np.uint32)))
+            sets.append((sig, n, np.frombuffer(tids, np.uint64), np.frombuffer(dfs, np.uint16)))
             block.append(own)
     if key:
         yield done()
@@ -291,12 +309,15 @@ def _block_tasks(placed: DataFrame, large: DataFrame, block_tokens: int) -> Data
     return dealt.select("root", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "sig", "n", "tids", "dfs")
 
 
-def similar_components(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """(node, root): the classes that are similar to another one, with the least class of their component."""
+def similar_components(docs: DataFrame, tokens: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """(node, root): the classes that are similar to another one, with the least class of their component.
+
+    tokens: how many shingles the documents have, about; they are dealt to as many buckets as that needs.
+    """
     spark = docs.sparkSession
-    parts = shuffle_parts(spark)
-    blobs = small_batches(docs).select("text").mapInArrow(_blobs(parts), "bucket int, blob binary")
-    reply = blobs.groupBy("bucket").applyInArrow(_shared(parts), "bucket int, blob binary")
+    parts, buckets = shuffle_parts(spark), max(8, -(-tokens // BUCKET_TOKENS))
+    blobs = small_batches(docs).select("text").mapInArrow(_blobs(buckets), "bucket int, blob binary")
+    reply = blobs.groupBy("bucket").applyInArrow(_shared(buckets), "bucket int, blob binary")
     live = cut(reply.groupBy("bucket").applyInArrow(_survivors, "sig binary, n long, k long, tids binary, dfs binary"))
     starts = cut(live.select("sig", "k", "tids").mapInArrow(_prefixes, "tid long, sig binary"))
     least = starts.groupBy("tid").agg(F.min("sig").alias("b"), F.count("*").alias("uses")).where("uses > 1")
@@ -321,7 +342,7 @@ def _found(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, sig, and root, the least class of the component."""
     named = cut(named_sets(docs))
     classes_ = named.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("uses"))
-    roots = cut(similar_components(docs, block_tokens))
+    roots = cut(similar_components(docs, named.agg(F.sum("n_shingles")).first()[0] or 0, block_tokens))
     reach = cut(classes_.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", "uses", F.coalesce("root", "sig").alias("root")))
     found = reach.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = reach.join(found, "root").select("sig", "root", "component_id", "uses")

@@ -39,7 +39,7 @@ def components(links: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        edges = cut(_small_star(large := cut(_large_star(edges, state[0])), large.count()))
+        edges = cut(_small_star(_large_star(edges, state[0]), state[0]))
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())

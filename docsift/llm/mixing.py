@@ -34,7 +34,7 @@ WEIGHTS = (5, 2, 1)
 MAX_RATE = 3
 SEED = "mix-1"
 #: Documents with more than one part in LARGE of their source draw one by one. BUCKETS: of draws, to find thresholds.
-LARGE, BUCKETS = 200, 16_384
+LARGE, BUCKETS = 200, 1024
 
 
 def text_size(text: Column) -> Column:
