@@ -10,9 +10,11 @@ scores probabilities, and for each class of lengths the threshold is the greates
 ``MAX_GOOD_REJECTED`` of the rightly predicted texts; where these are too few to hold that quantile, it is carried on from
 the lowest tenth. A text without a letter is ``und`` and rejected.
 
-Defined cases: null, empty and letterless texts are ``und`` with score 0; with no labelled text all are ``und``; a null
+Defined cases: null, empty and letterless texts are ``und`` with score 0; very long texts are scored whole, a slice of
+rows or one long text at a time; with no labelled text all are ``und``; a null
 doc_id counts as held out; ties go to the language that sorts first; repeated rows get equal results; empty input gives
-an empty result. Extra columns pass through ``keep_identified``.
+an empty result. Extra columns, whatever their names, pass through ``keep_identified``; ``identify`` reads doc_id and
+text only.
 """
 
 from __future__ import annotations
@@ -34,6 +36,8 @@ from docsift.llm.kernel import slices
 SAMPLE_PER_LANG = 500
 #: Bound of the further texts a language that rejection is calibrated on, each with its beginnings of 4 to 79 words.
 HELD_PER_LANG = 1000
+#: Bound of the languages that are learned: those with most labelled texts, ties by name. Labels beyond it are not learned.
+MOST_LANGS = 256
 BUCKET_BITS, DIMENSIONS, EPOCHS, RATE = 15, 16, 6, 0.5
 MAX_GOOD_REJECTED, CALIBRATION_SHARE = 0.001, 0.25
 #: Classes of lengths, by subwords; a class with fewer right texts than LEAST_HELD takes those of shorter ones in.
@@ -72,18 +76,27 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator
         yield (value * _FACTOR[size]) >> np.uint32(32 - BUCKET_BITS), ok
 
 
-def bucket_shares(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Buckets of each text and their shares of its subwords."""
+def bucket_counts(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Buckets of each text, which two bytes hold, and their numbers of subwords."""
     out = []
     for part in slices(_padded(column)):
         found = list(subwords(part.data, part.starts, part.ends))
         for a, b in zip(part.starts, part.ends, strict=True):
             counts = sum(np.bincount(bucket[a:b][ok[a:b]], minlength=1 << BUCKET_BITS) for bucket, ok in found)
             used = np.flatnonzero(counts)
-            out.append((used.astype(np.int32), (counts[used] / max(1, counts.sum())).astype(np.float32)))
+            out.append((used.astype(np.uint16), counts[used].astype(np.uint32)))
     return out
 
 
+def shares_of(at: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of a text and their shares of its subwords."""
+    return at, (counts / max(1, int(counts.sum()))).astype(np.float32)
+
+
+def bucket_shares(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
+    return [shares_of(at, n) for at, n in bucket_counts(column)]
+
+
 def _softmax(x: np.ndarray) -> np.ndarray:
     e = np.exp(x - x.max(axis=-1, keepdims=True))
     return e / e.sum(axis=-1, keepdims=True)
@@ -197,7 +210,8 @@ def fold(doc_id: Column) -> Column:
 def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
     """Learn from text and non-null lang of the documents outside fold 1."""
     known = small_batches(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != 1))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
+    most = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGS)
+    counts = {r["lang"]: r["count"] for r in most.collect()}
     if not counts:
         return LanguageModel([], np.zeros(((1 << BUCKET_BITS) + 1, 0), np.float32), np.zeros(0, np.float32))
     place_of = F.pmod(F.xxhash64(F.lit("lang"), "doc_id"), F.lit(1 << 30))
@@ -205,7 +219,7 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
     def share(rows: int) -> Column:
         return F.create_map(*[F.lit(x) for lang, n in counts.items() for x in (lang, int((1 << 30) * min(1.0, rows / n)))])[F.col("lang")]
 
-    sample = known.where(place_of < share(per_lang + HELD_PER_LANG)).withColumn("held", place_of >= share(per_lang))
+    sample = known.where(F.col("lang").isin(list(counts)) & (place_of < share(per_lang + HELD_PER_LANG))).withColumn("held", place_of >= share(per_lang))
     words = F.split(F.trim("text"), r"\s+", 90)
     short = [F.concat_ws(" ", F.slice(words, 1, (least + F.pmod(F.xxhash64("doc_id", F.lit("short")), F.lit(least))).cast("int"))) for least in (4, 10, 20, 40)]
     texts = F.when(F.col("held"), F.array("text", *short)).otherwise(F.array("text"))
@@ -213,17 +227,19 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = bucket_shares(batch.column("text"))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("held"), pa.array([i.tobytes() for i, _ in got], pa.binary()), pa.array([w.tobytes() for _, w in got], pa.binary())], ["doc_id", "lang", "held", "at", "share"])
-
-    rows = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "held", "text").mapInArrow(measure, "doc_id long, lang string, held boolean, at binary, share binary").collect()
-    rows.sort(key=lambda r: (r["doc_id"], r["lang"], bytes(r["at"])))
-    langs = sorted({r["lang"] for r in rows})
+            got = bucket_counts(batch.column("text"))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("lang"), batch.column("held"), pa.array([at.tobytes() for at, _ in got], pa.binary()), pa.array([n.tobytes() for _, n in got], pa.binary())], ["doc_id", "lang", "held", "at", "n"])
+
+    measured = sample.select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "held", "text").mapInArrow(measure, "doc_id long, lang string, held boolean, at binary, n binary")
+    rows = measured.toArrow().combine_chunks()
+    ids, names, parts = rows.column("doc_id").to_pylist(), rows.column("lang").to_pylist(), rows.column("held").to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i], names[i], rows.column("at")[i].as_py()))
+    langs = sorted(set(names))
     place = {lang: k for k, lang in enumerate(langs)}
 
     def taken(held: bool) -> tuple[list, np.ndarray]:
-        own = [r for r in rows if r["held"] == held]
-        return [(np.frombuffer(r["at"], np.int32), np.frombuffer(r["share"], np.float32)) for r in own], np.array([place[r["lang"]] for r in own], np.int64)
+        own = [i for i in order if parts[i] == held]
+        return [shares_of(np.frombuffer(rows.column("at")[i].as_buffer(), np.uint16), np.frombuffer(rows.column("n")[i].as_buffer(), np.uint32)) for i in own], np.array([place[names[i]] for i in own], np.int64)
 
     return train(langs, *taken(False), more=taken(True))
 

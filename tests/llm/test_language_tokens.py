@@ -69,6 +69,58 @@ def test_no_labels(spark):
     assert L.identify(docs.limit(0), L.fit(docs.limit(0))).count() == 0
 
 
+def test_labels_are_bounded(spark, monkeypatch):
+    rng = random.Random(4)
+    rows = [(i, text(rng, lang, 20), lang) for i, lang in enumerate(list(WORDS) * 30)] + [(1000 + i, "some text", f"odd{i}") for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    monkeypatch.setattr(L, "MOST_LANGS", len(WORDS))
+    assert set(L.fit(docs).langs) == set(WORDS)
+
+
+def slow_logits(model, given):
+    """Scores by the definition: every run of 2 to 4 bytes with blanks at its ends only, one at a time."""
+    import numpy as np
+
+    raw = f" {given.lower()} ".encode()
+    clean = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else 0x20 for b in raw)
+    total, n = np.zeros(len(model.langs)), 0
+    for size in (2, 3, 4):
+        for i in range(len(clean) - size + 1):
+            part = clean[i : i + size]
+            if b" " in part[1:-1] or not part.strip():
+                continue
+            value = int.from_bytes(part, "little") * int(L._FACTOR[size]) % 2**32
+            total += model.weights[value >> (32 - L.BUCKET_BITS)]
+            n += 1
+    return total / max(1, n) + model.bias
+
+
+def test_scores_against_the_definition():
+    import numpy as np
+
+    rng = random.Random(5)
+    texts = [text(rng, lang, rng.randint(1, 40)) for lang in WORDS for _ in range(30)]
+    model = L.train(sorted(WORDS), L.bucket_shares(pa.array(texts)), np.array([k for k, _ in enumerate(sorted(WORDS)) for _ in range(30)]))
+    odd = ["É", "a", "x  y\tz 12", "ÀÉ ß", "word" * 50_000, "日本 語", "a.b.c"]
+    langs, score, _ = model.predict(pa.array(texts + odd))
+    for given, lang, s in zip(texts + odd, langs, score, strict=True):
+        if len(given) > 1000:
+            continue
+        p = L._softmax(slow_logits(model, given) / model.temperature)
+        assert lang == model.langs[int(p.argmax())] and s == pytest.approx(float(p.max()), abs=1e-4)
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rng = random.Random(6)
+    rows = [(i, text(rng, lang, 30), lang, "x", 1) for i, lang in enumerate(list(WORDS) * 30)] + [(999, text(rng, list(WORDS)[0], 60_000), None, "y", 2)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, lang_pred string, score int")
+    model = L.fit(docs)
+    got = {r.doc_id: r for r in L.identify(docs, model).collect()}
+    assert got[999].lang_pred == list(WORDS)[0]
+    kept = L.keep_identified(docs, model)
+    assert kept.columns == docs.columns and kept.where("doc_id = 999 AND lang_pred = 'y' AND score = 2").count() == 1
+
+
 def test_shares_and_prediction_agree():
     rng = random.Random(2)
     texts = [text(rng, lang, rng.randint(1, 30)) for lang in WORDS for _ in range(40)] + ["a", "é", "x y z"]
