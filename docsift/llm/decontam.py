@@ -1,23 +1,26 @@
 """Operator 4: benchmark decontamination by an FM-index per training shard.
 
-Test phrases are the 10-word windows of the benchmark items (an item of fewer words is one window). A shard is up to
-``SHARD_BYTES`` of consecutive whole documents of a partition. Its text is indexed as word numbers: backward search runs
-all phrases at once through wavelet-matrix ranks, sampled suffix positions locate the occurrences, and these merge into
-removal spans. A word that no phrase has cannot lie in an occurrence, so only runs of phrase words that are as long as
-the shortest phrase are indexed. This drops no occurrence.
+Test phrases are the 10-word windows of the benchmark items (an item of fewer words is one window). A shard is about
+``SHARD_BYTES`` of consecutive whole documents of a partition, gathered over Arrow batches. Its text is indexed as word
+numbers: backward search runs all phrases at once through wavelet-matrix ranks, sampled suffix positions locate the
+occurrences, and these merge into removal spans. A word that no phrase has cannot lie in an occurrence, so only runs of
+phrase words that are as long as the shortest phrase are indexed; and a phrase with a word that the shard lacks cannot
+occur in it, so only the others are searched. Neither drops an occurrence. Words are known by 64-bit hashes.
 
-The benchmark is broadcast in chunks of at most ``CHUNK_WORDS`` words, each a pass in the same stage over the documents;
-nothing is shuffled.
+The benchmark is broadcast in chunks of at most ``CHUNK_WORDS`` words. Every shard is searched for each of them; a worker
+keeps ``RESIDENT`` of them in memory and reads others anew from its disk. Nothing is shuffled.
 
 Defined cases: a null text (of either side) has no words; an item without words has no window; a null item_id is named
-by the empty string; equal item_ids are one item; repeated documents are judged alike; an empty benchmark hits nothing;
-empty documents give an empty result. Extra columns pass through ``remove_spans``.
+by the empty string; equal item_ids are one item; a null doc_id stays null; repeated documents are judged alike; an empty
+benchmark hits nothing; empty documents give an empty result; a text longer than a shard is one by itself, and its
+indexed runs are searched a million words at a time. Extra columns, whatever their names, pass through ``remove_spans``;
+``contamination`` reads doc_id and text only.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,10 +33,12 @@ from pyspark.sql import types as T
 
 from docsift.llm.common import small_batches, table
 from docsift.llm.fmindex import FMIndex
-from docsift.llm.kernel import U64, classes, hash_segments, slices, words_of
+from docsift.llm.kernel import U64, classes, hash_segments, mix64, slices, words_of
 
 WINDOW = 10
 CHUNK_WORDS, SHARD_BYTES, SHARD_WORDS, OCCURRENCES = 2_000_000, 16 << 20, 1_000_000, 1_000_000
+#: Chunks of the benchmark that a worker keeps.
+RESIDENT = 4
 
 
 @dataclass
@@ -64,21 +69,32 @@ def phrases(items: list[tuple[str, str]], window: int = WINDOW) -> Phrases:
         sizes.append(found.counts)
     all_hashes = np.concatenate(hashes) if hashes else np.zeros(0, U64)
     vocabulary, words = np.unique(all_hashes, return_inverse=True)
-    words, seen, base = words.astype(np.int64) + 1, {}, 0
-    start, length, owners = [], [], []
-    for (name, _), n in zip(items, np.concatenate(sizes).tolist() if sizes else [], strict=True):
-        size = min(n, window)
-        for at in range(base, base + n - size + 1) if n else ():
-            key = words[at : at + size].tobytes()
-            if key not in seen:
-                seen[key] = len(start)
-                start.append(at)
-                length.append(size)
-                owners.append(set())
-            owners[seen[key]].add(number[name])
-        base += n
-    item_from = np.concatenate(([0], np.cumsum([len(o) for o in owners], dtype=np.int64)))
-    return Phrases(vocabulary, words, np.array(start, np.int64), np.array(length, np.int64), item_from.astype(np.int64), np.array([i for o in owners for i in sorted(o)], np.int64), names)
+    words = words.astype(np.int64) + 1
+    n = np.concatenate(sizes).astype(np.int64) if sizes else np.zeros(0, np.int64)
+    size = np.minimum(n, window)
+    windows_ = np.where(n > 0, n - size + 1, 0)
+    first = np.repeat(np.cumsum(n) - n, windows_) + np.arange(int(windows_.sum())) - np.repeat(np.cumsum(windows_) - windows_, windows_)
+    length, owner = np.repeat(size, windows_), np.repeat(np.array([number[i] for i, _ in items], np.int64), windows_)
+    chosen, phrase = _distinct(words, first, length, window)
+    pairs = np.unique(phrase * max(1, len(names)) + owner)
+    item_from = np.searchsorted(pairs, np.arange(len(chosen) + 1) * max(1, len(names)))
+    return Phrases(vocabulary, words, first[chosen], length[chosen], item_from.astype(np.int64), pairs % max(1, len(names)), names)
+
+
+def _distinct(words: np.ndarray, first: np.ndarray, length: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of one window of each kind, and the kind of every window. Kinds are told by two 64-bit hashes."""
+    one, two = length.astype(U64), ~length.astype(U64)
+    padded = np.concatenate((words, np.zeros(window, np.int64))).astype(U64)
+    for i in range(window):
+        word = np.where(i < length, padded[first + i], U64(0))
+        one, two = mix64(one ^ word), mix64(two + word * U64(0x9E3779B97F4A7C15))
+    order = np.lexsort((first, two, one))
+    one, two = one[order], two[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (one[1:] != one[:-1]) | (two[1:] != two[:-1])
+    kind = np.empty(len(order), np.int64)
+    kind[order] = np.cumsum(new) - 1
+    return order[new], kind
 
 
 def chunked_phrases(benchmark: DataFrame, chunk_words: int = CHUNK_WORDS) -> list[Broadcast]:
@@ -164,8 +180,15 @@ def find(column: pa.Array, given: Phrases) -> Hits:
 def _search(texts, rows, firsts, given: Phrases, hits: Hits) -> None:
     text, (row, length), first = np.concatenate(texts), np.concatenate(rows).T, np.concatenate(firsts)
     starts = np.cumsum(length) - length
+    here = np.zeros(len(given.vocabulary) + 1, bool)
+    here[text] = True
+    known = np.concatenate(([0], np.cumsum(here[given.words])))
+    able = np.flatnonzero(known[given.start + given.length] - known[given.start] == given.length)  # all words are here
+    if not len(able):
+        return
     index = FMIndex(text, starts, len(given.vocabulary))
-    low, high = index.search(given.words, given.start, given.length)
+    low, high = np.zeros((2, len(given.start)), np.int64)
+    low[able], high[able] = index.search(given.words, given.start[able], given.length[able])
     found = np.flatnonzero(high > low)
     if not len(found):
         return
@@ -202,11 +225,14 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def find_all(column: pa.Array, chunks: list[Phrases]) -> Hits:
+def find_all(column: pa.Array, chunks: Iterable[Phrases]) -> Hits:
     """Hits of all chunks of the benchmark."""
-    out = find(column, chunks[0])
-    for given in chunks[1:]:
+    out = None
+    for given in chunks:
         more = find(column, given)
+        if out is None:
+            out = more
+            continue
         for row, spans in more.spans.items():
             out.spans[row] = merged(out.spans.get(row, []) + spans)
             out.n_hit[row] = sum(b - a for a, b in out.spans[row])
@@ -215,32 +241,48 @@ def find_all(column: pa.Array, chunks: list[Phrases]) -> Hits:
     return out
 
 
+def _values(chunks: list[Broadcast]) -> Iterator[Phrases]:
+    """The chunks' values in turn; no more than RESIDENT of them stay in memory."""
+    for k, chunk in enumerate(chunks):
+        yield chunk.value
+        if k >= RESIDENT:
+            chunk.__dict__.pop("_value", None)
+
+
 def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Whole rows, some SHARD_BYTES together."""
+    held, size = [], 0
     for batch in batches:
-        start, held = 0, 0
-        sizes = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()
-        for i, n in enumerate(sizes):
-            held += n
-            if held >= SHARD_BYTES:
-                yield batch.slice(start, i + 1 - start)
-                start, held = i + 1, 0
-        if start < batch.num_rows:
-            yield batch.slice(start)
+        if not batch.num_rows:
+            continue
+        start, ends = 0, np.cumsum(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False))
+        while start < batch.num_rows:
+            before = int(ends[start - 1]) if start else 0
+            end = min(batch.num_rows, int(np.searchsorted(ends, before + SHARD_BYTES - size)) + 1)
+            held.append(batch.slice(start, end - start))
+            size, start = size + int(ends[end - 1]) - before, end
+            if size >= SHARD_BYTES:
+                yield _joined(held)
+                held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return held[0] if len(held) == 1 else pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
 def _large(column: pa.Array) -> pa.Array:
     return column.cast(pa.large_string())
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, spans (of words)."""
-    chunks = chunked_phrases(benchmark)
+    chunks = chunked_phrases(benchmark, chunk_words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = [c.value for c in chunks]
         for batch in _shards(batches):
-            hits = find_all(_large(batch.column("text")), given)
+            hits = find_all(_large(batch.column("text")), _values(chunks))
             items = [sorted(hits.items.get(i, ())) for i in range(batch.num_rows)]
             digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
             spans = pa.array([[{"first": a, "end": b} for a, b in hits.spans.get(i, ())] for i in range(batch.num_rows)], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
@@ -262,19 +304,18 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
     return b"".join([*kept, raw[at:]]).decode()
 
 
-def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def remove_spans(docs: DataFrame, benchmark: DataFrame, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """The documents with all occurrences cut out of their texts; documents left without a word by that go.
 
     Where a cut brings words together that make up a phrase, that goes, too: texts are searched again until none is left.
     All columns pass through.
     """
-    chunks = chunked_phrases(benchmark)
+    chunks = chunked_phrases(benchmark, chunk_words)
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        given = [c.value for c in chunks]
         for batch in _shards(batches):
-            hits = find_all(_large(batch.column("text")), given)
+            hits = find_all(_large(batch.column("text")), _values(chunks))
             if not hits.spans:
                 yield batch
                 continue
@@ -283,7 +324,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                 rows = sorted(todo)
                 for row in rows:
                     texts[row] = cut_words(texts[row], todo[row])
-                again = find_all(pa.array([texts[r] for r in rows], pa.large_string()), given)
+                again = find_all(pa.array([texts[r] for r in rows], pa.large_string()), _values(chunks))
                 gone |= {rows[k] for k in range(len(rows)) if not again.n_words[k]}
                 todo = {rows[k]: spans for k, spans in again.spans.items()}
             keep = pa.array([i not in gone for i in range(batch.num_rows)])

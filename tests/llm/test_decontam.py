@@ -98,3 +98,56 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert [(r.n_words, r.n_hit, r.n_items) for r in D.contamination(docs, none).collect()] == [(2, 0, 0)]
     assert D.contamination(docs.limit(0), none).count() == 0
+
+
+def test_phrases_are_the_distinct_windows():
+    _, items = _case()
+    items += [items[3], ("twin", items[3][1])]
+    given = D.phrases(items)
+    windows = {}
+    number = {h: k + 1 for k, h in enumerate(given.vocabulary.tolist())}
+    from docsift.llm.kernel import classes, hash_segments, slices, words_of
+
+    for name, text in items:
+        part = next(slices(pa.array([text], pa.large_string())))
+        found = words_of(part, classes("alnum"))
+        own = [number[h] for h in hash_segments(part.data, found.starts, found.ends, lower=True).tolist()]
+        size = min(10, len(own))
+        for i in range(len(own) - size + 1) if own else ():
+            windows.setdefault(tuple(own[i : i + size]), set()).add(name)
+    got = {tuple(given.words[a : a + n].tolist()): {given.names[i] for i in given.item_of[given.item_from[k] : given.item_from[k + 1]]} for k, (a, n) in enumerate(zip(given.start, given.length, strict=True))}
+    assert got == windows and len(given.start) == len(windows)
+
+
+def test_shards_gather_batches_and_split_them(monkeypatch):
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 10, None, "b" * 50, "", "c" * 5, "d" * 9])], ["doc_id", "text"])
+    for size in (1, 12, 30, 1000):
+        monkeypatch.setattr(D, "SHARD_BYTES", size)
+        out = list(D._shards(iter([batch, batch.slice(0, 0), batch.slice(3), batch])))
+        assert [i for b in out for i in b.column("doc_id").to_pylist()] == [*range(6), 3, 4, 5, *range(6)]
+        sizes = [sum(len(t or "") for t in b.column("text").to_pylist()) for b in out]
+        assert all(n >= size for n in sizes[:-1]) and (size < 1000 or len(out) == 1)
+
+
+def test_many_chunks_and_shards(spark, monkeypatch):
+    texts, items = _case()
+    monkeypatch.setattr(D, "RESIDENT", 1)
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, "v1 v2")], "doc_id long, text string").repartition(3)
+    bench = spark.createDataFrame(items, "item_id string, text string")
+    want = brute(texts, items)
+    got = {r.doc_id: r for r in D.contamination(docs, bench, chunk_words=20).collect()}
+    assert len(got) == len(texts) + 1
+    for i, (n, hit, found) in enumerate(want):
+        assert (got[i].n_words, got[i].n_hit, got[i].n_items) == (n, hit, len(found))
+
+
+def test_a_long_text_and_words_that_cancel_in_polynomials(spark):
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate(str.maketrans("ab", "ba"))
+    rng = np.random.default_rng(1)
+    passage = "one two three four five six seven eight nine ten eleven"
+    long = " ".join(rng.choice(["one", "two", "six", "far", "near"], 300_000)) + " , " + passage + " . " + " ".join(["six"] * 100_000)
+    docs = spark.createDataFrame([(1, long), (2, f"x {two} y"), (3, one)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, passage), (2, one)], "item_id long, text string")
+    got = {r.doc_id: (r.n_hit, r.n_items) for r in D.contamination(docs, bench).collect()}
+    assert got == {1: (11, 1), 2: (0, 0), 3: (1, 1)}
