@@ -97,6 +97,23 @@ def running_sums(df: DataFrame, order: list[Column], values: dict[str, Column])
     return joined.select(*df.columns, *[(F.col(f"__sum_{n}") + F.col(f"__base_{n}")).alias(n) for n in values])
 
 
+def last_before(df: DataFrame, order: list[Column], value: Column, name: str) -> DataFrame:
+    """df with, as name, the last value that is not null of the rows before a row in the given order.
+
+    Rows are dealt to tasks by ranges of the order; a row per range carries on what the ranges before it end with.
+    """
+    keys = [f"__key{k}" for k in range(len(order))]
+    keyed = df.select("*", *[c.alias(k) for c, k in zip(order, keys, strict=True)], value.alias("__value"))
+    placed = cut(keyed.repartitionByRange(shuffle_parts(df.sparkSession), *keys).select("*", F.spark_partition_id().alias("__part")))
+    before = Window.partitionBy("__part").orderBy(*keys).rowsBetween(Window.unboundedPreceding, -1)
+    ended = placed.where("__value IS NOT NULL").groupBy("__part").agg(F.max_by("__value", F.struct(*keys)).alias("__end"))
+    parts = placed.select("__part").distinct().join(ended, "__part", "left")
+    outer = Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)  # a row per range
+    parts = parts.select(F.col("__part").alias("__of"), F.last("__end", ignorenulls=True).over(outer).alias("__carried"))
+    found = placed.withColumn("__last", F.last("__value", ignorenulls=True).over(before)).join(F.broadcast(parts), F.col("__part") == F.col("__of"))
+    return found.select(*df.columns, F.coalesce("__last", "__carried").alias(name))
+
+
 def unit_draw(seed: str, *keys: Column) -> Column:
     """Number in [0, 1) that depends on the keys and the seed alone, so reruns agree."""
     text = F.concat_ws(":", F.lit(seed), *[F.coalesce(k.cast("string"), F.lit("null")) for k in keys])

@@ -149,21 +149,20 @@ def _plain(shape: str) -> str:
     return shape.replace(" ", "").replace("-", "")
 
 
-def _issuer(digits: str) -> str | None:
-    """The digits that name the issuer, if there is one of numbers of that length."""
-    found = (first.match(digits) for first, lengths in _ISSUERS if len(digits) in lengths)
-    return next((m[0] for m in found if m), None)
+def _is_issued(digits: str) -> bool:
+    """Whether an issuer has numbers that begin like this and are as long."""
+    return any(len(digits) in lengths and first.match(digits) for first, lengths in _ISSUERS)
 
 
 def _is_card(shape: str) -> bool:
     digits = _plain(shape)
-    return int(digits[-1]) == luhn_digit(digits[:-1]) and _issuer(digits) is not None
+    return int(digits[-1]) == luhn_digit(digits[:-1]) and _is_issued(digits)
 
 
 def _card(shape: str, f: Feistel, undo: bool) -> str:
+    """The first four digits stay, as they tell the issuer: so no other issuer's number comes of it."""
     digits = _plain(shape)
-    first = _issuer(digits)
-    payload = first + f.characters(digits[len(first) : -1], f"card-{first}", undo)
+    payload = digits[:4] + f.characters(digits[4:-1], f"card-{digits[:4]}", undo)
     return _fill(shape, payload + str(luhn_digit(payload)))
 
 

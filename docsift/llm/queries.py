@@ -15,5 +15,6 @@ QUERIES = {
     "op8_feistel_pii": pii.op8_feistel_pii,
     "op9_quality_forest": quality.op9_quality_forest,
     "op10_html_crf": htmltext.op10_html_crf,
+    "quotations_of_requoted": quotes.quotations_of_requoted,
 }
-ORACLES = {"op1_quotation_linking": quotes.ORACLE, "op3_mixing": mixing.ORACLE, "op4_fm_decontamination": decontam.ORACLE, "op5_url_reputation": urls.ORACLE}
+ORACLES = {"op1_quotation_linking": quotes.ORACLE, "op3_mixing": mixing.ORACLE, "op4_fm_decontamination": decontam.ORACLE, "op5_url_reputation": urls.ORACLE, "quotations_of_requoted": quotes.REQUOTED_ORACLE}

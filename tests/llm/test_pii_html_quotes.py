@@ -1,6 +1,7 @@
 """Pseudonyms, main text of pages, quotation linking."""
 
 import datetime
+import hashlib
 import random
 import re
 
@@ -125,7 +126,7 @@ def test_no_card_stays(monkeypatch):
             for j in range(i + 13, min(len(text), i + 40) + 1):
                 part = text[i:j]
                 digits = part.replace(" ", "").replace("-", "")
-                if re.fullmatch(r"\d+(?:[ -]\d+)*", part) and 13 <= len(digits) <= 19 and not text[i - 1].isalnum() and not text[j : j + 1].isalnum() and text[i - 1] not in "+." and _luhn(digits) and P._issuer(digits):
+                if re.fullmatch(r"\d+(?:[ -]\d+)*", part) and 13 <= len(digits) <= 19 and not text[i - 1].isalnum() and not text[j : j + 1].isalnum() and text[i - 1] not in "+." and _luhn(digits) and P._is_issued(digits):
                     cards += 1
                     assert any(i <= k < j for k in changed)
         seen += cards
@@ -157,7 +158,7 @@ def test_keys(spark):
 def test_cards_among_groups_are_undone(monkeypatch):
     monkeypatch.setattr(P, "FORMATS", tuple(x for x in P.FORMATS if x[0] == "card"))
     rng, found = random.Random(3), 0
-    for _ in range(400):
+    for _ in range(600):
         text = " ".join(str(rng.randrange(10 ** rng.choice([1, 2, 4, 4, 4, 6]))) for _ in range(rng.randrange(3, 14)))
         new, kinds = P.replace(text, F)
         found += len(kinds)
@@ -316,28 +317,132 @@ def test_viterbi_finds_the_best_labels():
         assert value(chain.decode(odds)) == pytest.approx(max(map(value, itertools.product((0, 1), repeat=6))))
 
 
+FIRST = "The quick brown fox jumps\nover the lazy dog while   the band\nplays on and on until dawn"
+
+
 def test_quotations_are_linked(spark):
     rows = [
-        (1, 0, "user", "Hello there\nSecond   Line"),
-        (1, 1, "assistant", "On Monday X wrote:\n> hello there\nMy answer"),
-        (1, 2, "user", ">> Hello there\n> My  ANSWER\n> unknown line\nthanks"),
+        (1, 0, "user", FIRST),
+        (1, 1, "assistant", "On Monday X wrote:\n> the quick brown\n> fox jumps over the LAZY dog\nThat is a fine answer to a hard question"),
+        (1, 2, "user", ">> brown fox jumps over the lazy dog\n> is a fine answer to a hard\n> unknown words of nobody at all\nthanks"),
         (1, 3, "user", "unrelated"),
-        (1, 4, "user", "> second line\nlate reply"),
-        (2, 0, "user", "> Hello there\nother conversation"),
+        (1, 4, "user", "> while the band plays on and on until\nlate reply"),
+        (2, 0, "user", "> the quick brown fox jumps over\nother conversation"),
         (None, 0, "user", None),
         (3, 0, "user", ""),
-        (4, 0, "a", "x"), (4, 0, "a", "x"), (4, 1, "b", "> x"),
+        (4, 0, "a", "Yes"), (4, 0, "a", "Yes"), (4, 1, "b", "> yes"), (4, 2, "b", "Thanks,\nbye"), (4, 3, "a", "> Thanks,\nwell"), (4, 4, "a", "> who is this that nobody knows"),
     ]
     messages = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
     got = {(r.conv_id, r.turn): r for r in Q.reply_order(messages).collect()}
-    assert got[1, 1].body == "My answer" and got[1, 1].parent_turn == 0
-    assert (got[1, 2].levels, got[1, 2].n_quoted, got[1, 2].n_linked, got[1, 2].parent_turn, got[1, 2].thread_turn) == (2, 3, 2, 1, 0)
+    assert got[1, 1].body == "That is a fine answer to a hard question" and got[1, 1].parent_turn == 0
+    # of four first-level words beyond the known passage only the windows count: the passage is one, more than half known
+    assert (got[1, 2].levels, got[1, 2].n_quoted, got[1, 2].n_linked, got[1, 2].thread_turn) == (2, 2, 1, 2)
     assert got[1, 4].parent_turn == 0 and got[1, 4].body == "late reply"
-    assert [got[1, t].position for t in (0, 1, 2, 4, 3)] == [1, 2, 3, 4, 5]
+    assert [got[1, t].position for t in (0, 1, 4, 2, 3)] == [1, 2, 3, 4, 5]
     assert got[2, 0].n_linked == 0 and got[2, 0].parent_turn is None
     assert got[None, 0].body == "" and got[3, 0].position == 1
     assert got[4, 1].parent_turn == 0 and got[4, 1].position == 3
+    assert got[4, 3].n_quoted == 1 and got[4, 3].n_linked == 0 and got[4, 4].parent_turn is None
     assert Q.reply_order(messages).count() == len(rows)
-    extra = messages.selectExpr("*", "1 AS c", "2 AS t", "3 AS position", "'x' AS key", "4 AS origin", "5 AS level")
-    assert Q.reply_order(extra).where("c = 1 AND t = 2 AND key = 'x' AND position > 0").count() == len(rows)
+    extra = messages.selectExpr("*", "1 AS c", "2 AS t", "3 AS position", "'x' AS key", "4 AS origin", "5 AS uses", "6 AS digest", "7 AS level")
+    assert Q.reply_order(extra).where("c = 1 AND t = 2 AND key = 'x' AND position > 0 AND uses = 5 AND digest = 6").count() == len(rows)
     assert Q.reply_order(messages.limit(0)).count() == 0
+
+
+def _quoting(rows):
+    """(conv, turn, text): (levels, n_quoted, n_linked, parent_turn) by plain Python."""
+
+    def split(text):
+        lines = (text or "").split("\n")
+        runs, body = [], []
+        for i, line in enumerate(lines):
+            mark = re.match(Q.MARKS, line)
+            level = mark[0].count(">") if mark else 0
+            if level and runs and runs[-1][0] == level and runs[-1][2] == i - 1:
+                runs[-1] = (level, runs[-1][1] + " " + line[mark.end() :], i)
+            elif level:
+                runs.append((level, line[mark.end() :], i))
+            elif not (re.search(Q.WROTE, line) and i + 1 < len(lines) and re.match(Q.MARKS, lines[i + 1])):
+                body.append(line)
+        return [(lv, t.lower().split()) for lv, t, _ in runs if t.split()], "\n".join(body).lower().split()
+
+    def keys(words):
+        return [tuple(words[i : i + 5]) for i in range(len(words) - 4)] if len(words) >= 5 else [("whole", *words)] if words else []
+
+    own = {}
+    for conv, turn, text in rows:
+        for key in keys(split(text)[1]) if turn is not None else ():
+            own.setdefault((conv, key), set()).add(turn)
+    out = {}
+    for conv, turn, text in rows:
+        quoted, linked, votes = split(text)[0], 0, {}
+        for level, words in quoted:
+            origins = [max((t for t in own.get((conv, k), ()) if turn is not None and t < turn), default=None) for k in keys(words)]
+            n, best = max(((origins.count(o), o) for o in set(origins) if o is not None), default=(0, None))
+            if best is not None and 2 * n >= len(origins):
+                linked += 1
+                if level == 1:
+                    votes[best] = votes.get(best, 0) + n
+        parent = max(((n, o) for o, n in votes.items()), default=(0, None))[1]
+        out[conv, turn, text] = (max((lv for lv, _ in quoted), default=0), len(quoted), linked, parent)
+    return out
+
+
+def test_links_equal_plain_search(spark):
+    rng, rows = random.Random(10), []
+    words = "alpha beta gamma delta eps zeta eta theta iota kappa".split()
+    for conv in (1, 2, None):
+        said = []
+        for turn in [*range(25), 7, None]:
+            parts = []
+            for _ in range(rng.randint(0, 3)):
+                source = rng.choice(said).split() if said and rng.random() < 0.8 else [rng.choice(words) for _ in range(8)]
+                a = rng.randrange(max(1, len(source) - 6))
+                part, mark = source[a : a + rng.randint(2, 14)], ">" * rng.randint(1, 2) + rng.choice([" ", ""])
+                cut = rng.randint(1, 6)
+                parts += [mark + " ".join(part[i : i + cut]) for i in range(0, len(part), cut)]
+                if rng.random() < 0.4:
+                    parts.append("in between")
+            own = " ".join(rng.choice(words) for _ in range(rng.randint(0, 20)))
+            said.append(own or "none")
+            rows.append((conv, turn, "\n".join([*parts, own])))
+    messages = spark.createDataFrame(rows, "conv_id long, turn long, text string").repartition(3)
+    want = _quoting(rows)
+    linked = Q.reply_links(messages).collect()
+    assert len(linked) > 30
+    for r in linked:
+        text = next(t for c, n, t in rows if (c, n) == (r.conv_id, r.turn) and hashlib.md5(t.encode()).hexdigest() == r.digest)
+        assert (r.levels, r.n_quoted, r.n_linked, r.parent_turn) == want[r.conv_id, r.turn, text]
+    assert sum(w[1] > 0 for w in set(want.values())) > 0 and len(linked) == len({k for k, w in want.items() if w[1]})
+    order = Q.reply_order(messages).collect()
+    for conv in (1, 2, None):
+        own = sorted((r for r in order if r.conv_id == conv), key=lambda r: r.position)
+        assert [r.position for r in own] == list(range(1, len(own) + 1))
+        keys = [(-1 if r.thread_turn is None else r.thread_turn, -1 if r.turn is None else r.turn) for r in own]
+        assert keys == sorted(keys)
+
+
+def test_a_hot_conversation_and_long_texts(spark, monkeypatch):
+    """One conversation in which all reply to the first message and share a line, and one very long message."""
+    from docsift.llm import common
+
+    monkeypatch.setattr(common, "HEAVY_ROWS", 10)
+    long = " ".join(f"w{i}" for i in range(40_000))
+    rows = [(1, 0, "the one line that all of them quote")] + [(1, i, f"> the one line that all of them quote\nthe one answer number {i}") for i in range(1, 300)]
+    rows += [(2, 0, long), (2, 1, "> " + long.replace(" w20000 ", "\n> w20000\n> ") + "\nread")]
+    got = {(r.conv_id, r.turn): r for r in Q.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert all(got[1, i].parent_turn == 0 and got[1, i].thread_turn == 0 and got[1, i].position == i + 1 for i in range(1, 300))
+    assert got[2, 1].parent_turn == 0 and got[2, 1].n_quoted == 1
+
+
+def test_reply_chains(spark):
+    rows = [(1, 0, "message number zero says this")] + [(1, i, f"> message number {'zero' if i == 1 else i - 1} says this\nmessage number {i} says this") for i in range(1, 40)]
+    got = {r.turn: r for r in Q.reply_order(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert all(got[i].parent_turn == i - 1 and got[i].thread_turn == 0 for i in range(1, 40))
+
+
+def test_requoted_messages_reply_to_the_one_before(spark):
+    rows = [(1, i, f"this is what message {i} of them\nsays about the  matter at hand") for i in range(6)] + [(2, 0, None), (2, 1, "a b")]
+    out = Q.reply_order(Q.requoted(spark.createDataFrame(rows, "conv_id long, turn long, text string"))).collect()
+    assert {(r.turn, r.parent_turn) for r in out if r.conv_id == 1} == {(0, None)} | {(i, i - 1) for i in range(1, 6)}
+    assert {r.body for r in out if r.conv_id == 1} == {t for c, _, t in rows if c == 1}
