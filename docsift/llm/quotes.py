@@ -27,6 +27,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from docsift.functions.geometry import bind
 from docsift.llm.common import broadcast_if_small, cut, join_per_key, last_before, running_sums, table
 
 MARKS = r"^[ \t]*>[ \t>]*"
@@ -45,13 +46,16 @@ def level_of(line: Column) -> Column:
 
 def body_of(text: Column) -> Column:
     """The text without quotations and the lines that introduce them."""
-    lines = F.split(F.coalesce(text, F.lit("")), "\n")
 
-    def keep(line: Column, at: Column) -> Column:
-        following = F.coalesce(F.get(lines, at + 1), F.lit(""))
-        return ~line.rlike(MARKS) & ~(line.rlike(WROTE) & following.rlike(MARKS))
+    def kept(lines: Column) -> Column:
+        def keep(line: Column, at: Column) -> Column:
+            following = F.coalesce(F.get(lines, at + 1), F.lit(""))
+            return ~line.rlike(MARKS) & ~(line.rlike(WROTE) & following.rlike(MARKS))
 
-    return F.btrim(F.array_join(F.filter(lines, keep), "\n"), F.lit("\t\n\x0b\x0c\r "))
+        return F.filter(lines, keep)
+
+    own = bind(F.split(F.coalesce(text, F.lit("")), "\n"), kept)
+    return F.btrim(F.array_join(own, "\n"), F.lit("\t\n\x0b\x0c\r "))
 
 
 def words_of(text: Column) -> Column:
@@ -60,9 +64,13 @@ def words_of(text: Column) -> Column:
 
 def keys_of(words: Column) -> Column:
     """Hashes of all windows of WIDTH words, or of all words if they are fewer."""
-    n = F.size(words)
-    windows = F.transform(F.sequence(F.lit(1), n - WIDTH + 1), lambda i: F.xxhash64(F.array_join(F.slice(words, i, WIDTH), " ")))
-    return F.when(n >= WIDTH, windows).when(n > 0, F.array(F.xxhash64(F.lit("whole"), F.array_join(words, " ")))).otherwise(F.array().cast("array<long>"))
+
+    def keys(w: Column) -> Column:
+        n = F.size(w)
+        windows = F.transform(F.sequence(F.lit(1), n - WIDTH + 1), lambda i: F.xxhash64(F.array_join(F.slice(w, i, WIDTH), " ")))
+        return F.when(n >= WIDTH, windows).when(n > 0, F.array(F.xxhash64(F.lit("whole"), F.array_join(w, " ")))).otherwise(F.array().cast("array<long>"))
+
+    return bind(words, keys)
 
 
 def _same(keys: list[str], right: list[str]) -> Column:
