@@ -54,16 +54,19 @@ def point(x: Column, y: Column) -> Column:
 
 
 def order_quad(quad: Column) -> Column:
-    """Corners as top left, top right, bottom right, bottom left. Equal x keep their order."""
-    numbered = F.transform(quad, lambda p, i: F.struct(p["x"].alias("x"), i.alias("i"), p["y"].alias("y")))
+    """Corners as top left, top right, bottom right, bottom left. Equal x keep their order.
 
-    def corners(by_x: Column) -> Column:
-        at = [F.get(by_x, F.lit(i)) for i in range(4)]
-        left, right = at[1]["y"] > at[0]["y"], at[3]["y"] > at[2]["y"]
-        order = [F.when(left, at[0]).otherwise(at[1]), F.when(right, at[2]).otherwise(at[3]), F.when(right, at[3]).otherwise(at[2]), F.when(left, at[1]).otherwise(at[0])]
-        return F.transform(F.array(*order), lambda p: F.struct(p["x"].alias("x"), p["y"].alias("y")))
+    Four corners are sorted as structs of x and place, and all else picks fields, so the whole is generated code.
+    """
+    corners = [F.get(quad, F.lit(i)) for i in range(4)]
+    by_x = F.sort_array(F.array(*[F.struct(c["x"].alias("x"), F.lit(i).alias("i"), c["y"].alias("y")) for i, c in enumerate(corners)]))
+    at = [F.get(by_x, F.lit(i)) for i in range(4)]
+    left, right = at[1]["y"] > at[0]["y"], at[3]["y"] > at[2]["y"]
 
-    return bind(F.array_sort(numbered), corners)
+    def pick(first: Column, a: Column, b: Column) -> Column:
+        return F.struct(F.when(first, a["x"]).otherwise(b["x"]).alias("x"), F.when(first, a["y"]).otherwise(b["y"]).alias("y"))
+
+    return F.array(pick(left, at[0], at[1]), pick(right, at[2], at[3]), pick(right, at[3], at[2]), pick(left, at[1], at[0]))
 
 
 def side_length(quad: Column, a: int, b: int) -> Column:
@@ -71,26 +74,32 @@ def side_length(quad: Column, a: int, b: int) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def unclip(quad: Column, ratio: float) -> Column:
-    """A rectangle grown by area * ratio / perimeter on every side; as it is if a side is nothing."""
+def half_axes(quad: Column, w: Column, h: Column, ratio: float) -> dict[str, Column]:
+    """Centre and half axes of a rectangle (sides w and h) grown by area * ratio / perimeter on every side."""
+    at, d = [F.get(quad, F.lit(i)) for i in range(4)], w * h * ratio / (2 * (w + h))
+    out = {f"c{k}": (at[0][k] + at[1][k] + at[2][k] + at[3][k]) / 4 for k in "xy"}
+    out |= {f"a{k}": (w / 2 + d) * (at[1][k] - at[0][k]) / w for k in "xy"}
+    return out | {f"b{k}": (h / 2 + d) * (at[3][k] - at[0][k]) / h for k in "xy"}
+
+
+def spanned(part: Callable[[str], Column]) -> Column:
+    """The rectangle of centre and half axes, by name."""
+    return F.array(*[point(part("cx") + s * part("ax") + t * part("bx"), part("cy") + s * part("ay") + t * part("by")) for s, t in ((-1, -1), (1, -1), (1, 1), (-1, 1))])
 
-    def measured(q: Column) -> Column:
-        return F.struct(q.alias("q"), side_length(q, 1, 0).alias("w"), side_length(q, 3, 0).alias("h"))
 
-    def axes(m: Column) -> Column:
-        q, w, h = m["q"], m["w"], m["h"]
-        d = w * h * ratio / (2 * (w + h))
-        at = [F.get(q, F.lit(i)) for i in range(4)]
-        parts = {"ax": (w / 2 + d) * (at[1]["x"] - at[0]["x"]) / w, "ay": (w / 2 + d) * (at[1]["y"] - at[0]["y"]) / w, "bx": (h / 2 + d) * (at[3]["x"] - at[0]["x"]) / h, "by": (h / 2 + d) * (at[3]["y"] - at[0]["y"]) / h}
-        centre = {"cx": (at[0]["x"] + at[1]["x"] + at[2]["x"] + at[3]["x"]) / 4, "cy": (at[0]["y"] + at[1]["y"] + at[2]["y"] + at[3]["y"]) / 4}
-        flat = (w < 1e-6) | (h < 1e-6)
-        return F.struct(q.alias("q"), flat.alias("flat"), *[F.when(~flat, v).alias(k) for k, v in parts.items()], *[v.alias(k) for k, v in centre.items()])
+def is_flat(w: Column, h: Column) -> Column:
+    return (w < 1e-6) | (h < 1e-6)
+
+
+def unclip(quad: Column, ratio: float) -> Column:
+    """A rectangle grown by area * ratio / perimeter on every side; as it is if a side is nothing. For whole tables,
+    ``boxes.grow`` does the same in generated code."""
 
-    def grown(g: Column) -> Column:
-        corners = [point(g["cx"] + s * g["ax"] + t * g["bx"], g["cy"] + s * g["ay"] + t * g["by"]) for s, t in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
-        return F.when(g["flat"], g["q"]).otherwise(F.array(*corners))
+    def grown(m: Column) -> Column:
+        axes = F.struct(*[F.when(~is_flat(m["w"], m["h"]), c).alias(k) for k, c in half_axes(m["q"], m["w"], m["h"], ratio).items()])
+        return F.when(is_flat(m["w"], m["h"]), m["q"]).otherwise(bind(axes, lambda x: spanned(lambda k: x[k])))
 
-    return bind(bind(bind(quad, measured), axes), grown)
+    return bind(bind(quad, lambda q: F.struct(q.alias("q"), side_length(q, 1, 0).alias("w"), side_length(q, 3, 0).alias("h"))), grown)
 
 
 def to_page(quad: Column, map_w: Column, map_h: Column, page_w: Column, page_h: Column) -> Column:

@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from docsift.functions.geometry import bind
+
 #: Characters that str.isspace, \s and str.split agree on, as the inside of a class.
 WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+#: The same characters as a string, for trimming.
+WS_CHARS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
 #: Letters and letter-like numerals, as in [^\W\d_].
 LETTERS = r"\p{L}\p{Nl}\p{No}"
 #: Kana, CJK ideographs, hangul.
@@ -20,9 +24,10 @@ INNER_MARKS = r"\-./:,'’_%&+@#"
 STROKES = rf"lI1|!ǀ{WS}"
 #: Marks of image addresses that are not content.
 JUNK_IMAGE = "(?i)(sprite|icon|logo|avatar|pixel|tracking|spacer|blank|1x1)"
+#: Suffixes of images.
 IMAGE_EXTENSIONS = (".jpg", ".jpeg", ".png", ".webp", ".bmp", ".gif", ".tiff")
 
-#: The flattening steps in order: (pattern, replacement with $ groups). (?md) ends lines at \n only.
+#: The flattening steps in order: (pattern, replacement with $ groups). (?md) ends lines at \n only.
 FLATTEN_STEPS = (
     (r"!\[[^\]]*\]\([^)]*\)", ""),
     (r"\[([^\]]*)\]\([^)]*\)", "$1"),
@@ -36,11 +41,11 @@ FLATTEN_STEPS = (
     (rf"(?md)^[{WS}]*[-:|{WS}]+[{WS}]*$", ""),
     (r"\n{3,}", "\n\n"),
 )
-STRIP = rf"\A[{WS}]+|[{WS}]+\z"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, STRIP, "")
+    """The text without blanks at its ends. Make it a column before it is used more than once."""
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def to_plaintext(markdown: Column) -> Column:
@@ -54,6 +59,10 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(text, f"[{WS}]+"), lambda x: x != "")
 
 
+def token_count(text: Column) -> Column:
+    return F.regexp_count(text, F.lit(f"[^{WS}]++"))
+
+
 def words(text: Column) -> Column:
     """Runs of two letters or more that hold no CJK character."""
     return F.filter(F.regexp_extract_all(text, F.lit(f"[{LETTERS}]{{2,}}"), F.lit(0)), lambda w: ~w.rlike(f"[{CJK}]"))
@@ -61,7 +70,7 @@ def words(text: Column) -> Column:
 
 def odd_share(text: Column) -> Column:
     """Share of characters that are neither letter, number nor blank; null for an empty text."""
-    return F.try_divide(F.length(F.regexp_replace(text, rf"[\p{{L}}\p{{N}}{WS}]", "")).cast("double"), F.length(text).cast("double"))
+    return F.try_divide(F.length(F.regexp_replace(text, rf"[\p{{L}}\p{{N}}{WS}]++", "")).cast("double"), F.length(text).cast("double"))
 
 
 def has_repeat(text: Column) -> Column:
@@ -73,14 +82,20 @@ def only_strokes(text: Column) -> Column:
     return text.rlike(rf"\A[{STROKES}]+\z")
 
 
+#: What a token must hold to be jumbled: a letter, a digit and an odd mark.
+_JUMBLED = (r"\p{L}", f"[{DIGITS}]", rf"[^\p{{L}}\p{{N}}{INNER_MARKS}]")
+
+
 def jumbled(token: Column) -> Column:
     """Letters, digits and odd marks mixed in one token of three characters or more."""
     bare = F.btrim(token, F.lit(EDGE_MARKS))
-    return (F.length(bare) >= 3) & bare.rlike(r"\p{L}") & bare.rlike(f"[{DIGITS}]") & bare.rlike(rf"[^\p{{L}}\p{{N}}{INNER_MARKS}]")
+    return (F.length(bare) >= 3) & bare.rlike(_JUMBLED[0]) & bare.rlike(_JUMBLED[1]) & bare.rlike(_JUMBLED[2])
 
 
-def jumbled_count(text: Column) -> Column:
-    return F.size(F.filter(tokens(text), jumbled))
+def mostly_jumbled(text: Column) -> Column:
+    """Two tokens or more, half of them jumbled or more. Texts without a digit are not cut into tokens."""
+    half = bind(tokens(text), lambda all_: (F.size(all_) >= 2) & (F.size(F.filter(all_, jumbled)) * 2 >= F.size(all_)))
+    return F.when(text.rlike(_JUMBLED[1]), half).otherwise(F.lit(False))
 
 
 def slug(title: Column, default: str = "webpage") -> Column:
@@ -102,8 +117,7 @@ def percent_decoded(text: Column) -> Column:
 
 def split_list(text: Column, default: str = "en") -> Column:
     """Comma-separated names; the default if there is none."""
-    names = F.filter(F.transform(F.split(text, ","), strip), lambda x: x != "")
-    return F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(default)))
+    return bind(F.filter(F.transform(F.split(text, ","), strip), lambda x: x != ""), lambda names: F.when(F.size(names) > 0, names).otherwise(F.array(F.lit(default))))
 
 
 def yaml_scalar(value: Column) -> Column:

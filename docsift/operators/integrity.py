@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsift.functions.text import WS, strip
-from docsift.plans.joins import small_side
+from docsift.plans.joins import numbered, small_side
 
 HEX64, HEX40 = r"\A[0-9a-f]{64}\z", r"\A[0-9a-f]{40}\z"
 
@@ -52,7 +52,7 @@ def file_digests(spark: SparkSession, path: str) -> DataFrame:
 
 def manifest_lines(files: DataFrame, header: str | None = None) -> DataFrame:
     """(line_no, line) of a manifest: a comment, then digest, two blanks and name, in order of names."""
-    rows = files.select(F.row_number().over(Window.orderBy("name")).cast("long").alias("line_no"), F.concat_ws("  ", "actual", "name").alias("line"))
+    rows = numbered(files.select("name", "actual"), [F.col("name"), F.col("actual")], "line_no").select("line_no", F.concat_ws("  ", "actual", "name").alias("line"))
     if header is None:
         return rows
     first = files.sparkSession.createDataFrame([(0, f"# {header}")], "line_no long, line string")

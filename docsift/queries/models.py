@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from docsift.functions import geometry as G
 from docsift.functions import sequences as Q
-from docsift.operators import images, layout
+from docsift.operators import boxes, images, layout
 from docsift.queries import sql as S
 from docsift.queries.sql import table
 
@@ -40,8 +40,8 @@ def _quads(spark: SparkSession, sf_dir: str) -> DataFrame:
     ux, uy = F.when(F.col("lean") == 0, 1.0).when(F.col("lean") == 1, 0.8).otherwise(0.6), F.when(F.col("lean") == 0, 0.0).when(F.col("lean") == 1, 0.6).otherwise(-0.8)
     corners = [(F.col("cx") + s * F.col("a") * ux - t * F.col("b") * uy, F.col("cy") + s * F.col("a") * uy + t * F.col("b") * ux) for s, t in ((-1, -1), (1, -1), (1, 1), (-1, 1))]
     quad = F.array(*[G.point(x, y) for x, y in corners])
-    turned = F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: F.get(quad, ((i + F.col("turn")) % 4).cast("int")))
-    return rows.select("l_orderkey", "l_linenumber", quad.alias("rect"), turned.alias("quad"), "a", "b")
+    rects = boxes.once(rows, rect=quad).select("l_orderkey", "l_linenumber", "rect", "turn", "a", "b")
+    return boxes.once(rects, quad=F.array(*[F.get("rect", ((F.lit(i) + F.col("turn")) % 4).cast("int")) for i in range(4)])).drop("turn")
 
 
 def _flat(quad: str) -> list:
@@ -54,18 +54,16 @@ def order_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def unclip_quads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _quads(spark, sf_dir).select("l_orderkey", "l_linenumber", G.unclip(F.col("rect"), 1.5).alias("q"))
+    rows = boxes.grow(_quads(spark, sf_dir), "rect", 1.5, "q")
     return rows.select("l_orderkey", "l_linenumber", *_flat("q"))
 
 
 def box_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The detector's filters in order: candidates, side, score, side after growing, size on the page."""
     rows = _quads(spark, sf_dir).withColumn("score", (F.col("l_orderkey") * 3 + F.col("l_linenumber")) % 10 / F.lit(10.0))
-    rows = rows.where("l_linenumber <= 5").where(F.least(2 * F.col("a"), 2 * F.col("b")) >= G.MIN_BOX).where("score >= 0.45D")
-    rows = rows.withColumn("grown", G.unclip(F.col("rect"), 1.4)).where(F.least(G.side_length(F.col("grown"), 0, 1), G.side_length(F.col("grown"), 0, 3)) >= G.MIN_BOX + 2)
-    rows = rows.withColumn("page", G.to_page(F.col("grown"), F.lit(600), F.lit(800), F.lit(150), F.lit(200)))
-    rows = rows.where((G.side_length(F.col("page"), 0, 1) > 3) & (G.side_length(F.col("page"), 0, 3) > 3))
-    return rows.select("l_orderkey", "l_linenumber", G.crop_size(F.col("page")).alias("size")).select("l_orderkey", "l_linenumber", "size.w", "size.h", "size.vertical")
+    rows = rows.where("l_linenumber <= 5").withColumn("side", F.least(2 * F.col("a"), 2 * F.col("b"))).drop("quad").withColumnRenamed("rect", "quad")
+    kept = boxes.filter_boxes(rows, (600, 800), (150, 200))
+    return boxes.once(kept, size=G.crop_size(F.col("page"))).select("l_orderkey", "l_linenumber", "size.w", "size.h", "size.vertical")
 
 
 def aspect_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,9 +98,11 @@ def softmax_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    ids = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vec"))
-    seqs = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("seq_id"), F.transform(F.sequence(F.lit(0), (F.col("item_id") % 7 + 2).cast("int")), lambda i: (F.col("item_id") * 17 + i * 29) % 500).alias("ids"))
-    return seqs, ids
+    """A sequence of three to nine tokens for every vector; together they ask for all vectors."""
+    rows = table(spark, sf_dir, "embeddings")
+    n = rows.agg(F.max("vec_id")).first()[0] + 1
+    seqs = rows.select(F.col("vec_id").alias("seq_id"), F.transform(F.sequence(F.lit(0), (F.col("vec_id") % 7 + 2).cast("int")), lambda i: (F.col("vec_id") * 17 + i * 29) % n).alias("ids"))
+    return seqs, rows.select(F.col("vec_id").alias("token_id"), F.col("embedding").alias("vec"))
 
 
 def embedding_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,9 +241,9 @@ SELECT e.vec_id, coalesce(text, '') AS text, round(coalesce(score, 0), 6) AS sco
     "softmax_guard": f"""WITH {_MATRIX}, bad AS (SELECT vec_id, bool_or(list_min(r) < 0 OR abs(list_sum(list_transform(r, lambda x: x::DOUBLE)) - 1) > 0.01001::DOUBLE) AS fix FROM mat GROUP BY vec_id),
 e AS (SELECT vec_id, t, fix, r, list_transform(r, lambda x: exp(x::DOUBLE - list_max(r)::DOUBLE)) AS w FROM mat JOIN bad USING (vec_id))
 SELECT vec_id, t::BIGINT AS t, (list_position(r, list_max(r)) - 1)::INT AS k, round(CASE WHEN fix THEN list_max(w) / list_sum(w) ELSE list_max(r)::DOUBLE END, 6) AS p FROM e""",
-    "embedding_lookup": """WITH s AS (SELECT item_id AS seq_id, unnest(range(0, item_id % 7 + 3)) AS pos FROM benchmark), t AS (SELECT seq_id, pos, (seq_id * 17 + pos * 29) % 500 AS token_id FROM s)
+    "embedding_lookup": """WITH s AS (SELECT vec_id AS seq_id, unnest(range(0, vec_id % 7 + 3)) AS pos FROM embeddings), t AS (SELECT seq_id, pos, (seq_id * 17 + pos * 29) % (SELECT max(vec_id) + 1 FROM embeddings) AS token_id FROM s)
 SELECT seq_id, pos::BIGINT AS pos, token_id, round(embedding[1]::DOUBLE, 6) AS first, len(embedding)::INT AS width FROM t JOIN embeddings ON vec_id = token_id""",
-    "embedding_splice": """WITH s AS (SELECT item_id AS seq_id, unnest(range(0, item_id % 7 + 3)) AS pos FROM benchmark), t AS (SELECT seq_id, pos, (seq_id * 17 + pos * 29) % 500 AS tok FROM s),
+    "embedding_splice": """WITH s AS (SELECT vec_id AS seq_id, unnest(range(0, vec_id % 7 + 3)) AS pos FROM embeddings), t AS (SELECT seq_id, pos, (seq_id * 17 + pos * 29) % (SELECT max(vec_id) + 1 FROM embeddings) AS tok FROM s),
 k AS (SELECT *, CASE WHEN tok % 2 = 0 THEN row_number() OVER (PARTITION BY seq_id, tok % 2 ORDER BY pos) END AS k FROM t)
 SELECT seq_id, pos::BIGINT AS pos, (CASE WHEN tok % 2 = 0 THEN 0 ELSE tok END)::BIGINT AS token_id, round(embedding[2]::DOUBLE, 6) AS second FROM k JOIN embeddings ON vec_id = coalesce(k, tok)""",
     "banned_tokens": f"""WITH {_EVENTS}, seqs AS (SELECT * FROM seqs0 UNION ALL {_given(SEQUENCES)}), w AS (SELECT user_id, seq, unnest(range(1, len(seq) - 2)) AS i FROM seqs WHERE len(seq) >= 4),

@@ -35,7 +35,7 @@ def rx(pattern: str) -> str:
 
 
 def strip(t: str) -> str:
-    return f"regexp_replace({t}, {rx(X.STRIP)}, '', 'g')"
+    return f"trim({t}, {lit(X.WS_CHARS)})"
 
 
 def flat(t: str) -> str:
@@ -53,7 +53,7 @@ def words(t: str) -> str:
 
 
 def odd_share(t: str) -> str:
-    return f"(len(regexp_replace({t}, {rx(f'[{chr(92)}p{{L}}{chr(92)}p{{N}}{X.WS}]')}, '', 'g'))::DOUBLE / nullif(len({t}), 0)::DOUBLE)"
+    return f"(len(regexp_replace({t}, {rx(f'[{chr(92)}p{{L}}{chr(92)}p{{N}}{X.WS}]+')}, '', 'g'))::DOUBLE / nullif(len({t}), 0)::DOUBLE)"
 
 
 def repeat(t: str) -> str:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from docsift.functions import text as X
 from docsift.operators import evaluate, quality, routing
+from docsift.plans.joins import settled, spread
 from docsift.queries import sql as S
 from docsift.queries.sql import table
 
@@ -28,7 +29,7 @@ def score(doc: str = "doc_id", pos: str = "pos"):
 
 
 def scored_lines(spark: SparkSession, sf_dir: str, inject: bool = False) -> DataFrame:
-    lines = quality.split_lines(table(spark, sf_dir, "documents")).withColumn("score", score())
+    lines = quality.split_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("score", score())
     if inject:
         rows = spark.createDataFrame([(-1, i, t, 0.98) for i, t in enumerate(LINES)], "doc_id long, pos int, text string, score double")
         lines = lines.unionByName(rows)
@@ -36,14 +37,14 @@ def scored_lines(spark: SparkSession, sf_dir: str, inject: bool = False) -> Data
 
 
 def line_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = quality.visible(quality.split_lines(table(spark, sf_dir, "documents")))
-    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("text").cast("long").alias("n_chars"), X.strip(F.col("text")).alias("stripped"))
+    lines = quality.split_lines(spread(table(spark, sf_dir, "documents").select("doc_id", "text"))).withColumn("stripped", X.strip(F.col("text")))
+    return lines.where("stripped <> ''").select("doc_id", F.col("pos").cast("long").alias("pos"), F.length("text").cast("long").alias("n_chars"), "stripped")
 
 
 def line_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = X.strip(F.col("text"))
-    lines = scored_lines(spark, sf_dir, inject=True)
-    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), F.size(X.tokens(t)).cast("long").alias("n_tokens"), F.size(X.words(t)).cast("long").alias("n_words"), F.round(X.odd_share(t), 6).alias("odd_share"), X.has_repeat(t).alias("has_repeat"), X.only_strokes(t).alias("only_strokes"))
+    lines = scored_lines(spark, sf_dir, inject=True).withColumn("t", X.strip(F.col("text")))
+    t = F.col("t")
+    return lines.select("doc_id", F.col("pos").cast("long").alias("pos"), X.token_count(t).cast("long").alias("n_tokens"), F.size(X.words(t)).cast("long").alias("n_words"), F.round(X.odd_share(t), 6).alias("odd_share"), X.has_repeat(t).alias("has_repeat"), X.only_strokes(t).alias("only_strokes"))
 
 
 def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,19 +53,18 @@ def line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = quality.page_quality(quality.judge_lines(scored_lines(spark, sf_dir), ["doc_id", "pos"]), ["doc_id"])
+    pages = quality.judge_pages(scored_lines(spark, sf_dir), ["doc_id", "pos"], ["doc_id"])
     return pages.select("doc_id", "n_chars", "good_chars", F.round("quality", 6).alias("quality"))
 
 
 def page_quality_lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lexicon = quality.lexicon_from(table(spark, sf_dir, "documents"))
-    judged = quality.judge_lines(scored_lines(spark, sf_dir), ["doc_id", "pos"], lexicon, F.array(F.lit("en"), F.lit("fr")))
-    pages = quality.page_quality(judged, ["doc_id"])
+    lexicon = quality.lexicon_from(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text")))
+    pages = quality.judge_pages(scored_lines(spark, sf_dir), ["doc_id", "pos"], ["doc_id"], lexicon, F.array(F.lit("en"), F.lit("fr")))
     return pages.select("doc_id", "n_chars", "good_chars", F.round("quality", 6).alias("quality"))
 
 
 def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.lexicon_from(table(spark, sf_dir, "documents")).select("lang", "word", F.round("zipf", 6).alias("zipf"))
+    return quality.lexicon_from(spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))).select("lang", "word", F.round("zipf", 6).alias("zipf"))
 
 
 def jumbled_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,19 +81,19 @@ def cjk_words(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def route_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The thorough engine is stood in for by upper case; it fails (null) for every seventh document."""
-    docs = table(spark, sf_dir, "documents")
-    pages = quality.page_quality(quality.judge_lines(scored_lines(spark, sf_dir), ["doc_id", "pos"]), ["doc_id"])
-    primary = docs.select("doc_id", "text").join(pages.select("doc_id", "quality"), "doc_id")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    pages = settled(quality.judge_pages(scored_lines(spark, sf_dir), ["doc_id", "pos"], ["doc_id"]).select("doc_id", "quality"))
+    primary = spread(docs).join(pages, "doc_id")
 
-    def thorough(keys: DataFrame) -> DataFrame:
-        return keys.join(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.translate("text", ALPHABET, ALPHABET.upper())).alias("text"))
+    def thorough(low: DataFrame) -> DataFrame:
+        return low.select("doc_id", F.when(F.col("doc_id") % 7 != 0, F.translate("text", ALPHABET, ALPHABET.upper())).alias("text"))
 
     out = routing.route(primary, thorough, "doc_id", min_quality=0.4)
     return out.select("doc_id", "engine", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 def gate_vs_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = quality.page_quality(quality.judge_lines(scored_lines(spark, sf_dir), ["doc_id", "pos"]), ["doc_id"])
+    pages = quality.judge_pages(scored_lines(spark, sf_dir), ["doc_id", "pos"], ["doc_id"])
     return _confusion(pages, table(spark, sf_dir, "labels"))
 
 
@@ -104,12 +104,12 @@ def _confusion(pages: DataFrame, labels: DataFrame) -> DataFrame:
 
 def to_plaintext(spark: SparkSession, sf_dir: str) -> DataFrame:
     injected = spark.createDataFrame([(-1 - i, t) for i, t in enumerate(MARKDOWN)], "doc_id long, text string")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text").unionByName(injected)
+    docs = spread(table(spark, sf_dir, "documents").select("doc_id", "text")).unionByName(injected)
     return docs.select("doc_id", X.to_plaintext(F.col("text")).alias("plain"))
 
 
 def output_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").where("lang IS NOT NULL").select(F.concat_ws("-", "source", "lang").alias("stem"), F.col("doc_id").alias("pos"))
+    docs = table(spark, sf_dir, "documents").select(F.concat_ws("-", "source", "lang").alias("stem"), F.col("doc_id").alias("pos"))
     return routing.output_names(docs, folder="out")
 
 
@@ -180,13 +180,24 @@ c AS (SELECT doc_id, CASE WHEN q >= 0.4 OR thorough IS NULL THEN 'primary' ELSE
 SELECT doc_id, engine, len(text)::BIGINT AS n_chars, md5(text) AS digest FROM c""",
     "gate_vs_labels": f"WITH {_PAGES} SELECT quality AS label, q >= 0.4 AS passes, count(*) AS n FROM pages_q JOIN labels USING (doc_id) GROUP BY ALL",
     "to_plaintext": f"WITH d AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {S.values([(-1 - i, t) for i, t in enumerate(MARKDOWN)], 'doc_id, text')}) SELECT doc_id, {S.flat('text')} AS plain FROM d",
-    "output_names": "WITH d AS (SELECT source || '-' || lang AS stem, doc_id AS pos FROM documents WHERE lang IS NOT NULL), n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY pos) AS no FROM d) SELECT stem, pos, 'out/' || stem || '_ocr' || CASE WHEN no > 1 THEN '_' || no ELSE '' END || '.txt' AS path FROM n",
+    "output_names": "WITH d AS (SELECT concat_ws('-', source, lang) AS stem, doc_id AS pos FROM documents), n AS (SELECT *, row_number() OVER (PARTITION BY stem ORDER BY pos) AS no FROM d) SELECT stem, pos, 'out/' || stem || '_ocr' || CASE WHEN no > 1 THEN '_' || no ELSE '' END || '.txt' AS path FROM n",
     "batch_with_failures": "WITH r AS (SELECT lang, CASE WHEN contains(text, '|') THEN 'bad page ' || doc_id END AS error FROM documents) SELECT lang, count(error) AS n_failed, count(*) AS n_total, max(error) AS last_error, CASE WHEN count(error) > 0 THEN 1 ELSE 0 END AS status FROM r GROUP BY lang",
-    "cer": r"WITH b AS (SELECT item_id, text, replace(replace(text, 'th', 'ht'), 'e ', ' ') AS h FROM benchmark WHERE NOT regexp_matches(text, '[^\x00-\x7f]')) SELECT item_id, round(levenshtein(h, text)::DOUBLE / len(text)::DOUBLE, 6) AS cer, 1.0::DOUBLE AS cer_empty, 1.0::DOUBLE AS cer_no_truth FROM b",
 }
-_RUNS = r"runs AS (SELECT CASE WHEN turn % 2 = 0 THEN 'a' ELSE 'b' END AS variant, conv_id AS stem, turn AS pos, regexp_replace(substr(text, 1, 120), '[^\x00-\x7f]', '', 'g') AS text, len(text)::DOUBLE * 0.25::DOUBLE AS vision_s, len(text)::DOUBLE * 2.0::DOUBLE AS total_s FROM conversations WHERE turn < 4)"
+#: DuckDB counts edits of bytes. Letters beyond ASCII stand as control characters there, a byte each, so that edits are
+#: those of characters. The letters that the tables hold beyond ASCII.
+_FOREIGN = "éèêëàâçîïôûùóíáúñöäüßÉÈÊÇÓÍÑÖÄÜ"
+_BYTES = "".join(map(chr, [*range(1, 9), *range(14, 28), *range(28, 32), 127, 11, 12, 35, 36]))[: len(_FOREIGN)]
+
+
+def _one_byte(text: str) -> str:
+    return f"translate({text}, {S.lit(_FOREIGN)}, {' || '.join(f'chr({ord(c)})' for c in _BYTES)})"
+
+
 _CER = "CASE WHEN {r} = '' THEN CASE WHEN {h} = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END ELSE levenshtein({h}, {r})::DOUBLE / len({r})::DOUBLE END"
-ORACLES["variant_summary"] = f"""WITH {_RUNS}, base AS (SELECT stem, arg_max(text, pos) AS base_text FROM runs WHERE variant = 'a' GROUP BY stem),
-per AS (SELECT variant, count(*) AS n, avg(vision_s) AS vision_s, avg(total_s) AS total_s, avg({_CER.format(h='text', r='base_text')}) AS cer, sum((text = base_text)::INT)::BIGINT AS identical FROM runs JOIN base USING (stem) GROUP BY variant)
+ORACLES["cer"] = f"""WITH b AS (SELECT item_id, {_one_byte('text')} AS text FROM benchmark), s AS (SELECT item_id, text, replace(replace(text, 'th', 'ht'), 'e ', ' ') AS h FROM b)
+SELECT item_id, round({_CER.format(h='h', r='text')}, 6) AS cer, round({_CER.format(h="''", r='text')}, 6) AS cer_empty, CASE WHEN text = '' THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS cer_no_truth FROM s"""
+_RUNS = f"runs AS (SELECT CASE WHEN turn % 2 = 0 THEN 'a' ELSE 'b' END AS variant, conv_id AS stem, turn AS pos, text, len(text)::DOUBLE * 0.25::DOUBLE AS vision_s, len(text)::DOUBLE * 2.0::DOUBLE AS total_s FROM conversations)"
+ORACLES["variant_summary"] = f"""WITH {_RUNS}, base AS (SELECT stem, arg_max(text, pos) AS base_text FROM runs WHERE variant = 'a' GROUP BY stem), pairs AS (SELECT r.*, base_text, {_one_byte('text')} AS h, {_one_byte('base_text')} AS g FROM runs r JOIN base USING (stem)),
+per AS (SELECT variant, count(*) AS n, avg(vision_s) AS vision_s, avg(total_s) AS total_s, avg({_CER.format(h='h', r='g')}) AS cer, sum((text = base_text)::INT)::BIGINT AS identical FROM pairs GROUP BY variant)
 SELECT variant, n, round(vision_s, 6) AS vision_s, round(total_s, 6) AS total_s, round(cer, 6) AS cer, round((SELECT vision_s FROM per WHERE variant = 'a') / vision_s, 6) AS speedup, identical FROM per"""
-ORACLES["variant_truth"] = f"WITH {_RUNS}, truth AS (SELECT stem, lower(text) AS truth FROM runs WHERE pos = 0) SELECT variant, count(*) AS n, round(avg({_CER.format(h='text', r='truth')}), 6) AS cer FROM runs JOIN truth USING (stem) GROUP BY variant"
+ORACLES["variant_truth"] = f"WITH {_RUNS}, truth AS (SELECT stem, lower(text) AS truth FROM runs WHERE pos = 0), pairs AS (SELECT variant, {_one_byte('text')} AS h, {_one_byte('truth')} AS g FROM runs JOIN truth USING (stem)) SELECT variant, count(*) AS n, round(avg({_CER.format(h='h', r='g')}), 6) AS cer FROM pairs GROUP BY variant"
