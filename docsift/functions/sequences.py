@@ -75,5 +75,5 @@ def ctc_decode(probs: Column, charset: Column) -> Column:
 def charset_for(chars: Column, classes: Column) -> Column:
     """Blank, the characters, and a blank space if one more class is there; an error if the numbers do not fit."""
     base = F.concat(F.array(F.lit("<blank>")), chars)
-    message = F.concat(F.lit("recognizer has "), classes.cast("string"), F.lit(" classes but its dictionary implies "), F.size(base).cast("string"))
+    message = F.concat(F.size(base).cast("string"), F.lit(" symbols cannot name "), classes.cast("string"), F.lit(" classes"))
     return F.when(classes == F.size(base) + 1, F.concat(base, F.array(F.lit(" ")))).when(classes == F.size(base), base).otherwise(F.raise_error(message).cast("array<string>"))

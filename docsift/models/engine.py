@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -15,12 +16,25 @@ from docsift.models import detect as D
 
 #: The detector's channel means and deviations, in the order of its BGR input.
 MEAN, DEVIATION = np.array([0.485, 0.456, 0.406], np.float32), np.array([0.229, 0.224, 0.225], np.float32)
+#: The detector's parameters where its file names none.
 PARAMS = {"thresh": 0.3, "box_thresh": 0.6, "unclip_ratio": 1.5, "max_candidates": 1000}
 
 
+#: Roles of sessions: those that run alone in a task may use all cores of it, those beside others one.
+ROLES = ("alone", "beside")
+
+
+def threads_for(role: str, cores: int | None = None) -> int:
+    """Threads of a session: the cores of its task, which Spark tells the workers in OMP_NUM_THREADS, or one."""
+    if role not in ROLES:
+        raise ValueError(f"unknown role {role}")
+    cores = cores if cores is not None else int(os.environ.get("OMP_NUM_THREADS") or 1)
+    return max(1, cores) if role == "alone" else 1
+
+
 @lru_cache(8)
 def session(path: str, threads: int = 1):
-    """One session per worker process and file; as many threads as a task has cores."""
+    """One session per worker process and file; as many threads as ``threads_for`` allows its role."""
     import onnxruntime as ort
 
     options = ort.SessionOptions()
@@ -58,7 +72,7 @@ def charset_of(chars: list[str], classes: int) -> list[str]:
     full = ["<blank>", *chars]
     full = [*full, " "] if classes == len(full) + 1 else full
     if classes != len(full):
-        raise ValueError(f"recognizer has {classes} classes but its dictionary implies {len(full)}")
+        raise ValueError(f"{len(full)} symbols cannot name {classes} classes")
     return full
 
 

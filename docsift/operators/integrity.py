@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.functions.text import WS, strip
 from docsift.plans.joins import numbered, small_side
 
-HEX64, HEX40 = r"\A[0-9a-f]{64}\z", r"\A[0-9a-f]{40}\z"
+HEX64 = r"\A[0-9a-f]{64}\z"
 
 
 def parse_manifest(lines: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docsift.functions import text as X
@@ -65,3 +65,15 @@ def assemble_lines(items: Column) -> Column:
 
     rows = F.aggregate(_boxes(items), F.array().cast(_ROW), lambda acc, b: _absorb(acc, b).cast(_ROW))
     return bind(bind(bind(rows, by_top), measured), joined)
+
+
+def lines_of(pages: DataFrame, page: str = "path") -> DataFrame:
+    """(page, pos, text, score, quad): the aligned lists rec_texts, rec_scores and rec_boxes of each page as rows.
+
+    Lists of different lengths are an error, as nothing tells which entry lacks.
+    """
+    same = (F.size("rec_texts") == F.size("rec_scores")) & (F.size("rec_texts") == F.size("rec_boxes"))
+    sizes = F.concat_ws(", ", F.size("rec_texts"), F.size("rec_scores"), F.size("rec_boxes"))
+    lists = F.when(same, F.arrays_zip("rec_texts", "rec_scores", "rec_boxes")).otherwise(F.raise_error(F.concat(F.lit("lists of a page differ in length: "), sizes)))
+    rows = pages.select(page, F.posexplode(lists).alias("pos", "line"))
+    return rows.select(page, "pos", F.col("line.rec_texts").alias("text"), F.col("line.rec_scores").cast("double").alias("score"), F.col("line.rec_boxes").alias("quad"))

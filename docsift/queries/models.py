@@ -168,7 +168,7 @@ def onnx_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = b(5, i(1, 2) + i(1, 2) + i(2, 1) + b(8, b"t") + b(9, bytes(16)))
     graph = b(7, gather + rows + b(11, b(1, b"ids")) + b(12, b(1, b"e"))) + b(8, b(1, b"") + i(2, 13))
     files = spark.createDataFrame([("lookup.onnx", bytearray(graph)), ("broken.onnx", bytearray(b"\x3a\x7f"))], "path string, content binary")
-    return tables(files).selectExpr("path", "opset", "lookup", "last_position", "error", "nodes[0].op AS op", "tensors[0].dims AS dims")
+    return tables(files).selectExpr("path", "opset", "lookup", "last_position", "error", "nodes[0].op AS op", "array_join(tensors[0].dims, ',') AS dims")
 
 
 QUERIES = {
@@ -253,3 +253,5 @@ SELECT seqs.user_id, coalesce(banned, '') AS banned FROM seqs LEFT JOIN b USING
 c AS (SELECT user_id, bool_or(n >= p * CASE WHEN p <= 12 THEN 6 ELSE 3 END AND seq[n - p * CASE WHEN p <= 12 THEN 6 ELSE 3 END + 1 + p:n] = seq[n - p * CASE WHEN p <= 12 THEN 6 ELSE 3 END + 1:n - p]) AS cyc FROM p GROUP BY user_id)
 SELECT user_id, len(seq) >= 40 AND (len(list_distinct(seq[len(seq) - 39:len(seq)])) = 1 OR coalesce(cyc, false)) AS looping FROM seqs LEFT JOIN c USING (user_id)""",
 }
+ORACLES["onnx_tables"] = """SELECT 'lookup.onnx' AS path, 13::BIGINT AS opset, 't' AS lookup, 'no-logits' AS last_position, NULL::VARCHAR AS error, 'Gather' AS op, '2,2' AS dims
+UNION ALL SELECT 'broken.onnx', NULL, NULL, NULL, 'ValueError: truncated message', NULL, NULL"""

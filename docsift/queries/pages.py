@@ -115,7 +115,7 @@ def model_set_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def yaml_params(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return inputs.parameters(spark.createDataFrame(YML, "name string, text string"), DET_DEFAULTS)
+    return inputs.parameters(spark.createDataFrame(YML, "name string, text string"), DET_DEFAULTS).withColumn("characters", F.array_join("characters", " "))
 
 
 def yaml_scalars(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -180,3 +180,10 @@ SELECT tensor, producer, consumer FROM m FULL JOIN u USING (tensor)""",
     "model_set_complete": f"""WITH r AS (SELECT * FROM {S.values(REQUIRED, 'variant, file')} WHERE file <> 'config.json'), p AS (SELECT * FROM {S.values(PRESENT, 'folder, file')})
 SELECT folder, variant, count(p2.file) = count(*) AS complete FROM (SELECT DISTINCT folder FROM p) f CROSS JOIN r LEFT JOIN p p2 USING (folder, file) GROUP BY ALL""",
 }
+ORACLES["image_candidates"] = f"""WITH {_candidates("(SELECT * FROM " + _HTML + " UNION ALL SELECT -page_id - 1, url, html FROM pages)")}
+SELECT page_id, idx::BIGINT AS idx, src, area, CASE WHEN starts_with(src, '//') THEN regexp_extract(url, '^[a-z]+:') || src WHEN starts_with(src, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || src
+    WHEN starts_with(src, '../') THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || '/' || substr(src, 4) ELSE regexp_extract(url, '^([a-z]+://[^?#]*/)[^/?#]*', 1) || src END AS target FROM cands"""
+#: Expected by hand from the files' texts above.
+_PARAMETERS = [("det", 0.2, 0.45, 1.5, 3000, ""), ("rec", 0.3, 0.6, 1.5, 1000, "! ' # $ \\ ~ \u3000 a "), ("none", 0.3, 0.6, 1.5, 1000, "")]
+ORACLES["yaml_params"] = f"SELECT name, thresh, box_thresh, unclip_ratio, max_candidates::INT AS max_candidates, characters FROM {S.values(_PARAMETERS, 'name, thresh, box_thresh, unclip_ratio, max_candidates, characters')}"
+ORACLES["yaml_scalars"] = f"SELECT * FROM {S.values([(0, chr(39)), (1, chr(97) + chr(39) + chr(98)), (2, 'plain'), (3, 'qA'), (4, 'a' + chr(10) + 'b'), (5, chr(0x3000)), (6, chr(39)), (7, 'x')], 'id, scalar')}"

@@ -43,7 +43,7 @@ def expand_inputs(spark: SparkSession, args: list[str]) -> DataFrame:
     return spark.createDataFrame(list(enumerate(out)), INPUT_SCHEMA)
 
 
-def read_images(spark: SparkSession, path: str) -> DataFrame:
+def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """(path, stem, height, width, channels, data): rows of BGR bytes."""
     rows = spark.read.format("image").option("dropInvalid", "true").load(path)
     return rows.select(F.col("image.origin").alias("path"), X.path_stem(F.col("image.origin")).alias("stem"), F.col("image.height").alias("height"), F.col("image.width").alias("width"), F.col("image.nChannels").alias("channels"), F.col("image.data").alias("data"))
@@ -116,7 +116,7 @@ def plain_scalar(value: str) -> str:
     try:
         return json.loads(value)
     except ValueError:
-        return value[1:-1].encode().decode("unicode_escape")
+        return value[1:-1]
 
 
 def parameters(files: DataFrame, defaults: dict[str, float]) -> DataFrame:

@@ -65,9 +65,14 @@ def test_lookup_table(tmp_path):
     (tmp_path / "x.onnx").write_bytes(lookup_model(external={"location": "m.data", "offset": "64", "length": str(TABLE.nbytes)}))
     assert np.array_equal(wire.open_table(str(tmp_path / "x.onnx"))[0].lookup([2]), TABLE[[2]])
     (tmp_path / "out.onnx").write_bytes(lookup_model(external={"location": "../m.data"}))
-    assert "leaves" in wire.open_table(str(tmp_path / "out.onnx"))[1]
+    assert wire.open_table(str(tmp_path / "out.onnx"))[1] == "external-outside"
     scaled = lookup_model(node("Mul", ["e", "e"], ["f"]), out="f")
-    assert "Gather" in wire.lookup_table(wire.read_graph(scaled))
+    assert wire.lookup_table(wire.read_graph(scaled)) == "not-a-lookup:Gather,Mul"
+    shifted = lookup_model(node("Identity", ["e"], ["f"]), out="f")
+    assert wire.lookup_table(wire.read_graph(shifted))["name"] == "t"
+    columns = model(node("Gather", ["t", "ids"], ["e"], axis=1), tensor("t", TABLE), value(11, "ids", 7, ["s"]), value(12, "e", 1, [10, "s"]))
+    assert isinstance(wire.lookup_table(wire.read_graph(columns)), str)
+    assert wire.lookup_table(wire.read_graph(model(node("Gather", ["t", "ids"], ["e"]), tensor("t", TABLE.astype(np.int64)), value(11, "ids", 7, ["s"]), value(12, "e", 7, ["s", 4])))) == "element-type"
 
 
 def decoder(*extra, opset=13, out="logits"):
@@ -83,8 +88,11 @@ def test_last_position():
         x = np.random.default_rng(n).normal(size=(1, n, 4)).astype(np.float32)
         assert np.allclose(run(cut, x=x)[0][:, -1], run(full, x=x)[0][:, -1], atol=1e-6) and run(cut, x=x)[0].shape[1] == 1
     assert wire.last_position_only(decoder(opset=10))[0] is None
-    assert "elsewhere" in wire.last_position_only(decoder(node("Relu", ["p"], ["q"])))[1]
-    assert "no logits" in wire.last_position_only(lookup_model())[1]
+    assert wire.last_position_only(decoder(node("Relu", ["p"], ["q"]))) == (None, "no-projection")
+    assert wire.last_position_only(lookup_model()) == (None, "no-logits")
+    assert wire.last_position_only(decoder(opset=10))[1] == "old-opset"
+    twice, _ = wire.last_position_only(decoder(node("Identity", ["x"], ["docsift/last"])))
+    assert run(twice, x=np.ones((1, 3, 4), np.float32))[0].shape[1] == 1
 
 
 def test_tables_of_files(spark):
