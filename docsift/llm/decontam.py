@@ -33,10 +33,10 @@ from pyspark.sql import types as T
 
 from docsift.llm.common import small_batches, table
 from docsift.llm.fmindex import FMIndex
-from docsift.llm.kernel import U64, classes, hash_segments, mix64, slices, words_of
+from docsift.llm.kernel import U64, classes, hash_segments, mix64, release_memory, slices, words_of
 
 WINDOW = 10
-CHUNK_WORDS, SHARD_BYTES, SHARD_WORDS, OCCURRENCES = 2_000_000, 16 << 20, 1_000_000, 1_000_000
+CHUNK_WORDS, SHARD_BYTES, SHARD_WORDS, OCCURRENCES = 2_000_000, 8 << 20, 1_000_000, 1_000_000
 #: Chunks of the benchmark that a worker keeps.
 RESIDENT = 4
 
@@ -287,6 +287,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, chunk_words: int = CHUN
             digest = [hashlib.sha256(",".join(x).encode()).hexdigest() for x in items]
             spans = pa.array([[{"first": a, "end": b} for a, b in hits.spans.get(i, ())] for i in range(batch.num_rows)], pa.list_(pa.struct([("first", pa.int64()), ("end", pa.int64())])))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(hits.n_words), pa.array(hits.n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array(digest), pa.array(hits.n_hit > 0), spans], names)
+        release_memory()
 
     names = ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "spans"]
     return small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<first:long,end:long>>")
@@ -330,6 +331,7 @@ def remove_spans(docs: DataFrame, benchmark: DataFrame, chunk_words: int = CHUNK
             keep = pa.array([i not in gone for i in range(batch.num_rows)])
             batch = batch.set_column(at, batch.schema.field(at), pa.array(texts, batch.schema.field(at).type))
             yield batch.filter(keep)
+        release_memory()
 
     return small_batches(docs).mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsift.llm.common import small_batches, table
-from docsift.llm.kernel import slices
+from docsift.llm.kernel import release_memory, slices
 
 #: Bound of the sample that the model is fitted on.
 SAMPLE_PER_LANG = 500
@@ -77,14 +77,15 @@ def subwords(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> Iterator
 
 
 def bucket_counts(column: pa.Array) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Buckets of each text, which two bytes hold, and their numbers of subwords."""
+    """Buckets of each text and their numbers of subwords, two bytes each: numbers beyond that are scaled down together."""
     out = []
     for part in slices(_padded(column)):
         found = list(subwords(part.data, part.starts, part.ends))
         for a, b in zip(part.starts, part.ends, strict=True):
             counts = sum(np.bincount(bucket[a:b][ok[a:b]], minlength=1 << BUCKET_BITS) for bucket, ok in found)
             used = np.flatnonzero(counts)
-            out.append((used.astype(np.uint16), counts[used].astype(np.uint32)))
+            scale = max(1.0, counts.max(initial=0) / 65_535)
+            out.append((used.astype(np.uint16), np.ceil(counts[used] / scale).astype(np.uint16)))
     return out
 
 
@@ -239,7 +240,7 @@ def fit(docs: DataFrame, per_lang: int = SAMPLE_PER_LANG) -> LanguageModel:
 
     def taken(held: bool) -> tuple[list, np.ndarray]:
         own = [i for i in order if parts[i] == held]
-        return [shares_of(np.frombuffer(rows.column("at")[i].as_buffer(), np.uint16), np.frombuffer(rows.column("n")[i].as_buffer(), np.uint32)) for i in own], np.array([place[names[i]] for i in own], np.int64)
+        return [shares_of(np.frombuffer(rows.column("at")[i].as_buffer(), np.uint16), np.frombuffer(rows.column("n")[i].as_buffer(), np.uint16)) for i in own], np.array([place[names[i]] for i in own], np.int64)
 
     return train(langs, *taken(False), more=taken(True))
 
@@ -264,6 +265,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.filter(pa.array(~given.value.predict(batch.column("text"))[2]))
+        release_memory()
 
     return small_batches(docs).mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
 

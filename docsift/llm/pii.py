@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docsift.llm.common import small_batches, table
+from docsift.llm.kernel import release_memory
 
 #: Setting of the session that holds the key of queries, and the key of sessions that have none (tests): with that one
 #: anyone can undo the pseudonyms, so a warning is given.
@@ -395,6 +396,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield batch.set_column(at, batch.schema.field(at), _changed(batch, feistel)[0])
+        release_memory()
 
     return small_batches(docs).mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in docs.schema]))
 
