@@ -398,4 +398,20 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
 
 def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("sig")
+
+
+#: DuckDB: all pairs of different sets that share a shingle, and all that can be reached by their links.
+ORACLE = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 5 THEN list_sort(list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')))) WHEN len(w) > 0 THEN ['= ' || array_to_string(w, ' ')] ELSE [] END AS sh FROM w),
+k AS (SELECT doc_id, len(sh)::BIGINT AS n, sh, CASE WHEN len(sh) > 0 THEN md5(array_to_string(sh, chr(10))) END AS name FROM s),
+c AS (SELECT name, min(doc_id) AS rep, any_value(n) AS n, any_value(sh) AS sh FROM k WHERE name IS NOT NULL GROUP BY name),
+t AS (SELECT rep, n, unnest(sh) AS x FROM c),
+shared AS (SELECT rep, n, x FROM t WHERE x IN (SELECT x FROM t GROUP BY x HAVING count(*) > 1)),
+p AS (SELECT a.rep AS a, b.rep AS b, a.n AS na, b.n AS nb, count(*) AS both_have FROM shared a JOIN shared b ON a.x = b.x AND a.rep < b.rep GROUP BY ALL),
+e AS (SELECT a, b FROM p WHERE 100 * both_have >= 75 * (na + nb - both_have) UNION SELECT b, a FROM p WHERE 100 * both_have >= 75 * (na + nb - both_have)),
+r(a, b) AS (SELECT rep, rep FROM c UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b),
+m AS (SELECT a, min(b) AS component FROM r GROUP BY a)
+SELECT doc_id, k.n AS n_shingles, coalesce(component, doc_id) AS component_id FROM k LEFT JOIN c USING (name) LEFT JOIN m ON m.a = c.rep
+"""

@@ -17,4 +17,4 @@ QUERIES = {
     "op10_html_crf": htmltext.op10_html_crf,
     "quotations_of_requoted": quotes.quotations_of_requoted,
 }
-ORACLES = {"op1_quotation_linking": quotes.ORACLE, "op3_mixing": mixing.ORACLE, "op4_fm_decontamination": decontam.ORACLE, "op5_url_reputation": urls.ORACLE, "quotations_of_requoted": quotes.REQUOTED_ORACLE}
+ORACLES = {"op1_quotation_linking": quotes.ORACLE, "op3_mixing": mixing.ORACLE, "op4_fm_decontamination": decontam.ORACLE, "op5_url_reputation": urls.ORACLE, "op7_ngram_jaccard": dedup.ORACLE, "quotations_of_requoted": quotes.REQUOTED_ORACLE}

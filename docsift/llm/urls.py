@@ -6,7 +6,9 @@ posterior bound of its good rate is below ``min_good``: only hosts that are sure
 
 Defined cases: a null url, or one without ``://``, has empty host and path, no rule, and the reputation of the empty
 host; a page without an outcome counts for no host; null labels are no outcome; several label rows of a page are one
-outcome, good only if all are. Repeated pages are judged alike. Empty tables give an empty result. No text is read.
+outcome, good only if all are. Repeated pages are judged alike; a null page_id has no outcome and stays null; ties of
+rules go to block. Empty tables give an empty result. No text is read, urls of any length are. Extra columns, whatever
+their names, do not reach the result.
 """
 
 from __future__ import annotations
@@ -34,7 +36,7 @@ class Rule:
 
 
 RULES = (Rule("allow", "org/"), Rule("block", "example.org/es/"), Rule("block", "example.org/en/1"), Rule("allow", "com/fr/"), Rule("block", "com/de/"))
-#: Second-level public suffixes that count with the last label.
+#: Second-level public suffixes that count with the last label, the usual ones; callers may pass their own.
 SECOND_LEVEL = ("ac.uk", "co.in", "co.jp", "co.kr", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "or.jp", "org.au", "org.uk")
 MIN_GOOD, Z, MAX_STRENGTH = 0.5, 1.6449, 1000.0
 #: With few labelled pages the strength stays near the usual one: it weighs as much as DOUBT of the data's variance.
@@ -59,11 +61,11 @@ def matched_rule(host: Column, path: Column, rules=RULES) -> tuple[Column, Colum
     return text, verdict
 
 
-def suffix_and_domain(host: Column) -> tuple[Column, Column]:
+def suffix_and_domain(host: Column, second_level: tuple[str, ...] = SECOND_LEVEL) -> tuple[Column, Column]:
     """Public suffix and registered domain, without a port. A number as last label (an address) is its own domain."""
     bare = F.regexp_replace(host, r":\d*$", "")
     last, two, three = (F.regexp_extract(bare, p, 0) for p in (r"[^.]*$", r"[^.]*\.[^.]*$", r"[^.]*\.[^.]*\.[^.]*$"))
-    second = two.isin(*SECOND_LEVEL)
+    second = two.isin(*second_level)
     number = last.rlike(r"^\d+$")
     suffix = F.when(number, F.lit("")).when(second, two).otherwise(last)
     domain = F.when(number, bare).when(second & (three != ""), three).when(~second & (two != ""), two).otherwise(bare)
@@ -86,7 +88,7 @@ def _shrink(groups: DataFrame, prior: str, out: str, keep: list[str]) -> DataFra
     return groups.crossJoin(one).withColumn(out, (F.col("k") + F.col("strength") * F.col(prior)) / (F.col("n") + F.col("strength"))).select(*keep, prior, out, "k", "n", "strength")
 
 
-def host_reputation(pages: DataFrame, labels: DataFrame, z: float = Z) -> DataFrame:
+def host_reputation(pages: DataFrame, labels: DataFrame, z: float = Z, second_level: tuple[str, ...] = SECOND_LEVEL) -> DataFrame:
     """(host, n_labelled, good_rate, upper_bound) for every host of the pages.
 
     pages: page_id, host. Counts are combined on the map side before they shuffle; joins are between tables of hosts,
@@ -95,7 +97,7 @@ def host_reputation(pages: DataFrame, labels: DataFrame, z: float = Z) -> DataFr
     outcome = labels.where("quality IS NOT NULL OR toxic IS NOT NULL").groupBy("doc_id").agg(F.min(((F.coalesce(F.col("quality"), F.lit(1)) == 1) & (F.coalesce(F.col("toxic"), F.lit(0)) == 0)).cast("int")).alias("good"))
     counted = pages.select("page_id", "host").join(outcome, F.col("page_id") == F.col("doc_id"), "left")
     hosts = counted.groupBy("host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).cast("long").alias("k"))
-    suffix, domain = suffix_and_domain(F.col("host"))
+    suffix, domain = suffix_and_domain(F.col("host"), second_level)
     hosts = cut(hosts.withColumns({"suffix": suffix, "domain": domain}))
     domains = cut(hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
     suffixes = cut(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("k").alias("k")))
@@ -110,10 +112,10 @@ def host_reputation(pages: DataFrame, labels: DataFrame, z: float = Z) -> DataFr
     return ranked.select("host", F.col("n").alias("n_labelled"), F.col("p3").alias("good_rate"), (F.col("p3") + z * spread).alias("upper_bound"))
 
 
-def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_good: float = MIN_GOOD, z: float = Z) -> DataFrame:
+def judge_urls(pages: DataFrame, labels: DataFrame, rules=RULES, min_good: float = MIN_GOOD, z: float = Z, second_level: tuple[str, ...] = SECOND_LEVEL) -> DataFrame:
     """One row per page: page_id, host, path, rule, verdict, n_labelled, good_rate, upper_bound."""
     parts = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rep = cut(host_reputation(parts, labels, z))
+    rep = cut(host_reputation(parts, labels, z, second_level))
     rep = broadcast_if_small(rep.withColumnRenamed("host", "h"))
     text, verdict = matched_rule(F.col("host"), F.col("path"), rules)
     by_host = F.when(F.col("upper_bound") < min_good, F.lit("block")).otherwise(F.lit("allow"))

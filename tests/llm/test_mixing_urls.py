@@ -163,3 +163,23 @@ def test_twins(spark, name):
         return sorted(re.sub(r"(\d\.\d{6})\d+", r"\1", str([r[i] for i in order])) for r in data)
 
     assert rows(df.columns, df.collect()) == rows(rel.columns, rel.fetchall())
+
+
+def test_urls_with_clashing_columns_and_own_suffixes(spark):
+    pages = spark.createDataFrame([(1, "http://a.b.example.pvt.test/x", "h", 1.0), (None, "http://q/" + "p" * 100_000, "i", 2.0), (1, "http://a.b.example.pvt.test/x", "h", 1.0)], "page_id long, url string, host string, n double")
+    labels = spark.createDataFrame([(1, 1, 0, "x")], "doc_id long, quality int, toxic int, page_id string")
+    got = urls.judge_urls(pages, labels.drop("page_id"), second_level=("pvt.test",)).collect()
+    assert sorted((r.page_id or 0, r.host) for r in got) == [(0, "q"), (1, "a.b.example.pvt.test"), (1, "a.b.example.pvt.test")]
+    from pyspark.sql import functions as F
+
+    suffix, domain = urls.suffix_and_domain(F.col("host"), ("pvt.test",))
+    row = spark.createDataFrame([("a.b.example.pvt.test",)], "host string").select(suffix.alias("s"), domain.alias("d")).first()
+    assert (row.s, row.d) == ("pvt.test", "example.pvt.test")
+
+
+def test_mix_of_long_texts_and_clashing_columns(spark):
+    rows = [(1, "word " * 300_000, "a", 7, 1), (2, "x y", "b", 8, 2), (3, None, "b", 9, 3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, target int, size int")
+    assert {r.doc_id: r.size for r in M.mix_report(docs).collect()} == {1: 300_000, 2: 2, 3: 0}
+    mixed = M.mix(docs)
+    assert mixed.columns == [*docs.columns, "copy_no"] and {r.target for r in mixed.collect()} <= {7, 8, 9}
