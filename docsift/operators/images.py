@@ -16,6 +16,7 @@ MEASURED = 8
 
 #: Fixed value: parts of an HTML start tag.
 _IMG = r"(?is)<img\b((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+_ANCHOR = _IMG.replace("<img", "<a")
 _MAIN = r"(?is)<(article|main)\b[^>]*>.*?</\1>"
 
 
@@ -25,6 +26,12 @@ def attribute(tag: Column, name: str) -> Column:
     return F.regexp_replace(found, r"\A[\"']|[\"']\z", "")
 
 
+def links(pages: DataFrame) -> DataFrame:
+    """(page_id, url, idx, href) of the anchors of pages (page_id, url, html) that have an address, in page order."""
+    found = F.filter(F.transform(F.regexp_extract_all("html", F.lit(_ANCHOR), F.lit(1)), lambda tag: attribute(tag, "href")), lambda href: href != "")
+    return pages.select("page_id", "url", F.posexplode(found).alias("idx", "href"))
+
+
 def image_tags(html: Column) -> Column:
     """Attributes of the img tags of the main part; of the whole page if the main part has none."""
     whole = F.regexp_extract_all(html, F.lit(_IMG), F.lit(1))

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.functions.text import WS, strip
-from docsift.plans.joins import numbered, small_side
+from docsift.plans.joins import numbered, settled, small_side
 
 HEX64 = r"\A[0-9a-f]{64}\z"
 
@@ -44,10 +46,10 @@ def assert_verified(checked: DataFrame) -> int:
     return got.get("verified", 0)
 
 
-def file_digests(spark: SparkSession, path: str) -> DataFrame:
-    """(name, actual) of the files below a path."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    return files.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("name"), F.sha2("content", 256).alias("actual"))
+def file_digests(spark: SparkSession, folder: str) -> DataFrame:
+    """(name, actual) of the files below a folder, named by their path in it."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    return files.select(F.substring_index("path", f"{folder.rstrip('/')}/", -1).alias("name"), F.sha2("content", 256).alias("actual"))
 
 
 def manifest_lines(files: DataFrame, header: str | None = None) -> DataFrame:
@@ -59,6 +61,27 @@ def manifest_lines(files: DataFrame, header: str | None = None) -> DataFrame:
     return first.unionByName(rows)
 
 
+def models_manifest(spark: SparkSession, folders: dict[str, str], wanted: list[str] | None = None) -> DataFrame:
+    """(line_no, line) of one manifest of several model folders, by title: each a comment and the lines of its files.
+
+    wanted: the names to list; all by default. A title is a source and its pinned revision.
+    """
+    out, at = None, 0
+    for title, folder in folders.items():
+        files = file_digests(spark, folder)
+        files = settled(files if wanted is None else files.where(F.col("name").isin(wanted)))
+        part = manifest_lines(files, title).withColumn("line_no", F.col("line_no") + at)
+        out, at = part if out is None else out.unionByName(part), at + files.count() + 1
+    if out is None:
+        raise ValueError("no model folder is given")
+    return out
+
+
+def find_manifest(folders: list[str], name: str = "model_checksums.sha256") -> str | None:
+    """The first of the folders' manifests that is there."""
+    return next((path for path in (os.path.join(folder, name) for folder in folders) if os.path.isfile(path)), None)
+
+
 def complete_sets(required: DataFrame, present: DataFrame, optional: tuple[str, ...] = ()) -> DataFrame:
     """(folder, variant, complete): folders that hold every required file. required: variant, file; present: folder, file."""
     need = required.where(~F.col("file").isin(*optional)) if optional else required

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docsift.functions import text as X
-from docsift.operators import images, integrity
+from docsift.operators import graphs, images, integrity
 from docsift.queries import sql as S
 from docsift.queries.sql import table
 from docsift.sources import inputs
@@ -41,7 +41,7 @@ def page_slug(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "pages").select("page_id", "url", F.posexplode(F.regexp_extract_all("html", F.lit('<a href="([^"]*)"'), F.lit(1))).alias("idx", "href"))
+    rows = images.links(table(spark, sf_dir, "pages"))
     return rows.select("page_id", F.col("idx").cast("long").alias("idx"), "href", images.url_join("url", "href").alias("target"))
 
 
@@ -104,10 +104,7 @@ def kv_pairing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def graph_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Producer and consumers of every tensor of a graph."""
-    nodes = spark.createDataFrame(NODES, "node string, ins array<string>, outs array<string>")
-    made = nodes.select(F.col("node").alias("producer"), F.explode("outs").alias("tensor"))
-    used = nodes.select(F.col("node").alias("consumer"), F.explode("ins").alias("tensor"))
-    return made.join(used, "tensor", "full").select("tensor", "producer", "consumer")
+    return graphs.edges(spark.createDataFrame(NODES, "node string, ins array<string>, outs array<string>"))
 
 
 def model_set_complete(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,7 +151,7 @@ _EXTENSIONS = ", ".join(map(S.lit, X.IMAGE_EXTENSIONS))
 _PATH = r"regexp_extract(arg, '^[a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
 ORACLES = {
     "page_slug": rf"WITH p AS (SELECT page_id, regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS title FROM pages), s AS (SELECT page_id, substr(lower(regexp_replace(regexp_replace(title, '[^\p{{L}}\p{{N}}_\-]+', '_', 'g'), '\A_+|_+\z', '', 'g')), 1, 60) AS slug FROM p) SELECT page_id, CASE WHEN slug = '' THEN 'webpage' ELSE slug END AS slug FROM s",
-    "page_links": """WITH p AS (SELECT page_id, url, regexp_extract_all(html, '<a href="([^"]*)"', 1) AS links FROM pages), h AS (SELECT page_id, url, generate_subscripts(links, 1) - 1 AS idx, unnest(links) AS href FROM p)
+    "page_links": f"""WITH a AS (SELECT page_id, url, regexp_extract_all(html, {S.rx('(?is)' + _IMG.replace('<img', '<a'))}, 1) AS tags FROM pages), p AS (SELECT page_id, url, list_filter(list_transform(tags, lambda tag: {_attr('href')}), lambda x: x <> '') AS links FROM a), h AS (SELECT page_id, url, generate_subscripts(links, 1) - 1 AS idx, unnest(links) AS href FROM p)
 SELECT page_id, idx::BIGINT AS idx, href, CASE WHEN starts_with(href, '/') THEN regexp_extract(url, '^[a-z]+://[^/?#]*') || href ELSE href END AS target FROM h""",
     "prominent_image": f"""WITH {_candidates('(SELECT * FROM ' + _HTML + ')')}, best AS (SELECT page_id, arg_max(src, area * 1000 - idx) AS src, max(area) AS area FROM cands GROUP BY page_id),
 first AS (SELECT page_id, src, row_number() OVER (PARTITION BY page_id ORDER BY idx) AS rn FROM cands WHERE page_id IN (SELECT page_id FROM best WHERE area = 0)),

@@ -7,8 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from docsift import __main__ as cli
-from docsift.models import engine, registry
-from docsift.operators import layout
+from docsift.models import engine, registry, wire
+from docsift.operators import images, integrity, layout
 from docsift.plans import joins
 from docsift.plans.run import RunOptions, output_of, run_batch
 from docsift.queries.batch import bitmap, fast, thorough
@@ -138,3 +138,32 @@ def test_numbered(spark):
         assert [r.no for r in own] == list(range(1, len(own) + 1)) and [(r.pos, r.n) for r in own] == sorted((r.pos, r.n) for r in own)
     assert sorted(r.no for r in joins.numbered(rows, [F.col("n")], "no").collect()) == list(range(1, 204))
     assert joins.numbered(rows.limit(0), [F.col("n")], "no", ["stem"]).count() == 0
+
+
+def test_manifests_of_folders(spark, tmp_path):
+    import hashlib
+
+    for name, data in (("one/det/a.onnx", b"a"), ("one/b.yml", b"b"), ("two/c.json", b"c")):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(data)
+    digest = {d: hashlib.sha256(d.encode()).hexdigest() for d in "abc"}
+    rows = integrity.models_manifest(spark, {"first @ 1": str(tmp_path / "one"), "second @ 2": f"{tmp_path}/two/"}).orderBy("line_no").collect()
+    assert [(r.line_no, r.line) for r in rows] == list(enumerate(["# first @ 1", f"{digest['b']}  b.yml", f"{digest['a']}  det/a.onnx", "# second @ 2", f"{digest['c']}  c.json"]))
+    assert [r.line for r in integrity.models_manifest(spark, {"t": str(tmp_path / "one")}, ["b.yml"]).orderBy("line_no").collect()] == ["# t", f"{digest['b']}  b.yml"]
+    (tmp_path / "two" / "model_checksums.sha256").write_text("x")
+    assert integrity.find_manifest([str(tmp_path / "one"), str(tmp_path / "two")]) == str(tmp_path / "two" / "model_checksums.sha256")
+    assert integrity.find_manifest([str(tmp_path / "one")]) is None
+
+
+def test_links_of_any_spelling(spark):
+    pages = spark.createDataFrame([(1, "http://h/x", "<A class=q HREF='/one'>x</A><a>no</a><a title=\"a>b\" href=two>y</a><abbr href=z>")], "page_id long, url string, html string")
+    assert [r.href for r in images.links(pages).orderBy("idx").collect()] == ["/one", "two"]
+
+
+def test_a_closed_table_has_no_rows():
+    import numpy as np
+
+    with wire.RowTable(np.ones((3, 2), np.float32)) as rows:
+        assert rows.lookup([2]).tolist() == [[1.0, 1.0]]
+    with pytest.raises(ValueError):
+        rows.lookup([0])
