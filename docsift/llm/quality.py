@@ -1,9 +1,9 @@
 """Operator 9: quality rules, an isolation forest on rule statistics.
 
 Rule statistics of every whole text are counted exactly, from its words and lines. Ratios of them feed an isolation
-forest: trees that split bounded subsamples at random, in which odd documents have short paths. The score above which a
-document goes is calibrated on labelled rows: the lowest threshold that keeps all but ``MAX_GOOD_LOST`` of the labelled
-good documents.
+forest: trees that split all rows at random, level by level, in which odd documents have short paths. The score above
+which a document goes is calibrated on all labelled rows: the lowest threshold that keeps all but ``MAX_GOOD_LOST`` of
+the labelled good documents. Nothing is fitted on a sample, and no order or division of the rows changes a result.
 
 Defined cases: a null or empty text has no words and fails the base rules; a null doc_id is scored but never used for
 fitting; repeated rows get equal results; with fewer than ``MIN_LABELLED`` labelled good rows the forest rejects none;
@@ -21,12 +21,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docsift.llm.common import cut, small_batches, table
+from docsift.llm.common import cut, running_sums, small_batches, table
 from docsift.llm.kernel import U64, classes, hash_segments, mix64, repeated, row_sums, segments, slices, windows, words_of
 
-#: Bounds of what is fitted on: rows for the trees, labelled rows for the threshold.
-FIT_ROWS, LABELLED_ROWS = 8192, 20000
-TREES, SUBSAMPLE = 100, 256
+#: Trees, their depth, and narrow rows that a worker puts through them at once.
+TREES, DEPTH, CHUNK_ROWS = 100, 6, 1 << 15
 MAX_GOOD_LOST, MIN_LABELLED = 0.005, 20
 WINDOW, MIN_WORDS, MAX_REPEAT_PERCENT = 5, 10, 20
 
@@ -85,12 +84,14 @@ def _stats_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def features(s: dict[str, np.ndarray]) -> np.ndarray:
-    """Characters a word, and shares of symbols, capitals and punctuation, small ones spread by a logarithm.
+    """Characters a word, and shares of symbols, capitals and punctuation, small ones spread by a root.
 
-    Repeated lines and words are left to the base rules: they vary so much among good texts that they would hide junk.
+    All lie between 0 and 1, so that a few extreme texts cannot widen a range until no split parts the others. Repeated
+    lines and words are left to the base rules: they vary so much among good texts that they would hide junk.
     """
     words, chars = np.maximum(s["n_words"], 1).astype(float), np.maximum(s["word_chars"], 1).astype(float)
-    return np.column_stack([s["word_chars"] / words, np.log1p(20 * s["n_symbols"] / words), np.log1p(20 * s["n_upper"] / chars), np.log1p(20 * s["n_punct"] / chars)])
+    shares = (s["n_symbols"] / words, s["n_upper"] / chars, s["n_punct"] / chars)
+    return np.column_stack([s["word_chars"] / (s["word_chars"] + 5 * words), *(np.sqrt(20 * r / (1 + 20 * r)) for r in shares)])
 
 
 def _average_path(n: np.ndarray) -> np.ndarray:
@@ -101,97 +102,152 @@ def _average_path(n: np.ndarray) -> np.ndarray:
 
 
 class IsolationForest:
-    """Trees as flat arrays of equal depth, so that a column of rows walks down all of them at once."""
-
-    def __init__(self, x: np.ndarray, trees: int = TREES, subsample: int = SUBSAMPLE, seed: int = 7):
-        rng = np.random.default_rng(seed)
-        size = min(subsample, len(x))
-        self.size, self.depth = size, max(1, int(np.ceil(np.log2(max(size, 2)))))
-        nodes = 2 ** (self.depth + 1)
-        self.column, self.split, self.path = np.zeros((trees, nodes), np.int16), np.full((trees, nodes), np.inf), np.zeros((trees, nodes))
+    """Trees as flat arrays of equal depth, so that a column of rows walks down all of them at once.
+
+    They grow on all rows, a level at a time: ``held`` says what a level's nodes hold of some rows, and ``grow`` takes such
+    tables of all rows, merged by sums, least and greatest values.
+    """
+
+    def __init__(self, trees: int = TREES, depth: int = DEPTH, seed: int = 7):
+        self.size, self.depth = 0, depth
+        shape = (trees, 2 ** (depth + 1))
+        self.column, self.split, self.path = np.zeros(shape, np.int16), np.full(shape, np.inf), np.zeros(shape)
+        self.open = np.zeros(shape, bool)
+        self.open[:, 1] = True
+        self.draws = np.random.default_rng(seed).random((2, *shape))
+
+    def _nodes(self, x: np.ndarray, tree: int, level: int) -> np.ndarray:
+        """The node of each row at a level of a tree."""
+        rows, node, column, split = np.arange(len(x)), np.ones(len(x), np.int64), self.column[tree], self.split[tree]
+        for _ in range(level):
+            node = 2 * node + (x[rows, column[node]] > split[node])
+        return node
+
+    def held(self, x: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Number of rows by tree and node of the level; their least and greatest features by tree, feature and node."""
+        trees, first = len(self.path), 2**level
+        count, low = np.zeros((trees, first), np.int64), np.full((trees, x.shape[1], first), np.inf)
+        high, columns = -low, np.ascontiguousarray(x.T)
         for t in range(trees):
-            self._grow(t, 1, 0, x[rng.choice(len(x), size, replace=False)], rng)
-
-    def _grow(self, t: int, node: int, depth: int, x: np.ndarray, rng) -> None:
-        wide = np.flatnonzero(x.max(axis=0) > x.min(axis=0)) if len(x) > 1 else []
-        if depth == self.depth or not len(wide):
-            value, at = depth + float(_average_path(len(x))), node
-            level = [at]
-            while level:  # a leaf's value fills all below it: rows go left under an infinite split
-                self.path[t, level] = value
-                level = [c for p in level for c in (2 * p, 2 * p + 1) if c < self.path.shape[1]]
-            return
-        col = int(rng.choice(wide))
-        at = rng.uniform(x[:, col].min(), x[:, col].max())
-        self.column[t, node], self.split[t, node] = col, at
-        low = x[:, col] <= at
-        self._grow(t, 2 * node, depth + 1, x[low], rng)
-        self._grow(t, 2 * node + 1, depth + 1, x[~low], rng)
+            node = self._nodes(x, t, level) - first
+            count[t] = np.bincount(node, minlength=first)
+            for f, values in enumerate(columns):
+                np.minimum.at(low[t, f], node, values)
+                np.maximum.at(high[t, f], node, values)
+        return count, low, high
+
+    def grow(self, level: int, count: np.ndarray, low: np.ndarray, high: np.ndarray) -> None:
+        """Splits the open nodes of a level, or ends them, by what they hold of all rows."""
+        first, wide = 2**level, high > low
+        if level == 0:
+            self.size = int(count[0, 0])
+        now = self.open[:, first : 2 * first]
+        splits = now & wide.any(axis=1) & (level < self.depth)
+        t, n = np.nonzero(splits)
+        choice, node = wide[t, :, n], first + n
+        col = (np.cumsum(choice, axis=1) > np.floor(self.draws[0][t, node] * choice.sum(axis=1))[:, None]).argmax(axis=1)
+        least, most = low[t, col, n], high[t, col, n]
+        at = least + self.draws[1][t, node] * (most - least)
+        self.column[t, node], self.split[t, node] = col, np.where(at < most, at, least)
+        self.open[t, 2 * node] = self.open[t, 2 * node + 1] = True
+        t, n = np.nonzero(now & ~splits)  # rows of a node that ends go left under infinite splits
+        self.path[t, (first + n) << (self.depth - level)] = level + _average_path(count[t, n])
 
     def score(self, x: np.ndarray) -> np.ndarray:
         """0 to 1; high is odd."""
-        total, rows = np.zeros(len(x)), np.arange(len(x))
-        for column, split, path in zip(self.column, self.split, self.path, strict=True):
-            node = np.ones(len(x), np.int64)
-            for _ in range(self.depth):
-                node = 2 * node + (x[rows, column[node]] > split[node])
-            total += path[node]
+        total = np.zeros(len(x))
+        for t, path in enumerate(self.path):
+            total += path[self._nodes(x, t, self.depth)]
         return 2.0 ** (-(total / len(self.path)) / max(float(_average_path(self.size)), 1e-9))
 
 
-def _columns(batch_or_frame, names=STATS) -> dict[str, np.ndarray]:
-    return {c: np.asarray(batch_or_frame[c], dtype=np.int64) for c in names}
+def _columns(batch: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {c: batch.column(c).to_numpy(zero_copy_only=False) for c in STATS}
 
 
 def base_failed(s: dict[str, np.ndarray]) -> np.ndarray:
     return (s["n_words"] < MIN_WORDS) | (100 * s["n_repeat_words"] > MAX_REPEAT_PERCENT * s["n_words"])
 
 
-def _bounded(df: DataFrame, rows: int, seed: int) -> DataFrame:
-    """A reproducible sample of about rows rows, chosen by a hash of the id."""
-    n = df.count()
-    if n > rows:
-        df = df.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 30)) < int((1 << 30) * rows / n))
-    return df
-
-
-def fit(stats: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, labelled_rows: int = LABELLED_ROWS) -> tuple[IsolationForest | None, float]:
-    """Forest and threshold. Two bounded samples of narrow rows come to the driver, never a text."""
-    usable = stats.where("doc_id IS NOT NULL AND n_words > 0")
-    sample = _bounded(usable, fit_rows, 1).orderBy("doc_id").toPandas()
-    if len(sample) < 2:
-        return None, 1.0
-    forest = IsolationForest(features(_columns(sample)))
-    good = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    seen = _bounded(usable.join(good, "doc_id"), labelled_rows, 2).orderBy("doc_id").toPandas()
-    if not len(seen):
-        return forest, 1.0
-    s = _columns(seen)
-    scores = forest.score(features(s))
-    kept = scores[(seen["quality"].to_numpy() == 1) & ~base_failed(s)]
-    if len(kept) < MIN_LABELLED:
-        return forest, 1.0
-    kept = np.sort(kept)
-    return forest, float(kept[min(len(kept) - 1, int(np.ceil(len(kept) * (1 - MAX_GOOD_LOST))))]) + 1e-9
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+    """Features of the rows, CHUNK_ROWS or more at a time but for the last."""
+    parts, rows = [], 0
+    for batch in batches:
+        parts.append(features(_columns(batch)))
+        rows += batch.num_rows
+        if rows >= CHUNK_ROWS:
+            yield np.concatenate(parts)
+            parts, rows = [], 0
+    if rows:
+        yield np.concatenate(parts)
+
+
+def _held(rows: DataFrame, forest: IsolationForest, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """``IsolationForest.held`` of all rows: each partition sends a row per open node that it has rows of."""
+    first, width = 2**level, len(features({c: np.ones(1, np.int64) for c in STATS})[0])
+    lows, highs = [f"low{f}" for f in range(width)], [f"high{f}" for f in range(width)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        count = None
+        for x in _chunks(batches):
+            if count is None:
+                count, low, high = forest.held(x, level)
+            else:
+                more = forest.held(x, level)
+                count, low, high = count + more[0], np.minimum(low, more[1]), np.maximum(high, more[2])
+        if count is not None:
+            t, n = np.nonzero(forest.open[:, first : 2 * first] & (count > 0))
+            yield pa.RecordBatch.from_arrays([pa.array(t * first + n), pa.array(count[t, n]), *(pa.array(side[t, f, n]) for side in (low, high) for f in range(width))], ["node", "n", *lows, *highs])
+
+    sent = rows.mapInArrow(run, "node long, n long, " + ", ".join(f"{c} double" for c in lows + highs))
+    merged = sent.groupBy("node").agg(F.sum("n").alias("n"), *[F.min(c).alias(c) for c in lows], *[F.max(c).alias(c) for c in highs]).toPandas()
+    t, n = np.divmod(merged["node"].to_numpy(np.int64), first)
+    count, low = np.zeros((len(forest.path), first), np.int64), np.full((len(forest.path), width, first), np.inf)
+    high = -low
+    count[t, n], low[t, :, n], high[t, :, n] = merged["n"], merged[lows], merged[highs]
+    return count, low, high
+
+
+def fit(stats: DataFrame) -> IsolationForest | None:
+    """Forest of all rows that have an id and a word. A table of a level's nodes comes to the driver, never a row."""
+    usable, forest = stats.where("doc_id IS NOT NULL AND n_words > 0"), IsolationForest()
+    for level in range(forest.depth + 1):
+        forest.grow(level, *_held(usable, forest, level))
+        if forest.size < 2:
+            return None
+    return forest
+
+
+def calibrate(scored: DataFrame, labels: DataFrame) -> float:
+    """Threshold from all labelled good rows that pass the base rules, by their places in the order of scores."""
+    good = labels.where("quality IS NOT NULL AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("quality").alias("quality")).where("quality = 1").select("doc_id")
+    uses = cut(scored.where("NOT base_failed").join(good, "doc_id").groupBy("anomaly").agg(F.count("*").alias("uses")))
+    n = uses.agg(F.sum("uses")).first()[0] or 0
+    if n < MIN_LABELLED:
+        return 1.0
+    place = min(n - 1, int(np.ceil(n * (1 - MAX_GOOD_LOST))))
+    placed = running_sums(uses, [F.col("anomaly")], {"before": F.col("uses")})
+    return placed.where((F.col("before") <= place) & (F.col("before") + F.col("uses") > place)).first()["anomaly"] + 1e-9
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """One row per document: doc_id, the base statistics, base_failed, score, kept.
+    """One row per document: doc_id, the base statistics, base_failed, kept, anomaly.
 
-    The statistics are cut once, as narrow rows; texts are read a single time and never shuffled.
+    Statistics and scores are cut once each, as narrow rows; texts are read a single time and never shuffled.
     """
     stats = cut(small_batches(docs).select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_stats_batches, SCHEMA))
-    forest, threshold = fit(stats, labels)
+    forest = fit(stats)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in STATS}
-            failed = base_failed(s)
-            odd = forest.score(features(s)) if forest is not None and len(failed) else np.zeros(len(failed))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(s[c]) for c in STATS[:5]), pa.array(failed), pa.array(~failed & (odd <= threshold)), pa.array(odd)], [*names])
-
-    names = ["doc_id", *STATS[:5], "base_failed", "kept", "anomaly"]
-    return stats.mapInArrow(score, "doc_id long, " + ", ".join(f"{c} long" for c in STATS[:5]) + ", base_failed boolean, kept boolean, anomaly double")
+            s = _columns(batch)
+            odd = forest.score(features(s)) if forest is not None and batch.num_rows else np.zeros(batch.num_rows)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array(s[c]) for c in STATS[:5]), pa.array(base_failed(s)), pa.array(odd)], names)
+
+    names = ["doc_id", *STATS[:5], "base_failed", "anomaly"]
+    scored = cut(stats.mapInArrow(score, "doc_id long, " + ", ".join(f"{c} long" for c in STATS[:5]) + ", base_failed boolean, anomaly double"))
+    threshold = calibrate(scored, labels)
+    return scored.select(*names[:-1], (~F.col("base_failed") & (F.col("anomaly") <= threshold)).alias("kept"), "anomaly")
 
 
 def op9_quality_forest(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -93,3 +93,63 @@ def test_quality_with_clashing_columns(spark):
     docs = spark.createDataFrame([(1, "a b c d e f g h i j k l.", 5, "x"), (None, None, 6, "y")], "doc_id long, text string, n_words int, kept string")
     labels = spark.createDataFrame([(1, 1, 0, "z")], "doc_id long, quality int, toxic int, text string")
     assert sorted((r.doc_id or 0, r.n_words, r.base_failed) for r in Q.judge(docs, labels).collect()) == [(0, 0, True), (1, 12, False)]
+
+
+def grown(x, forest, tree, node, depth):
+    """Paths of the rows by plain recursion over all of them, under the forest's draws."""
+    wide = [c for c in range(x.shape[1]) if len(x) and x[:, c].max() > x[:, c].min()]
+    if depth == forest.depth or not wide:
+        return np.full(len(x), depth + float(Q._average_path(len(x))))
+    col = wide[int(forest.draws[0, tree, node] * len(wide))]
+    least, most = x[:, col].min(), x[:, col].max()
+    low = x[:, col] <= least + forest.draws[1, tree, node] * (most - least)
+    out = np.zeros(len(x))
+    out[low], out[~low] = grown(x[low], forest, tree, 2 * node, depth + 1), grown(x[~low], forest, tree, 2 * node + 1, depth + 1)
+    return out
+
+
+def test_forest_and_threshold_from_all_rows(spark):
+    """More rows than any bound that fitting once had: 8,192 for the trees, 20,000 for the threshold."""
+    n, rng = 24_000, np.random.default_rng(5)
+    s = {c: rng.integers(0, 40, n) for c in Q.STATS} | {"n_words": rng.integers(0, 60, n), "n_repeat_words": np.zeros(n, np.int64)}
+    frame = spark.createDataFrame(list(zip(range(n), *(s[c].tolist() for c in Q.STATS), strict=True)), Q.SCHEMA)
+    forest, again = Q.fit(frame.repartition(3)), Q.fit(frame.coalesce(1))
+    used = s["n_words"] > 0
+    assert forest.size == used.sum()
+    assert (forest.split == again.split).all() and (forest.column == again.column).all() and (forest.path == again.path).all()
+    x = Q.features(s)
+    for t in range(0, Q.TREES, 9):
+        assert np.allclose(forest.path[t][forest._nodes(x[used], t, forest.depth)], grown(x[used], forest, t, 1, 0))
+    odd, failed = forest.score(x), Q.base_failed(s)
+    scored = spark.createDataFrame(list(zip(range(n), failed.tolist(), odd.tolist(), strict=True)), "doc_id long, base_failed boolean, anomaly double")
+    labels = spark.createDataFrame([(i, int(i % 50 > 0)) for i in range(n)] + [(None, 1), (7, None)], "doc_id long, quality int")
+    kept = np.sort(odd[~failed & (np.arange(n) % 50 > 0)])
+    assert Q.calibrate(scored, labels) == kept[int(np.ceil(len(kept) * (1 - Q.MAX_GOOD_LOST)))] + 1e-9
+
+
+def test_extreme_rows_do_not_hide_junk(spark):
+    good = [(i, " ".join(f"word{(i * 7 + j * j) % 97}" for j in range(60)) + ".") for i in range(300)]
+    junk = [(1000 + i, " ".join(f"a{i}{j}" + "###$$" for j in range(60))) for i in range(5)]
+    extreme = [(2000 + i, "b" * 10 ** (3 + i) + " c d e f g h i j k") for i in range(3)] + [(2003, "#" * 100_000 + " c d e f g h i j k")]
+    labels = spark.createDataFrame([(i, 1) for i in range(300)], "doc_id long, quality int")
+    rows = {r.doc_id: r.kept for r in Q.judge(spark.createDataFrame(good + junk + extreme, "doc_id long, text string"), labels).collect()}
+    assert sum(rows[i] for i in range(300)) >= 298
+    assert not any(rows[i] for i, _ in junk + extreme)
+
+
+def test_quality_of_one_row_and_of_equal_rows(spark):
+    text = "a b c d e f g h i j k l."
+    labels = spark.createDataFrame([(i, 1) for i in range(40)], "doc_id long, quality int")
+    for n in (1, 40):
+        docs = spark.createDataFrame([(i, text) for i in range(n)], "doc_id long, text string")
+        assert [r.kept for r in Q.judge(docs, labels).collect()] == [True] * n
+
+
+def test_verdicts_follow_from_all_labelled_rows(spark):
+    n, rng = 24_000, np.random.default_rng(6)
+    words = np.array(["".join(rng.choice(list("abcdeFG.,#"), rng.integers(1, 9))) for _ in range(3000)])
+    docs = spark.createDataFrame([(i, " ".join(rng.choice(words, 12))) for i in range(n)], "doc_id long, text string")
+    rows = Q.judge(docs.repartition(4), spark.range(n).selectExpr("id AS doc_id", "1 AS quality")).collect()
+    odd = np.sort([r.anomaly for r in rows if not r.base_failed])
+    most = odd[int(np.ceil(len(odd) * (1 - Q.MAX_GOOD_LOST)))]
+    assert all(r.kept == (not r.base_failed and r.anomaly <= most + 1e-9) for r in rows)
