@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docsift.llm.common import broadcast_if_small, cut, join_per_key, shuffle_parts, small_batches, table
+from docsift.llm.common import broadcast_if_small, cut, cut_narrow, join_per_key, shuffle_parts, small_batches, table
 from docsift.llm.graph import components
 from docsift.llm.kernel import U64, classes, hash_segments, mix64, release_memory, slices, windows, words_of
 from docsift.llm.triejoin import links_within
@@ -322,9 +322,9 @@ def similar_components(docs: DataFrame, tokens: int, block_tokens: int = BLOCK_T
     starts = cut(live.select("sig", "k", "tids").mapInArrow(_prefixes, "tid long, sig binary"))
     least = starts.groupBy("tid").agg(F.min("sig").alias("b"), F.count("*").alias("uses")).where("uses > 1")
     near = join_per_key(starts, least, "tid", starts.count(), F.xxhash64("sig")).where("sig <> b").select(F.col("sig").alias("a"), "b").distinct()
-    groups = cut(components(near))
+    groups = components(near)
     placed = live.join(groups, F.col("sig") == F.col("node")).select("root", "sig", "n", "tids", "dfs", (F.octet_length("tids") / 8).cast("long").alias("tokens"))
-    large = cut(placed.groupBy("root").agg(F.sum("tokens").alias("all")).where(F.col("all") > block_tokens).select("root"))
+    large = cut_narrow(placed.groupBy("root").agg(F.sum("tokens").alias("all")).where(F.col("all") > block_tokens).select("root"), tokens // block_tokens)
     split = not large.isEmpty()
     one = F.lit(0).cast("long")
     whole = placed.join(broadcast_if_small(large), "root", "left_anti") if split else placed
@@ -332,27 +332,27 @@ def similar_components(docs: DataFrame, tokens: int, block_tokens: int = BLOCK_T
     if split:
         tasks = tasks.unionByName(_block_tasks(placed, large, block_tokens))
     tasks = tasks.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
-    links = cut(tasks.mapInArrow(_join_blocks, "a binary, b binary"))
+    links = cut_narrow(tasks.mapInArrow(_join_blocks, "a binary, b binary"), groups.count())
     if not split:  # every candidate component was joined by one task, whose stars are final
         return links.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return components(links)
 
 
-def _found(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id, sig, and root, the least class of the component."""
-    named = cut(named_sets(docs))
+def _found(docs: DataFrame, total: int, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
+    """One row per document, of which there are total: doc_id, n_shingles, component_id, sig, and root, the least class of the component."""
+    named = cut_narrow(named_sets(docs), total)
     classes_ = named.where("sig IS NOT NULL").groupBy("sig").agg(F.min("doc_id").alias("least"), F.count("*").alias("uses"))
-    roots = cut(similar_components(docs, named.agg(F.sum("n_shingles")).first()[0] or 0, block_tokens))
-    reach = cut(classes_.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", "uses", F.coalesce("root", "sig").alias("root")))
+    roots = similar_components(docs, named.agg(F.sum("n_shingles")).first()[0] or 0, block_tokens)  # of a cut
+    reach = cut_narrow(classes_.join(roots, F.col("sig") == F.col("node"), "left").select("sig", "least", "uses", F.coalesce("root", "sig").alias("root")), total)
     found = reach.groupBy("root").agg(F.min("least").alias("component_id"))
     ids = reach.join(found, "root").select("sig", "root", "component_id", "uses")
-    joined = join_per_key(named, ids, "sig", named.count(), F.xxhash64("doc_id"), "left")
+    joined = join_per_key(named, ids, "sig", total, F.xxhash64("doc_id"), "left")
     return joined.select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"), "sig", "root")
 
 
 def near_duplicates(docs: DataFrame, block_tokens: int = BLOCK_TOKENS) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, sig (its class; null for an empty set)."""
-    return _found(docs, block_tokens).drop("root")
+    return _found(docs, docs.count(), block_tokens).drop("root")
 
 
 def _with_names(docs: DataFrame) -> DataFrame:
@@ -376,12 +376,13 @@ def keep_one(docs: DataFrame) -> DataFrame:
     all stay. Where ids are whole and unique, which a count shows, the ids to drop are all that is joined to the texts;
     only rows whose doc_id is null or repeated are looked at again. The list is broadcast if a count shows it is small.
     """
-    found = cut(_found(docs).where("sig IS NOT NULL").select("doc_id", "sig", "root"))
+    total = docs.count()
+    found = cut_narrow(_found(docs, total).where("sig IS NOT NULL").select("doc_id", "sig", "root"), total)
     best = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "sig")).alias("best"), F.count("*").alias("uses"))
     placed = join_per_key(found, best, "root", found.count(), F.xxhash64("doc_id", "sig"))
     stays = F.col("doc_id").eqNullSafe(F.col("best.doc_id")) & (F.col("sig") == F.col("best.sig"))
-    placed = cut(placed.select("doc_id", "sig", stays.alias("stays")))
-    twice = cut(placed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__twice"), F.lit(True).alias("__again")))
+    placed = cut_narrow(placed.select("doc_id", "sig", stays.alias("stays")), total)
+    twice = cut_narrow(placed.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("__twice"), F.lit(True).alias("__again")), total)
     single = placed.where("doc_id IS NOT NULL AND NOT stays")
     if twice.isEmpty():
         drop = broadcast_if_small(cut(single.select(F.col("doc_id").alias("__drop"))))

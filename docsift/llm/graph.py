@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docsift.llm.common import cut, join_per_key
+from docsift.llm.common import cut, cut_narrow, join_per_key
 
 MAX_ROUNDS = 60
 
@@ -30,6 +30,7 @@ def components(links: DataFrame) -> DataFrame:
 
     Minima combine on the map side, and a node with very many links is split over tasks. Rounds grow with the logarithm
     of the longest path. Self-links, repeated links and an empty table are allowed; links with a null end are not links.
+    The result is cut.
     """
     high, low = F.greatest("a", "b"), F.least("a", "b")
     edges = cut(links.where("a <> b").select(high.alias("a"), low.alias("b")).distinct())
@@ -39,7 +40,8 @@ def components(links: DataFrame) -> DataFrame:
         if state == seen or not state[0]:
             break
         seen = state
-        edges = cut(_small_star(_large_star(edges, state[0]), state[0]))
+        edges = cut_narrow(_small_star(_large_star(edges, state[0]), state[0]), state[0])
     else:
         raise RuntimeError("components did not settle")
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+    found = edges.select(F.col("a").alias("node"), F.col("b").alias("root")).union(edges.select("b", "b").distinct())
+    return cut_narrow(found, 2 * state[0])  # a root has a member

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from docsift.functions.geometry import bind
-from docsift.llm.common import broadcast_if_small, cut, running_sums, table, unit_draw
+from docsift.llm.common import broadcast_if_small, cut, cut_narrow, running_sums, table, unit_draw
 
 WORD = r"[^\x20\x09-\x0D]+"
 WEIGHTS = (5, 2, 1)
@@ -50,13 +50,14 @@ def source_targets(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_rat
     common level is its maximum, and each target is min(cap, weight * level). Ranks and running sums go by ranges, so
     sources may be as many as hosts.
     """
+    sources = sized.select("source").distinct().count()
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     by_name = [F.col("source").isNull(), F.col("source")]
-    ranked = running_sums(per_source, by_name, {"rank_no": F.lit(1).cast("long")})
+    ranked = running_sums(cut_narrow(per_source, sources), by_name, {"rank_no": F.lit(1).cast("long")}, sources)
     weight = F.element_at(F.array(*[F.lit(w) for w in weights]), (F.col("rank_no") % len(weights) + 1).cast("int")).cast("long")
     ranked = ranked.withColumn("weight", weight).withColumn("cap", F.col("source_size") * max_rate)
     by_level = [F.col("cap") / F.col("weight").cast("double"), F.col("rank_no")]
-    ordered = cut(running_sums(ranked, by_level, {"caps": F.col("cap"), "weights": F.col("weight")}))
+    ordered = cut_narrow(running_sums(ranked, by_level, {"caps": F.col("cap"), "weights": F.col("weight")}, sources), sources)
     total, all_weights = ordered.agg(F.sum("source_size"), F.sum("weight")).first()
     level = (F.lit(total or 0) - F.col("caps")).cast("double") / (F.lit(all_weights or 0) - F.col("weights")).cast("double")
     common = ordered.agg(F.max(level)).first()[0]
@@ -70,7 +71,7 @@ def draw_of(doc_id: Column, text: Column, seed: str = SEED) -> Column:
 
 def _sized(docs: DataFrame, seed: str) -> DataFrame:
     """(doc_id, source, size, draw): all that the choice of copies needs."""
-    return cut(docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), draw_of(F.col("doc_id"), F.col("text"), seed).alias("draw")))
+    return cut_narrow(docs.select("doc_id", "source", text_size(F.col("text")).alias("size"), draw_of(F.col("doc_id"), F.col("text"), seed).alias("draw")), docs.count())
 
 
 def _is_large(size: Column, source_size: Column) -> Column:
@@ -120,11 +121,12 @@ def choices(sized: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE) -> tupl
     """
     rate = F.when(F.col("source_size") > 0, F.least(F.col("target") / F.col("source_size").cast("double"), F.lit(float(max_rate)))).otherwise(F.lit(0.0))
     rates = cut(source_targets(sized, weights, max_rate).withColumn("rate", rate))
+    sources = rates.count()
     given = broadcast_if_small(rates.select(F.col("source").alias("__source"), "source_size", (F.col("rate") - F.floor("rate")).alias("fraction")))
     rows = sized.select("source", "size", "draw").join(given, _same_source("__source")).drop("__source")
     large = _is_large(F.col("size"), F.col("source_size"))
     units = rows.where(large).groupBy("source", "draw").agg(F.max("source_size").alias("source_size"), F.max("fraction").alias("fraction"), F.sum("size").alias("size"))
-    drawn = cut(_large_draws(units))
+    drawn = cut_narrow(_large_draws(units), sources)
     bucket = F.floor(F.col("draw") * BUCKETS).cast("long")
     small = rows.where(~large).withColumn("bucket", bucket)
     hist = small.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.max("fraction").alias("fraction"))
@@ -135,7 +137,7 @@ def choices(sized: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE) -> tupl
     need = F.col("fraction") * F.col("all_words").cast("double") + F.coalesce("left", F.lit(0.0))
     hist = hist.withColumn("need", need)
     # the bucket in which the wanted words are reached: the last one that begins below them
-    edge = cut(hist.where(F.col("before").cast("double") <= F.col("need")).groupBy("source").agg(F.max(F.struct("bucket", "before", "need")).alias("edge")).select(F.col("source").alias("__e"), "edge.*"))
+    edge = cut_narrow(hist.where(F.col("before").cast("double") <= F.col("need")).groupBy("source").agg(F.max(F.struct("bucket", "before", "need")).alias("edge")).select(F.col("source").alias("__e"), "edge.*"), sources)
     near = small.select("source", "draw", "size", F.col("bucket").alias("own")).join(broadcast_if_small(edge), _same_source("__e") & (F.col("own") == F.col("bucket")))
     units = near.groupBy("source", "draw").agg(F.sum("size").alias("size"), F.max("before").alias("before"), F.max("need").alias("need"))
     within = Window.partitionBy("source").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)  # one bucket of a source
@@ -143,7 +145,7 @@ def choices(sized: DataFrame, weights=WEIGHTS, max_rate: int = MAX_RATE) -> tupl
     reached = units.withColumn("middle", middle).where("middle <= need").groupBy("source").agg(F.max("draw").alias("last"))
     bounds = edge.join(reached.withColumnRenamed("source", "__r"), F.col("__e").eqNullSafe(F.col("__r")), "left")
     # no draw of the bucket is taken: those of all buckets before it are
-    bounds = cut(bounds.select("__e", F.coalesce("last", F.col("bucket").cast("double") / BUCKETS - 2.0**-60).alias("bound")))
+    bounds = cut_narrow(bounds.select("__e", F.coalesce("last", F.col("bucket").cast("double") / BUCKETS - 2.0**-60).alias("bound")), sources)
     per_source = rates.join(broadcast_if_small(bounds), _same_source("__e"), "left").select("source", "source_size", "target", "rate", F.coalesce("bound", F.lit(-1.0)).alias("bound"))
     return cut(per_source), cut(drawn.select(F.col("__s").alias("source"), F.explode("taken").alias("draw")))
 
